@@ -17,6 +17,7 @@ _DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # broadcast only below this many bytes (estimated by Catalyst / AQE)
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),

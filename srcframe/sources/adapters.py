@@ -8,6 +8,7 @@ live next to the query definitions in ``srcframe.plans``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 
@@ -50,3 +51,113 @@ def pages_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("html").cast("long").alias("size"),
         F.col("html").alias("content"),
     )
+
+
+def conversations_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host C: ``log_statements`` from ``conversations``: class =
+    ``conv.<conv_id>``, line = turn, level by role (system → debug, user →
+    info, assistant → warn), message = text, one variable named by the role
+    whose type is the capitalised role.  Flags are left to the operators."""
+    c = spread(table(spark, sf_dir, "conversations"))
+    return c.select(
+        F.concat(F.lit("chat"), (F.col("conv_id") % 4).cast("string")).alias("repo_id"),
+        F.concat(F.lit("conv."), F.col("conv_id").cast("string")).alias("class_fqn"),
+        F.col("turn").cast("int").alias("line"),
+        F.when(F.col("role") == "system", "debug").when(F.col("role") == "user", "info")
+        .when(F.col("role") == "assistant", "warn").alias("level"),
+        F.col("text").alias("message"),
+        F.col("role").alias("var_name"),
+        F.initcap("role").alias("var_type"),
+    )
+
+
+def part_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identifier-like names and types derived from ``part``: ``p_name``
+    in lower camel case (``small ring`` → ``smallRing``) and ``p_type``
+    capitalised plus the name's last word (``EconomyRing``)."""
+    p = table(spark, sf_dir, "part")
+    words = F.split("p_name", " ")
+    camel = F.concat(F.element_at(words, 1),
+                     F.array_join(F.transform(F.slice(words, F.lit(2), F.size(words)), lambda w: F.initcap(w)), ""))
+    return p.select("p_partkey", camel.alias("ident"),
+                    F.concat(F.initcap("p_type"), F.initcap(F.element_at(words, -1))).alias("type_name"))
+
+
+# ------------------------------------------------------------ call graphs (G)
+
+def graph_tree(spark: SparkSession, sf_dir: str):
+    """``g_tree``: region → nation → customer.  Regions are controllers
+    (entry points), nations services, customers repositories; each class has
+    one method ``visit(long id)``; calls are ordered by the child's key.
+    Customers with a negative balance also call an unresolved library
+    method.  Returns (classes, methods, calls)."""
+    r = table(spark, sf_dir, "region")
+    n = table(spark, sf_dir, "nation")
+    c = table(spark, sf_dir, "customer")
+
+    def cls(df, key, name, kind):
+        return df.select(F.lit("tree").alias("repo_id"),
+                         F.concat(F.lit(f"tree.{name}"), F.col(key).cast("string")).alias("class_fqn"),
+                         F.lit(kind).alias("kind"))
+    classes = (cls(r, "r_regionkey", "Region", "controller")
+               .unionByName(cls(n, "n_nationkey", "Nation", "service"))
+               .unionByName(cls(c, "c_custkey", "Customer", "repository")))
+    methods = classes.select("repo_id", "class_fqn", F.lit("visit").alias("name"),
+                             F.array(F.lit("long id")).alias("params"), F.lit(0).alias("ordinal"))
+    calls = (n.select(F.lit("tree").alias("repo_id"),
+                      F.concat(F.lit("tree.Region"), F.col("n_regionkey").cast("string"), F.lit(".visit")).alias("caller_fqn"),
+                      F.col("n_nationkey").cast("long").alias("ordinal"),
+                      F.concat(F.lit("tree.Nation"), F.col("n_nationkey").cast("string"), F.lit(".visit(long)")).alias("callee_sig"))
+             .unionByName(c.select(F.lit("tree").alias("repo_id"),
+                                   F.concat(F.lit("tree.Nation"), F.col("c_nationkey").cast("string"), F.lit(".visit")).alias("caller_fqn"),
+                                   F.col("c_custkey").cast("long").alias("ordinal"),
+                                   F.concat(F.lit("tree.Customer"), F.col("c_custkey").cast("string"), F.lit(".visit(long)")).alias("callee_sig")))
+             .unionByName(c.where(F.col("c_acctbal") < 0).select(
+                 F.lit("tree").alias("repo_id"),
+                 F.concat(F.lit("tree.Customer"), F.col("c_custkey").cast("string"), F.lit(".visit")).alias("caller_fqn"),
+                 F.lit(0).cast("long").alias("ordinal"),
+                 F.lit("java.util.Objects.requireNonNull(Object)").alias("callee_sig"))))
+    return classes, methods, calls
+
+
+def graph_dag(spark: SparkSession, sf_dir: str):
+    """``g_dag``: one class ``dag.Part<k>`` per part.  Within each order
+    the distinct parts, sorted by key, call one another consecutively
+    (``run`` of the smaller key calls ``run`` of the next; ordinal = callee
+    key).  Parts with ``p_size = 1`` are controllers (entries).  Parts with
+    ``p_size % 5 = 0`` declare an overload ``run(long k, int size)`` after
+    ``run(long k)``.  Callees with ``p_size = 50`` have no class in the
+    index: their calls stay unresolved.  Returns (classes, methods, calls)."""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").distinct()
+    w = Window.partitionBy("l_orderkey").orderBy("l_partkey")
+    pairs = li.withColumn("nxt", F.lead("l_partkey").over(w)).where(F.col("nxt").isNotNull()) \
+        .select(F.col("l_partkey").alias("src"), F.col("nxt").alias("dst")).distinct()
+    known = p.where(F.col("p_size") != 50)
+    classes = known.select(F.lit("dag").alias("repo_id"),
+                           F.concat(F.lit("dag.Part"), F.col("p_partkey").cast("string")).alias("class_fqn"),
+                           F.when(F.col("p_size") == 1, "controller").otherwise("service").alias("kind"))
+    base = known.select(F.lit("dag").alias("repo_id"),
+                        F.concat(F.lit("dag.Part"), F.col("p_partkey").cast("string")).alias("class_fqn"),
+                        F.lit("run").alias("name"), F.array(F.lit("long k")).alias("params"),
+                        F.lit(0).alias("ordinal"))
+    over = known.where(F.col("p_size") % 5 == 0).select(
+        F.lit("dag").alias("repo_id"),
+        F.concat(F.lit("dag.Part"), F.col("p_partkey").cast("string")).alias("class_fqn"),
+        F.lit("run").alias("name"), F.array(F.lit("long k"), F.lit("int size")).alias("params"),
+        F.lit(1).alias("ordinal"))
+    methods = base.unionByName(over)
+    calls = pairs.select(F.lit("dag").alias("repo_id"),
+                         F.concat(F.lit("dag.Part"), F.col("src").cast("string"), F.lit(".run")).alias("caller_fqn"),
+                         F.col("dst").cast("long").alias("ordinal"),
+                         F.concat(F.lit("dag.Part"), F.col("dst").cast("string"), F.lit(".run(long)")).alias("callee_sig"))
+    return classes, methods, calls
+
+
+def events_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host E: ``call_flows`` from ``events``: entry = user, step = event
+    type, numbered by (ts, event_id)."""
+    e = table(spark, sf_dir, "events")
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return e.select(F.lit("events").alias("repo_id"), F.col("user_id").cast("string").alias("entry"),
+                    F.row_number().over(w).alias("step_no"), F.col("event_type").alias("step"))
