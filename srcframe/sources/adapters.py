@@ -161,3 +161,155 @@ def events_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     return e.select(F.lit("events").alias("repo_id"), F.col("user_id").cast("string").alias("entry"),
                     F.row_number().over(w).alias("step_no"), F.col("event_type").alias("step"))
+
+
+# ------------------------------------------------------ rendered Java (R)
+
+def _j(*parts) -> "F.Column":
+    """Concatenate literal text and columns into Java source text."""
+    return F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
+
+
+def java_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The per-part variables the Java templates use: ``k`` (key), ``s``
+    (size), ``h`` (chain head), ``repo_id`` (by the head's size) and
+    ``kind`` (k % 6)."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("s"))
+    head = p.select(F.col("k").alias("h"), F.col("s").alias("hs"))
+    d = p.withColumn("h", F.col("k") - F.col("k") % 6).join(head, "h", "left")
+    return d.select(
+        "k", "s", "h",
+        F.concat(F.lit("repo"), (F.coalesce(F.col("hs"), F.lit(0)) % 10).cast("string")).alias("repo_id"),
+        (F.col("k") % 6).alias("kind"))
+
+
+def java_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host R: one Java source file per part (FIXTURES §3.1).  Type by
+    ``k % 6``: controller, service, repository interface, entity, SOAP
+    endpoint, and for 5: an enum (even size), an annotation type (size a
+    multiple of 3) or a utility class with JDBC calls.  Every file carries traps for a lexical
+    reader: a commented-out class header, a string that looks like a call, a
+    block comment holding ``@Entity``."""
+    d = java_parts(spark, sf_dir)
+    k = F.col("k").cast("string")
+    k1 = (F.col("k") + 1).cast("string")
+    k2 = (F.col("k") + 2).cast("string")
+    k3 = (F.col("k") + 3).cast("string")
+    km2 = (F.col("k") - 2).cast("string")
+    km6 = (F.col("k") - 6).cast("string")
+    h = F.col("h").cast("string")
+    pkg = _j("package com.acme.c", h, ";\n\n")
+    var = F.when(F.col("s") % 3 == 0, "email").when(F.col("s") % 3 == 1, "cardNumber").otherwise("count")
+    ctrl = _j(pkg,
+              "import org.springframework.web.bind.annotation.GetMapping;\n"
+              "import org.springframework.web.bind.annotation.PathVariable;\n"
+              "import org.springframework.web.bind.annotation.PostMapping;\n"
+              "import org.springframework.web.bind.annotation.RequestBody;\n"
+              "import org.springframework.web.bind.annotation.RestController;\n\n"
+              "// public class Legacy", k, "Controller {\n"
+              "@RestController\n"
+              "public class Item", k, "Controller {\n\n"
+              "    private final Item", k1, "Service service;\n\n"
+              "    public Item", k, "Controller(Item", k1, "Service service) {\n"
+              "        this.service = service;\n"
+              "    }\n\n"
+              "    @GetMapping(\"/items/", k, "/{id}\")\n"
+              "    public String getItem(@PathVariable(\"id\") Long id) {\n"
+              "        String note = \"service.process(fake)\";\n"
+              "        return service.process(id);\n"
+              "    }\n\n"
+              "    @PostMapping(value = \"/items/", k, "\")\n"
+              "    public String createItem(@RequestBody Item", k3, " body) {\n"
+              "        return service.save(body);\n"
+              "    }\n"
+              "}\n")
+    svc = _j(pkg,
+             "import org.slf4j.Logger;\n"
+             "import org.slf4j.LoggerFactory;\n"
+             "import org.springframework.stereotype.Service;\n\n"
+             "/* @Entity\n"
+             "   public class Ghost {} */\n"
+             "@Service\n"
+             "public class Item", k, "Service {\n\n"
+             "    private static final Logger log = LoggerFactory.getLogger(Item", k, "Service.class);\n"
+             "    private Item", k1, "Repository repository;\n\n"
+             "    public String process(Long id) {\n"
+             "        String ", var, " = \"value", k, "\";\n"
+             "        log.info(\"Processing item {} for {}\", id, ", var, ");\n"
+             "        repository.findById(id);\n"
+             "        return \"ok\";\n"
+             "    }\n\n"
+             "    public String save(Item", k2, " body) {\n",
+             F.when(F.col("s") % 7 == 0, F.lit("        System.out.println(\"saving item\");\n")).otherwise(F.lit("")),
+             "        repository.save(body);\n"
+             "        return \"saved\";\n"
+             "    }\n"
+             "}\n")
+    repo = _j(pkg,
+              "import java.util.List;\n"
+              "import org.springframework.data.jpa.repository.JpaRepository;\n"
+              "import org.springframework.data.jpa.repository.Query;\n"
+              "import org.springframework.stereotype.Repository;\n\n"
+              "@Repository\n"
+              "public interface Item", k, "Repository extends JpaRepository<Item", k1, ", Long> {\n\n"
+              "    List<Item", k1, "> findByNameAndStatus(String name, String status);\n\n"
+              "    Item", k1, " saveItem(Item", k1, " item);\n\n"
+              "    @Query(\"SELECT i FROM item_", k1, " i WHERE i.id = ?1\")\n"
+              "    Item", k1, " loadById(Long id);\n"
+              "}\n")
+    ent = _j(pkg,
+             "import javax.persistence.Entity;\n"
+             "import javax.persistence.Id;\n"
+             "import javax.persistence.ManyToOne;\n"
+             "import javax.persistence.Table;\n\n"
+             "@Entity\n"
+             "@Table(name = \"item_", k, "\")\n"
+             "public class Item", k, " {\n\n"
+             "    @Id\n"
+             "    private Long id;\n\n"
+             "    private String name;\n",
+             F.when(F.col("k") >= 6, _j("\n    @ManyToOne\n    private Item", km6, " parent;\n")).otherwise(F.lit("")),
+             "}\n")
+    endp = _j(pkg,
+              "import javax.jws.WebMethod;\n"
+              "import javax.jws.WebService;\n\n"
+              "@WebService(targetNamespace = \"urn:item", k, "\", serviceName = \"Item", k, "Service\")\n"
+              "public class Item", k, "Endpoint {\n\n"
+              "    @WebMethod(operationName = \"getItem", k, "\")\n"
+              "    public String getItem(String id) {\n"
+              "        return id.trim();\n"
+              "    }\n"
+              "}\n")
+    enum = _j(pkg,
+              "public enum Item", k, "Util {\n"
+              "    ALPHA, BETA, GAMMA\n"
+              "}\n")
+    util = _j(pkg,
+              "import java.sql.Connection;\n\n"
+              "public class Item", k, "Util {\n\n"
+              "    public void run(Connection conn) throws Exception {\n"
+              "        String sql = \"SELECT * FROM item_", km2, " WHERE id = 1\";\n"
+              "        String copy = sql;\n"
+              "        conn.prepareStatement(copy);\n"
+              "        conn.createStatement().executeQuery(\"DELETE FROM audit_", k, " WHERE id = 2\");\n"
+              "    }\n"
+              "}\n")
+    anno = _j(pkg,
+              "import java.lang.annotation.Retention;\n"
+              "import java.lang.annotation.RetentionPolicy;\n\n"
+              "@Retention(RetentionPolicy.RUNTIME)\n"
+              "public @interface Item", k, "Util {\n"
+              "    String value() default \"item", k, "\";\n"
+              "    int priority() default ", F.col("s").cast("string"), ";\n"
+              "    boolean enabled();\n"
+              "}\n")
+    kind = F.col("kind")
+    content = (F.when(kind == 0, ctrl).when(kind == 1, svc).when(kind == 2, repo).when(kind == 3, ent)
+               .when(kind == 4, endp).when(F.col("s") % 2 == 0, enum).when(F.col("s") % 3 == 0, anno)
+               .otherwise(util))
+    suffix = (F.when(kind == 0, "Controller").when(kind == 1, "Service").when(kind == 2, "Repository")
+              .when(kind == 3, "").when(kind == 4, "Endpoint").otherwise("Util"))
+    path = F.concat(F.lit("src/main/java/com/acme/c"), h, F.lit("/Item"), k, suffix, F.lit(".java"))
+    out = d.select("repo_id", path.alias("path"), F.lit("java").alias("ext"), content.alias("content"))
+    return spread(out.withColumn("size", F.length("content").cast("long"))
+                  .select("repo_id", "path", "ext", "size", "content"))
