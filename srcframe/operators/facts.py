@@ -97,6 +97,16 @@ def mask(content: Column) -> Column:
     return F.array_join(F.zip_with(gaps, blanked, lambda g, b: F.concat(g, b)), "")
 
 
+def materialize(df: DataFrame, **exprs: Column) -> DataFrame:
+    """Add columns that are computed exactly once per row.
+
+    The columns come out of a generator (``inline`` of a one-element
+    array), so the optimizer neither copies their (large) expressions into
+    pushed-down filters nor into later projections.  Nothing is written."""
+    s = F.struct(*[e.alias(k) for k, e in exprs.items()])
+    return df.select("*", F.inline(F.array(s)))
+
+
 def strip(x: Column) -> Column:
     """Trim all whitespace (``trim`` only removes spaces)."""
     return F.regexp_replace(x, r"^\s+|\s+$", "")
@@ -133,11 +143,11 @@ def pair_brackets(df: DataFrame, key: list[str], text_col: str, open_: str, clos
 
 def masked_files(files: DataFrame) -> DataFrame:
     """``.java`` files with ``masked`` text, package and imports."""
-    j = files.where(F.col("path").endswith(".java"))
-    m = j.withColumn("masked", mask(F.col("content")))
+    j = files.where(F.col("path").endswith(".java")).select("repo_id", "path", "content")
+    m = materialize(j, masked=mask(F.col("content")))
     imports = F.regexp_extract_all(F.col("masked"), F.lit(r"(?m)^\s*import\s+(?!static\s)([\w.]+)\s*;"), 1)
-    return m.withColumn("package", F.regexp_extract("masked", r"(?m)^\s*package\s+([\w.]+)\s*;", 1)) \
-        .withColumn("imports", imports)
+    return materialize(m, package=F.regexp_extract("masked", r"(?m)^\s*package\s+([\w.]+)\s*;", 1),
+                       imports=imports)
 
 
 def _orig(content: Column, start: Column, length: Column) -> Column:
@@ -159,7 +169,7 @@ def extract_types(mf: DataFrame) -> DataFrame:
     decl)``."""
     decl = F.try_element_at(F.filter(spans(F.col("masked"), TYPE_DECL_RX),
                                  lambda s: depth_at(F.col("masked"), s["start"]) == 0), F.lit(1))
-    t = mf.withColumn("decl", decl).where(F.col("decl").isNotNull())
+    t = materialize(mf, decl=decl).where(F.col("decl").isNotNull())
     word = F.regexp_extract(F.col("decl.text"), r"^(@?\w+)", 1)
     t = t.withColumn("decl_kind", word) \
         .withColumn("name", F.regexp_extract(F.col("decl.text"), r"([\w$]+)$", 1))
@@ -184,9 +194,13 @@ def extract_types(mf: DataFrame) -> DataFrame:
         .withColumn("body_open", F.col("decl.start") + F.col("decl.len") + F.length(tail))
     t = t.withColumn("class_fqn", F.when(F.col("package") == "", F.col("name"))
                      .otherwise(F.concat_ws(".", "package", "name")))
-    t = t.withColumn("kind", classify_kind(F.col("decl_kind"), F.col("name"), F.col("annotations"),
-                                           F.col("parent"), F.col("interfaces"), F.col("package")))
-    return t
+    cols = ["decl_kind", "name", "annotations", "is_abstract", "is_interface", "parent", "interfaces",
+            "body_open", "class_fqn"]
+    t = materialize(t.select("repo_id", "path", "content", "masked", "package", "imports", "decl",
+                             *[F.col(c).alias("_" + c) for c in cols]),
+                    **{c: F.col("_" + c) for c in cols}).drop(*["_" + c for c in cols])
+    return materialize(t, kind=classify_kind(F.col("decl_kind"), F.col("name"), F.col("annotations"),
+                                             F.col("parent"), F.col("interfaces"), F.col("package")))
 
 
 def _ann_core_names(anns: Column) -> Column:
@@ -318,8 +332,8 @@ def extract_methods(types: DataFrame) -> DataFrame:
     (type, name, annotations), param_texts, annotations, throws, visibility,
     is_static, is_abstract, body_start, body_end)``.  Constructors are not
     methods (as in the reference)."""
-    base = types.select("repo_id", "path", "class_fqn", F.col("name").alias("class_name"), "package",
-                        "imports", "content", "masked")
+    base = types.where(F.col("decl_kind") != "@interface").select(
+        "repo_id", "path", "class_fqn", F.col("name").alias("class_name"), "package", "imports", "content", "masked")
     m = base.select("*", F.posexplode(F.filter(spans(F.col("masked"), METHOD_RX),
                                                lambda s: depth_at(F.col("masked"), s["start"]) == 1))
                     .alias("ord", "s"))
@@ -573,19 +587,66 @@ def with_arg_types(q: DataFrame, methods: DataFrame, locals_: DataFrame, fields:
         .drop("_mvars", "_fvars")
 
 
-def java_facts(files: DataFrame) -> dict[str, DataFrame]:
-    """All fact tables of a file table, sharing one masked scan."""
-    mf = masked_files(files)
-    types = extract_types(mf)
-    fields = extract_fields(types)
-    methods = extract_methods(types)
-    bodies = method_bodies(methods, mf)
-    locals_ = extract_locals(bodies)
-    raw = extract_calls(bodies)
-    q = with_arg_types(qualify_calls(raw, methods, fields, locals_, types), methods, locals_, fields, types)
-    calls = q.join(raw.select("repo_id", "class_fqn", "method_name", "method_ordinal", "ordinal", "args",
-                              "close_pos"),
-                   ["repo_id", "class_fqn", "method_name", "method_ordinal", "ordinal"])
-    classes = types.drop("content", "masked", "decl")
-    return {"files": mf, "classes": classes, "fields": fields, "methods": methods, "bodies": bodies,
-            "locals": locals_, "calls": calls}
+class JavaFacts:
+    """Fact tables of a file table, built on first use and sharing one
+    masked scan (``facts.classes``, ``facts.fields``, ``facts.methods``,
+    ``facts.bodies``, ``facts.locals``, ``facts.calls``)."""
+
+    def __init__(self, files: DataFrame):
+        self._files = files
+        self._t: dict[str, DataFrame] = {}
+
+    def _get(self, name, build):
+        if name not in self._t:
+            self._t[name] = build()
+        return self._t[name]
+
+    @property
+    def files(self) -> DataFrame:
+        return self._get("files", lambda: masked_files(self._files))
+
+    @property
+    def types(self) -> DataFrame:
+        return self._get("types", lambda: extract_types(self.files))
+
+    @property
+    def classes(self) -> DataFrame:
+        return self._get("classes", lambda: self.types.drop("content", "masked", "decl"))
+
+    @property
+    def fields(self) -> DataFrame:
+        return self._get("fields", lambda: extract_fields(self.types))
+
+    @property
+    def methods(self) -> DataFrame:
+        return self._get("methods", lambda: extract_methods(self.types))
+
+    @property
+    def bodies(self) -> DataFrame:
+        return self._get("bodies", lambda: method_bodies(self.methods, self.files))
+
+    @property
+    def locals(self) -> DataFrame:
+        return self._get("locals", lambda: extract_locals(self.bodies))
+
+    @property
+    def raw_calls(self) -> DataFrame:
+        return self._get("raw_calls", lambda: extract_calls(self.bodies))
+
+    @property
+    def calls(self) -> DataFrame:
+        def build():
+            q = qualify_calls(self.raw_calls, self.methods, self.fields, self.locals, self.types)
+            q = with_arg_types(q, self.methods, self.locals, self.fields, self.types)
+            return q.join(self.raw_calls.select("repo_id", "class_fqn", "method_name", "method_ordinal",
+                                                "ordinal", "args", "close_pos"),
+                          ["repo_id", "class_fqn", "method_name", "method_ordinal", "ordinal"])
+        return self._get("calls", build)
+
+    def __getitem__(self, name: str) -> DataFrame:
+        return getattr(self, name)
+
+
+def java_facts(files: DataFrame) -> JavaFacts:
+    """All fact tables of a file table (lazily built)."""
+    return JavaFacts(files)
