@@ -20,6 +20,7 @@ annotation arguments nest one level of parentheses.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -379,7 +380,9 @@ def method_bodies(methods: DataFrame, mf: DataFrame) -> DataFrame:
     ln = F.col("body_end") - F.col("body_start") + 1
     return b.withColumn("body", F.substr("content", F.col("body_start"), ln)) \
         .withColumn("body_masked", F.substr("masked", F.col("body_start"), ln)) \
-        .withColumn("body_offset", F.col("body_start")).drop("content", "masked")
+        .withColumn("body_offset", F.col("body_start")) \
+        .withColumn("body_line", F.lit(1) + count_char(F.substr("content", F.lit(1), F.col("body_start") - 1), "\n")) \
+        .drop("content", "masked")
 
 
 def extract_locals(bodies: DataFrame) -> DataFrame:
@@ -406,14 +409,14 @@ def extract_calls(bodies: DataFrame) -> DataFrame:
     call_pos)``; ``args`` is the original argument text."""
     key = ["repo_id", "path", "class_fqn", "method_name", "method_ordinal"]
     b = bodies.select("repo_id", "path", "class_fqn", F.col("name").alias("method_name"),
-                      F.col("ordinal").alias("method_ordinal"), "body", "body_masked", "body_offset")
+                      F.col("ordinal").alias("method_ordinal"), "body", "body_masked", "body_offset", "body_line")
     c = b.select("*", F.explode(spans(F.col("body_masked"), CALL_RX)).alias("s"))
     name = F.regexp_extract(F.col("s.text"), r"^([\w$]+)", 1)
     prefix = F.substr(F.col("body_masked"), F.lit(1), F.col("s.start") - 1)
     is_new = prefix.rlike(WB_L + r"new\s*$") | prefix.rlike(r"new\s+[\w$.]*\.\s*$")
     scope_dot = F.regexp_extract(prefix, SCOPE_RX, 1)
     scope = F.regexp_replace(F.regexp_replace(scope_dot, r"\s*\.\s*$", ""), r"\s+", "")
-    c = c.select(*key, "body", "body_masked", name.alias("name"),
+    c = c.select(*key, "body", "body_masked", "body_offset", "body_line", name.alias("name"),
                  F.when(scope == "", F.lit(None)).otherwise(scope).alias("scope_masked"),
                  F.length(scope_dot).alias("scope_len"),
                  (F.col("s.start") + F.col("s.len") - 1).alias("paren_pos"),
@@ -427,8 +430,11 @@ def extract_calls(bodies: DataFrame) -> DataFrame:
     scope_orig = F.when(F.col("scope_masked").isNotNull(), F.regexp_replace(F.regexp_replace(
         F.substr(F.col("body"), F.col("call_pos") - F.col("scope_len"), F.col("scope_len")),
         r"\s*\.\s*$", ""), r"\s+", ""))
+    expr_pos = F.col("call_pos") - F.col("scope_len")
+    line = F.col("body_line") + count_char(F.substr(F.col("body"), F.lit(1), expr_pos - 1), "\n")
     c = c.select(*key, "name", scope_orig.alias("scope"), args.alias("args"), args_m.alias("args_masked"),
-                 "call_pos", "close_pos")
+                 "call_pos", "close_pos", (F.col("body_offset") + expr_pos - 1).alias("file_pos"),
+                 line.cast("int").alias("line"))
     w = Window.partitionBy(*key).orderBy("close_pos", "call_pos")
     return c.withColumn("ordinal", (F.row_number().over(w) - 1).cast("int")) \
         .withColumn("arg_texts", split_args(F.col("args"), F.col("args_masked")))
@@ -548,12 +554,11 @@ def qualify_calls(calls: DataFrame, methods: DataFrame, fields: DataFrame, local
                     F.when(F.col("_dparams").isNotNull(), resolved_sig).alias("_rsig"))
 
 
-def with_arg_types(q: DataFrame, methods: DataFrame, locals_: DataFrame, fields: DataFrame,
-                   classes: DataFrame) -> DataFrame:
-    """Argument types for unresolved signatures: literal types, else the
-    declared type of a named variable when resolvable, else
-    ``UNKNOWN_PARAM_TYPE``.  Variables are looked up per method through a
-    map built from that method's own variables (a small, bounded group)."""
+def var_maps(methods: DataFrame, locals_: DataFrame, fields: DataFrame, classes: DataFrame):
+    """Per method a map variable → qualified type (null when the type is
+    not resolvable: not java.lang, primitive or a class of the repository),
+    and per class the same for fields.  Each map is built from one method's
+    or one class's own declarations: small, bounded groups."""
     key = ["repo_id", "class_fqn", "method_name", "method_ordinal"]
     vt = variable_types(methods, locals_)
     mctx = methods.select("repo_id", "class_fqn", F.col("name").alias("method_name"),
@@ -563,7 +568,6 @@ def with_arg_types(q: DataFrame, methods: DataFrame, locals_: DataFrame, fields:
         .select("repo_id", "class_fqn", F.col("name").alias("var"),
                 qualify(F.col("declared_type"), F.col("imports"), F.col("package")).alias("q"))
     fq = fq.dropDuplicates(["repo_id", "class_fqn", "var"])
-    # a variable's type is known when it is java.lang, primitive or a class of the repository
     kc = classes.select("repo_id", F.col("class_fqn").alias("_qb"), F.lit(True).alias("_in_repo"))
 
     def mark(df):
@@ -573,13 +577,34 @@ def with_arg_types(q: DataFrame, methods: DataFrame, locals_: DataFrame, fields:
         return d.withColumn("q", F.when(ok, F.col("q")))
     vq, fq = mark(vq), mark(fq)
     mmap = vq.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("var", "q"))).alias("_mvars"))
-    fmap = fq.groupBy("repo_id", "class_fqn").agg(F.map_from_entries(F.collect_list(F.struct("var", "q"))).alias("_fvars"))
+    fmap = fq.groupBy("repo_id", "class_fqn").agg(
+        F.map_from_entries(F.collect_list(F.struct("var", "q"))).alias("_fvars"))
+    return mmap, fmap
+
+
+def var_type(a: Column) -> Column:
+    """Qualified type of variable ``a`` from ``_mvars`` / ``_fvars`` (null
+    if unknown or unresolvable), locals and parameters first."""
+    in_method = F.coalesce(F.map_contains_key(F.col("_mvars"), a), F.lit(False))
+    return F.when(in_method, F.col("_mvars")[a]).otherwise(F.col("_fvars")[a])
+
+
+def is_declared(a: Column) -> Column:
+    return F.coalesce(F.map_contains_key(F.col("_mvars"), a), F.lit(False)) | \
+        F.coalesce(F.map_contains_key(F.col("_fvars"), a), F.lit(False))
+
+
+def with_arg_types(q: DataFrame, methods: DataFrame, locals_: DataFrame, fields: DataFrame,
+                   classes: DataFrame) -> DataFrame:
+    """Argument types for unresolved signatures: literal types, else the
+    declared type of a named variable when resolvable, else
+    ``UNKNOWN_PARAM_TYPE``."""
+    key = ["repo_id", "class_fqn", "method_name", "method_ordinal"]
+    mmap, fmap = var_maps(methods, locals_, fields, classes)
     j = q.join(mmap, key, "left").join(fmap, ["repo_id", "class_fqn"], "left")
 
     def arg_type(a):
-        in_method = F.coalesce(F.map_contains_key(F.col("_mvars"), a), F.lit(False))
-        vtq = F.when(in_method, F.col("_mvars")[a]).otherwise(F.col("_fvars")[a])
-        return F.coalesce(literal_type(a), vtq, F.lit("UNKNOWN_PARAM_TYPE"))
+        return F.coalesce(literal_type(a), var_type(a), F.lit("UNKNOWN_PARAM_TYPE"))
     types = F.transform(F.coalesce(F.col("arg_texts"), F.array().cast("array<string>")), arg_type)
     unres = F.concat(F.lit("UNRESOLVED_CALL: "), F.col("_scope_txt"), F.lit("."), F.col("name"), F.lit("("),
                      F.array_join(types, ", "), F.lit(")"))
@@ -590,17 +615,39 @@ def with_arg_types(q: DataFrame, methods: DataFrame, locals_: DataFrame, fields:
 class JavaFacts:
     """Fact tables of a file table, built on first use and sharing one
     masked scan (``facts.classes``, ``facts.fields``, ``facts.methods``,
-    ``facts.bodies``, ``facts.locals``, ``facts.calls``)."""
+    ``facts.bodies``, ``facts.locals``, ``facts.calls``).
 
-    def __init__(self, files: DataFrame):
+    Every operator downstream reads several of these tables, so each is
+    persisted (memory and disk) the first time it is built: the file scan,
+    masking and regex extraction run once, not once per consumer.  A lost
+    cached block is recomputed from lineage.  ``save`` writes them as
+    parquet tables partitioned by ``repo_id`` for reuse across jobs."""
+
+    PERSISTED = {"types", "fields", "methods", "bodies", "locals", "raw_calls", "calls"}
+
+    def __init__(self, files: DataFrame, persist: bool = True):
         self._files = files
+        self._persist = persist
         self._t: dict[str, DataFrame] = {}
 
     def _get(self, name, build):
         if name not in self._t:
-            self._t[name] = build()
+            df = build()
+            if self._persist and name in self.PERSISTED:
+                df = df.persist(StorageLevel.MEMORY_AND_DISK)
+            self._t[name] = df
         return self._t[name]
 
+    def unpersist(self) -> None:
+        for df in self._t.values():
+            df.unpersist()
+
+    def save(self, out: str, names=("classes", "fields", "methods", "locals", "calls")) -> None:
+        for n in names:
+            df = self[n]
+            df = df.drop(*[c for c in ("content", "masked", "body", "body_masked") if c in df.columns])
+            df.write.mode("overwrite").partitionBy("repo_id").parquet(f"{out.rstrip('/')}/{n}")
+
     @property
     def files(self) -> DataFrame:
         return self._get("files", lambda: masked_files(self._files))
@@ -639,7 +686,7 @@ class JavaFacts:
             q = qualify_calls(self.raw_calls, self.methods, self.fields, self.locals, self.types)
             q = with_arg_types(q, self.methods, self.locals, self.fields, self.types)
             return q.join(self.raw_calls.select("repo_id", "class_fqn", "method_name", "method_ordinal",
-                                                "ordinal", "args", "close_pos"),
+                                                "ordinal", "args", "close_pos", "file_pos", "line", "path"),
                           ["repo_id", "class_fqn", "method_name", "method_ordinal", "ordinal"])
         return self._get("calls", build)
 

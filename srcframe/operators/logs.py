@@ -8,7 +8,7 @@ All risk logic is column expressions (``rlike`` over the keyword families,
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from srcframe.operators.sensitive import log_catalog
@@ -129,3 +129,85 @@ def export_log_report(logs: DataFrame) -> DataFrame:
         F.when(F.col("is_pci_risk"), "Yes").otherwise("No").alias("pci_risk"),
         variables_text(F.col("variables")).alias("variables"),
     )
+
+
+# ------------------------------------------------------- Java log statements
+
+def _unquote(lit: Column) -> Column:
+    """Content of a string literal as written (escapes kept)."""
+    return F.regexp_extract(lit, r'^"(.*)"$', 1)
+
+
+def log_variable_of(arg: Column) -> Column:
+    """E4 ``log_variables``: one argument → (name, type) before flags:
+    a variable → its name and resolvable type (``complex_object`` when not
+    resolvable), ``this.f`` → ``f``, a literal → its text and type, anything
+    else (calls, expressions) → its text and ``complex_object``."""
+    from srcframe.operators.facts import is_declared, literal_type, var_type
+    ident = arg.rlike(r"^[\w$]+$")
+    this_f = F.regexp_extract(arg, r"^this\.([\w$]+)$", 1)
+    lt = literal_type(arg)
+    name = (F.when(ident, arg).when(this_f != "", this_f).otherwise(arg))
+    vtype = (F.when(lt.isNotNull(), lt)
+             .when(ident & is_declared(arg), F.coalesce(var_type(arg), F.lit("complex_object")))
+             .when(this_f != "", F.coalesce(F.col("_fvars")[this_f], F.lit("complex_object")))
+             .otherwise(F.lit("complex_object")))
+    return F.struct(name.alias("name"), vtype.alias("type"))
+
+
+def java_log_statements(fx) -> DataFrame:
+    """E1 + E2 + E3 + E4 + E9 + E10 over the fact tables of a Java corpus:
+    ``log_statements(repo_id, log_id, path, class_fqn, line, level, message,
+    variables, is_pii_risk, is_pci_risk)``.
+
+    E1: calls named trace/debug/info/warn/error with a scope (its type is
+    not checked).  E2: ``System.out/err.print(ln)`` at level debug.  E3: a
+    literal first argument is the message, else ``{DYNAMIC_MESSAGE}`` /
+    ``{DYNAMIC_CONTENT}`` and the argument becomes a variable.  E10: the
+    class is the innermost type around the call (``enclosing_class``)."""
+    from srcframe.operators.facts import var_maps
+    calls = fx.calls
+    is_log = F.lower("name").isin(*LOG_LEVELS) & F.col("scope").isNotNull()
+    is_out = F.col("name").isin("println", "print") & F.col("scope").isin("System.out", "System.err")
+    c = calls.where(is_log | is_out).withColumn("_stdout", is_out & ~is_log)
+    c = enclosing_class(c, fx.types)
+    mmap, fmap = var_maps(fx.methods, fx.locals, fx.fields, fx.types)
+    key = ["repo_id", "class_fqn", "method_name", "method_ordinal"]
+    c = c.join(mmap, key, "left").join(fmap, ["repo_id", "class_fqn"], "left")
+    args = F.coalesce(F.col("arg_texts"), F.array().cast("array<string>"))
+    first = F.try_element_at(args, F.lit(1))
+    first_lit = F.coalesce(F.startswith(first, F.lit('"')), F.lit(False))
+    # stdout statements look only at their first argument
+    var_args = (F.when(F.col("_stdout"), F.when(first_lit | first.isNull(), F.array().cast("array<string>"))
+                       .otherwise(F.array(first)))
+                .when(first_lit, F.slice(args, F.lit(2), F.greatest(F.size(args) - 1, F.lit(0))))
+                .otherwise(args))
+    message = (F.when(first.isNull(), F.lit(""))
+               .when(first_lit, _unquote(first))
+               .when(F.col("_stdout"), F.lit("{DYNAMIC_CONTENT}"))
+               .otherwise(F.lit("{DYNAMIC_MESSAGE}")))
+    level = F.when(F.col("_stdout"), F.lit("debug")).otherwise(F.lower("name"))
+    variables = F.transform(var_args, lambda a: log_variable_of(a))
+    variables = F.transform(variables, lambda v: log_variable(v["name"], v["type"]))
+    out = c.select("repo_id", "path", F.col("enclosing_fqn").alias("class_fqn"), "line",
+                   level.alias("level"), message.alias("message"), variables.alias("variables"),
+                   first_lit.alias("_lit"), "file_pos")
+    out = statement_risk(out, F.col("_lit")).drop("_lit")
+    return out.withColumn("log_id", log_id("repo_id", "path", "file_pos", "message")).drop("file_pos")
+
+
+def enclosing_class(calls: DataFrame, types: DataFrame) -> DataFrame:
+    """E10 ``enclosing_class``: the innermost type whose body contains the
+    call.  A range join on (repo_id, path) with the position between the
+    body's braces, then the type with the greatest start; calls outside any
+    type are dropped (the reference skips them)."""
+    spans_ = types.select("repo_id", "path", F.col("class_fqn").alias("enclosing_fqn"),
+                          F.col("body_open").alias("_b0"))
+    # the body end of each type: its matching closing brace
+    from srcframe.operators.facts import pair_brackets
+    pairs = pair_brackets(types, ["repo_id", "path"], "masked", "{", "}") \
+        .select("repo_id", "path", F.col("open_pos").alias("_b0"), F.col("close_pos").alias("_b1"))
+    t = spans_.join(pairs, ["repo_id", "path", "_b0"])
+    j = calls.join(t, ["repo_id", "path"]).where((F.col("file_pos") > F.col("_b0")) & (F.col("file_pos") < F.col("_b1")))
+    w = Window.partitionBy("repo_id", "path", "file_pos").orderBy(F.col("_b0").desc())
+    return j.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r", "_b0", "_b1")
