@@ -28,4 +28,5 @@ def register(name: str, oracle: str | None = None):
 
 def load_all() -> None:
     """Import every plan module so that its queries register."""
-    from srcframe.plans import callgraph_q, facts_q, javalogs_q, logs_q, sensitive_q  # noqa: F401
+    from srcframe.plans import (callgraph_q, facts_q, javalogs_q, logs_q, project_q,  # noqa: F401
+                                sensitive_q)

@@ -313,3 +313,65 @@ def java_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = d.select("repo_id", path.alias("path"), F.lit("java").alias("ext"), content.alias("content"))
     return spread(out.withColumn("size", F.length("content").cast("long"))
                   .select("repo_id", "path", "ext", "size", "content"))
+
+
+# ------------------------------------------------------- build files (M)
+
+def build_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host M: one repository ``proj<n>`` per nation with build files.
+    ``n % 3``: 0 → ``pom.xml`` with the Spring Boot parent ``3.<n>.0``,
+    Java ``1.8`` as a property (even n) or ``17`` in the compiler plugin
+    (odd n), modules ``m0..m(n % 4)`` of which the even ones exist as
+    directories; 1 → ``build.gradle`` with the Spring Boot plugin
+    ``3.<n>.1``; 2 → no build file, and an application class annotated
+    ``@SpringBootApplication`` when n is even.  Even n also carry a Gherkin
+    feature file, and n divisible by 5 a second one under ``features/``."""
+    nat = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("n"))
+    ns = F.col("n").cast("string")
+    repo = F.concat(F.lit("proj"), ns)
+    mods = F.sequence(F.lit(0), F.col("n") % 4)
+    modules_xml = F.array_join(F.transform(mods, lambda i: F.concat(F.lit("    <module>m"), i.cast("string"),
+                                                                    F.lit("</module>"))), "\n")
+    java_xml = F.when(F.col("n") % 2 == 0, _j(
+        "  <properties>\n    <maven.compiler.source>1.8</maven.compiler.source>\n  </properties>\n")) \
+        .otherwise(_j("  <build>\n    <plugins>\n      <plugin>\n        <groupId>org.apache.maven.plugins</groupId>\n"
+                      "        <artifactId>maven-compiler-plugin</artifactId>\n        <configuration>\n"
+                      "          <release>17</release>\n        </configuration>\n      </plugin>\n"
+                      "    </plugins>\n  </build>\n"))
+    pom = _j('<?xml version="1.0" encoding="UTF-8"?>\n'
+             '<project xmlns="http://maven.apache.org/POM/4.0.0">\n'
+             "  <modelVersion>4.0.0</modelVersion>\n"
+             "  <parent>\n    <groupId>org.springframework.boot</groupId>\n"
+             "    <artifactId>spring-boot-starter-parent</artifactId>\n"
+             "    <version>3.", ns, ".0</version>\n  </parent>\n"
+             "  <artifactId>nation", ns, "</artifactId>\n", java_xml,
+             "  <modules>\n", modules_xml, "\n  </modules>\n</project>\n")
+    gradle = _j("plugins {\n    id 'java'\n    id 'org.springframework.boot' version '3.", ns, ".1'\n}\n\n"
+                "group = 'com.nation", ns, "'\n")
+    app = _j("package com.nation", ns, ";\n\n",
+             F.when(F.col("n") % 2 == 0, F.lit("@SpringBootApplication\n")).otherwise(F.lit("")),
+             "public class App", ns, " {\n}\n")
+    rows = [
+        nat.where(F.col("n") % 3 == 0).select(repo.alias("repo_id"), F.lit("pom.xml").alias("path"), pom.alias("content")),
+        nat.where(F.col("n") % 3 == 1).select(repo.alias("repo_id"), F.lit("build.gradle").alias("path"),
+                                              gradle.alias("content")),
+        nat.select(repo.alias("repo_id"), F.concat(F.lit("src/main/java/com/nation"), ns, F.lit("/App"), ns,
+                                                   F.lit(".java")).alias("path"), app.alias("content")),
+        # module directories: even module numbers exist
+        nat.where(F.col("n") % 3 == 0).select(repo.alias("repo_id"), F.explode(F.filter(mods, lambda i: i % 2 == 0)).alias("m"))
+        .select("repo_id", F.concat(F.lit("m"), F.col("m").cast("string"), F.lit("/pom.xml")).alias("path"),
+                F.lit("<project/>\n").alias("content")),
+        nat.where(F.col("n") % 2 == 0).select(repo.alias("repo_id"),
+                                              F.concat(F.lit("src/test/resources/features/nation"), ns,
+                                                       F.lit(".feature")).alias("path"),
+                                              _j("Feature: Nation ", ns, "\n  Scenario: lookup\n    Given nation ", ns,
+                                                 "\n").alias("content")),
+        nat.where(F.col("n") % 5 == 0).select(repo.alias("repo_id"), F.lit("features/extra.feature").alias("path"),
+                                              F.lit("Feature: Extra\n").alias("content")),
+    ]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    from srcframe.functions.text import ext_of
+    return out.select("repo_id", "path", ext_of(F.col("path")).alias("ext"),
+                      F.length("content").cast("long").alias("size"), "content")
