@@ -75,12 +75,23 @@ def _sum_len(arr: Column) -> Column:
 
 def spans(text: Column, rx: str) -> Column:
     """Every non-overlapping match of ``rx`` (which must not match the
-    empty string) as ``array<struct<start, len, text>>``; start is 1-based."""
+    empty string) as ``array<struct<start, len, text>>``; start is 1-based.
+
+    ``split`` and ``regexp_extract_all`` see the same matches, so the text
+    between matches and the matches alternate; one ``aggregate`` pass keeps
+    the running position.  Both regex passes run once per row (they are
+    arguments, not referenced inside the lambda)."""
     m = F.regexp_extract_all(text, F.lit(rx), 0)
     g = F.split(text, rx, -1)
-    return F.transform(m, lambda x, i: F.struct(
-        (F.lit(1) + _sum_len(F.slice(g, 1, i + 1)) + _sum_len(F.slice(m, 1, i))).cast("int").alias("start"),
-        F.length(x).cast("int").alias("len"), x.alias("text")))
+    z = F.zip_with(g, m, lambda a, b: F.struct(a.alias("g"), b.alias("m")))
+    init = F.struct(F.lit(1).alias("pos"), F.array().cast(T.ArrayType(SPAN)).alias("out"))
+
+    def step(acc, x):
+        start = acc["pos"] + F.length(x["g"])
+        out = F.when(x["m"].isNull(), acc["out"]).otherwise(F.array_append(acc["out"], F.struct(
+            start.cast("int").alias("start"), F.length(x["m"]).cast("int").alias("len"), x["m"].alias("text"))))
+        return F.struct((start + F.coalesce(F.length(x["m"]), F.lit(0))).alias("pos"), out.alias("out"))
+    return F.aggregate(z, init, step, lambda acc: acc["out"])
 
 
 def mask(content: Column) -> Column:
@@ -125,13 +136,17 @@ def depth_at(masked: Column, pos: Column, open_: str = "{", close: str = "}") ->
 
 def pair_brackets(df: DataFrame, key: list[str], text_col: str, open_: str, close: str) -> DataFrame:
     """(key…, open_pos, close_pos, level) for every bracket pair in
-    ``text_col``.  Depth is a running sum per text (a window over that
-    text's brackets); at each level openers and closers alternate, so
-    ``lead`` pairs them."""
+    ``text_col``.  The text splits into pieces at brackets; one row per
+    bracket, its position and depth are running sums over the text's rows
+    (a window per text, no array growth); at each level openers and
+    closers alternate, so ``lead`` pairs them."""
     rx = "[" + "\\" + open_ + "\\" + close + "]"
-    b = df.select(*key, F.explode(spans(F.col(text_col), rx)).alias("b")) \
-        .select(*key, F.col("b.start").alias("pos"), (F.col("b.text") == open_).alias("is_open"))
-    w = Window.partitionBy(*key).orderBy("pos")
+    z = F.zip_with(F.split(F.col(text_col), rx, -1), F.regexp_extract_all(F.col(text_col), F.lit(rx), 0),
+                   lambda a, b: F.struct(F.length(a).alias("n"), b.alias("ch")))
+    b = df.select(*key, F.posexplode(z).alias("i", "z")).select(*key, "i", "z.n", "z.ch")
+    w = Window.partitionBy(*key).orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    b = b.withColumn("pos", (F.sum(F.col("n") + 1).over(w)).cast("int")).where(F.col("ch").isNotNull())
+    b = b.withColumn("is_open", F.col("ch") == open_)
     b = b.withColumn("d", F.sum(F.when(F.col("is_open"), 1).otherwise(-1)).over(w))
     b = b.withColumn("level", F.when(F.col("is_open"), F.col("d")).otherwise(F.col("d") + 1))
     w2 = Window.partitionBy(*key, "level").orderBy("pos")
@@ -638,6 +653,13 @@ class JavaFacts:
             self._t[name] = df
         return self._t[name]
 
+    def memo(self, name: str, build) -> DataFrame:
+        """A derived table (built once per fact set, persisted)."""
+        if name not in self._t:
+            df = build()
+            self._t[name] = df.persist(StorageLevel.MEMORY_AND_DISK) if self._persist else df
+        return self._t[name]
+
     def unpersist(self) -> None:
         for df in self._t.values():
             df.unpersist()

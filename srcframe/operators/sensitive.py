@@ -137,20 +137,14 @@ FINDING = T.StructType([
 ])
 
 
-def _sum_len(arr: Column) -> Column:
-    return F.aggregate(arr, F.lit(0), lambda acc, s: acc + F.length(s))
-
-
 def match_spans(line: Column, p: Pattern) -> Column:
-    """Array of (finding_type, column_no, matched_text) for one pattern."""
+    """Array of (finding_type, column_no, matched_text) for one pattern, by
+    the split/extract identity in one ``aggregate`` pass."""
+    from srcframe.operators.facts import spans
     rx = p.java
-    m = F.regexp_extract_all(line, F.lit(rx), 0)
-    g = F.split(line, rx, -1)
-    spans = F.transform(m, lambda x, i: F.struct(
-        F.lit(p.name).alias("finding_type"),
-        (F.lit(1) + _sum_len(F.slice(g, 1, i + 1)) + _sum_len(F.slice(m, 1, i))).cast("int").alias("column_no"),
-        x.alias("matched_text")))
-    return F.when(line.rlike(rx), spans).otherwise(F.array().cast(T.ArrayType(FINDING)))
+    sp = F.transform(spans(line, rx), lambda x: F.struct(
+        F.lit(p.name).alias("finding_type"), x["start"].alias("column_no"), x["text"].alias("matched_text")))
+    return F.when(line.rlike(rx), sp).otherwise(F.array().cast(T.ArrayType(FINDING)))
 
 
 def scan_lines(lines: DataFrame, patterns: list[Pattern], max_len: int = MAX_LINE_LENGTH,

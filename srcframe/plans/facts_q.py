@@ -18,9 +18,17 @@ from srcframe.sources.adapters import java_files
 
 
 
+_FACTS: dict = {}
+
+
 def facts(spark, sf_dir) -> B.JavaFacts:
-    """Fact tables of the rendered corpus, built on first use."""
-    return B.java_facts(java_files(spark, sf_dir))
+    """Fact tables of the rendered corpus, built on first use and shared by
+    every query of the same session and data directory (the tables persist,
+    so the scan and extraction run once per session)."""
+    key = (id(spark), spark.sparkContext.applicationId, sf_dir)
+    if key not in _FACTS:
+        _FACTS[key] = B.java_facts(java_files(spark, sf_dir))
+    return _FACTS[key]
 
 
 
@@ -124,8 +132,9 @@ def _fields(spark, sf_dir):
     return facts(spark, sf_dir)["fields"]
 
 
-_FIELD_COLS = ["repo_id", "class_fqn", "ordinal", "name", F.col("declared_type").alias("type"),
-               F.array_join("annotations", "|").alias("annotations"), "visibility", "is_static", "is_final"]
+def _field_cols():
+    return ["repo_id", "class_fqn", "ordinal", "name", F.col("declared_type").alias("type"),
+            F.array_join("annotations", "|").alias("annotations"), "visibility", "is_static", "is_final"]
 
 
 @register("extract_fields", _sql(FIELDS_SQL + """
@@ -135,7 +144,7 @@ def q_extract_fields(spark, sf_dir):
     fx = facts(spark, sf_dir)
     f = fx.fields
     c = fx.classes.where(F.col("kind").isin("enum", "annotation")).select("repo_id", "class_fqn")
-    return f.join(c, ["repo_id", "class_fqn"], "left_anti").select(*_FIELD_COLS)
+    return f.join(c, ["repo_id", "class_fqn"], "left_anti").select(*_field_cols())
 
 
 @register("extract_enums", _sql(FIELDS_SQL + """
@@ -181,7 +190,9 @@ METHODS_SQL = """mx AS (
          '@Query("SELECT i FROM item_' || k1 || ' i WHERE i.id = ?1")', '', 'default', '' FROM jc WHERE t = 2
   UNION ALL SELECT repo_id, class_fqn, 0, 'getItem', 'String', 'String id',
          '@WebMethod(operationName = "getItem' || ks || '")', '', 'public', '' FROM jc WHERE t = 4
-  UNION ALL SELECT repo_id, class_fqn, 0, 'run', 'void', 'Connection conn', '', 'Exception', 'public', ''
+  UNION ALL SELECT repo_id, class_fqn, 0, 'executeAudit', 'void', 'Connection conn', '', 'Exception', 'public', ''
+    FROM jc WHERE t = 5 AND variant = 'util'
+  UNION ALL SELECT repo_id, class_fqn, 1, 'auditQuery', 'String', '', '', '', 'public', ''
     FROM jc WHERE t = 5 AND variant = 'util')"""
 
 
@@ -231,8 +242,8 @@ LOCALS_SQL = """lx AS (
     FROM jc WHERE t = 0
   UNION ALL SELECT repo_id, class_fqn, 'process', 0, 'String',
     CASE s % 3 WHEN 0 THEN 'email' WHEN 1 THEN 'cardNumber' ELSE 'count' END FROM jc WHERE t = 1
-  UNION ALL SELECT repo_id, class_fqn, 'run', 0, 'String', 'sql' FROM jc WHERE t = 5 AND variant = 'util'
-  UNION ALL SELECT repo_id, class_fqn, 'run', 1, 'String', 'copy' FROM jc WHERE t = 5 AND variant = 'util')"""
+  UNION ALL SELECT repo_id, class_fqn, 'executeAudit', 0, 'String', 'sql' FROM jc WHERE t = 5 AND variant = 'util'
+  UNION ALL SELECT repo_id, class_fqn, 'executeAudit', 1, 'String', 'copy' FROM jc WHERE t = 5 AND variant = 'util')"""
 
 
 @register("extract_locals", _sql(LOCALS_SQL + """
@@ -262,11 +273,11 @@ CALLS_SQL = """cx AS (
     FROM jc WHERE t = 1
   UNION ALL SELECT repo_id, class_fqn, 'getItem', 0, 'trim', 'id', 'UNRESOLVED_CALL: java.lang.String.trim()'
     FROM jc WHERE t = 4
-  UNION ALL SELECT repo_id, class_fqn, 'run', 0, 'prepareStatement', 'conn',
+  UNION ALL SELECT repo_id, class_fqn, 'executeAudit', 0, 'prepareStatement', 'conn',
          'UNRESOLVED_CALL: conn.prepareStatement(java.lang.String)' FROM jc WHERE t = 5 AND variant = 'util'
-  UNION ALL SELECT repo_id, class_fqn, 'run', 1, 'createStatement', 'conn',
+  UNION ALL SELECT repo_id, class_fqn, 'executeAudit', 1, 'createStatement', 'conn',
          'UNRESOLVED_CALL: conn.createStatement()' FROM jc WHERE t = 5 AND variant = 'util'
-  UNION ALL SELECT repo_id, class_fqn, 'run', 2, 'executeQuery', 'conn.createStatement()',
+  UNION ALL SELECT repo_id, class_fqn, 'executeAudit', 2, 'executeQuery', 'conn.createStatement()',
          'UNRESOLVED_CALL: conn.createStatement().executeQuery(java.lang.String)'
     FROM jc WHERE t = 5 AND variant = 'util')"""
 

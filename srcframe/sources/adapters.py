@@ -287,11 +287,14 @@ def java_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     util = _j(pkg,
               "import java.sql.Connection;\n\n"
               "public class Item", k, "Util {\n\n"
-              "    public void run(Connection conn) throws Exception {\n"
+              "    public void executeAudit(Connection conn) throws Exception {\n"
               "        String sql = \"SELECT * FROM item_", km2, " WHERE id = 1\";\n"
               "        String copy = sql;\n"
               "        conn.prepareStatement(copy);\n"
               "        conn.createStatement().executeQuery(\"DELETE FROM audit_", k, " WHERE id = 2\");\n"
+              "    }\n\n"
+              "    public String auditQuery() {\n"
+              "        return \"UPDATE item_", km2, " SET name = 'x' WHERE id = 3\";\n"
               "    }\n"
               "}\n")
     anno = _j(pkg,
