@@ -110,7 +110,7 @@ def classify_external(unresolved: DataFrame, classes: DataFrame, sig_col: str =
     """H6 ``classify_external``: a repository CRUD call is a Spring Data
     framework call, a call into 8 library packages a JDK/Lib call, else
     unresolved/external.  Adds ``step_class``."""
-    b = base_fqn(F.col(sig_col))
+    b = base_fqn(unprefixed(F.col(sig_col)))
     u = unresolved.withColumn("_cls", F.regexp_extract(b, r"^(.*)\.", 1)) \
         .withColumn("_mth", F.substring_index(b, ".", -1))
     repos = classes.where(F.lower("kind") == "repository").select(
@@ -248,6 +248,24 @@ def call_flow(methods: DataFrame, calls: DataFrame, classes: DataFrame,
         "repo_id", "entry", "step_no", "step", "step_key", "step_class")
 
 
+def diagram_title(diagram_type: Column) -> Column:
+    """H17 ``diagram_title`` for a diagram type: ``_`` → space, words
+    capitalised (``CLASS_DIAGRAM`` → ``Class Diagram``)."""
+    return F.initcap(F.lower(F.replace(diagram_type, F.lit("_"), F.lit(" "))))
+
+
+def sequence_title(entry: Column) -> Column:
+    """H17 short title of a sequence diagram: ``SimpleClass.method`` of the
+    entry signature, else the method, else the whole text."""
+    cm = F.regexp_extract(entry, r"([\w$.]+)\.([^.(]+)\(", 0)
+    cls = F.regexp_extract(entry, r"([\w$.]+)\.([^.(]+)\(", 1)
+    meth = F.regexp_extract(entry, r"([\w$.]+)\.([^.(]+)\(", 2)
+    simple_m = F.regexp_extract(entry, r"\.([^.(]+)\(", 1)
+    t = (F.when(cm != "", F.concat(F.substring_index(cls, ".", -1), F.lit("."), meth))
+         .when(simple_m != "", simple_m).otherwise(entry))
+    return F.concat(F.lit("Sequence: "), t)
+
+
 def drop_consecutive_duplicates(flows: DataFrame, key: tuple[str, ...] = ("repo_id", "entry")) -> DataFrame:
     """H8: drop a step equal to the step before it, then renumber."""
     w = Window.partitionBy(*key).orderBy("step_no")

@@ -29,4 +29,4 @@ def register(name: str, oracle: str | None = None):
 def load_all() -> None:
     """Import every plan module so that its queries register."""
     from srcframe.plans import (callgraph_q, endpoints_q, facts_q, javalogs_q, logs_q,  # noqa: F401
-                                project_q, sensitive_q, sqlops_q, structure_q)
+                                project_q, scalars_q, sensitive_q, sqlops_q, structure_q)
