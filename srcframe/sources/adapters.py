@@ -378,3 +378,44 @@ def build_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from srcframe.functions.text import ext_of
     return out.select("repo_id", "path", ext_of(F.col("path")).alias("ext"),
                       F.length("content").cast("long").alias("size"), "content")
+
+
+# ---------------------------------------------------------------- WSDL (X)
+
+def wsdl_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host X: one WSDL per supplier in repository ``ws<s_nationkey>``:
+    target namespace ``urn:n<nationkey>``, ``s_suppkey % 3 + 1``
+    operations ``op<i>`` (operation 1 overrides the binding style with
+    ``rpc``), one binding, one service with one port."""
+    sup = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("s"), F.col("s_nationkey").alias("nk"))
+    s_ = F.col("s").cast("string")
+    nk = F.col("nk").cast("string")
+    ops = F.sequence(F.lit(0), F.col("s") % 3)
+
+    def per_op(fn):
+        return F.array_join(F.transform(ops, lambda i: fn(i.cast("string"), i)), "")
+    messages = per_op(lambda i, _: _j('  <message name="Op', i, 'Request"><part name="parameters" element="tns:Op', i,
+                                      'Req"/></message>\n  <message name="Op', i, 'Response"><part name="parameters" '
+                                      'element="tns:Op', i, 'Resp"/></message>\n'))
+    pt_ops = per_op(lambda i, _: _j('    <operation name="op', i, '"><documentation>Operation ', i, ' of supplier ', s_,
+                                    '</documentation><input message="tns:Op', i, 'Request"/><output message="tns:Op', i,
+                                    'Response"/></operation>\n'))
+    b_ops = per_op(lambda i, ii: _j('    <operation name="op', i, '"><soap:operation soapAction="urn:n', nk, '/op', i, '"',
+                                    F.when(ii == 1, F.lit(' style="rpc"')).otherwise(F.lit("")),
+                                    '/><input><soap:body use="literal"/></input><output><soap:body use="literal"/></output>'
+                                    '</operation>\n'))
+    content = _j('<?xml version="1.0" encoding="UTF-8"?>\n'
+                 '<definitions xmlns="http://schemas.xmlsoap.org/wsdl/" xmlns:soap="http://schemas.xmlsoap.org/wsdl/soap/" '
+                 'xmlns:tns="urn:n', nk, '" targetNamespace="urn:n', nk, '" name="Supplier', s_, '">\n',
+                 messages,
+                 '  <portType name="Supplier', s_, 'PortType">\n', pt_ops, '  </portType>\n'
+                 '  <binding name="Supplier', s_, 'Binding" type="tns:Supplier', s_, 'PortType">\n'
+                 '    <soap:binding style="document" transport="http://schemas.xmlsoap.org/soap/http"/>\n', b_ops,
+                 '  </binding>\n'
+                 '  <service name="Supplier', s_, 'Service"><port name="Supplier', s_, 'Port" binding="tns:Supplier', s_,
+                 'Binding"><soap:address location="http://example.org/s', s_, '"/></port></service>\n'
+                 '</definitions>\n')
+    out = sup.select(F.concat(F.lit("ws"), nk).alias("repo_id"),
+                     F.concat(F.lit("src/main/resources/wsdl/supplier"), s_, F.lit(".wsdl")).alias("path"),
+                     F.lit("wsdl").alias("ext"), content.alias("content"))
+    return out.withColumn("size", F.length("content").cast("long")).select("repo_id", "path", "ext", "size", "content")
