@@ -89,3 +89,32 @@ def wsdl_endpoints(files: DataFrame) -> DataFrame:
     return j.select("repo_id", F.lit("SOAP").alias("type"), "path", "binding", "operation", "port_type", "op_path",
                     "style", "soap_action", "use", "target_namespace", "service_name", "port_name",
                     "request_message", "response_message", "documentation")
+
+
+def combine_endpoints(annotated: DataFrame, wsdl_eps: DataFrame) -> DataFrame:
+    """G18 ``combine_endpoints``: SOAP endpoints from annotations and from
+    WSDL files matched on (repository, lower namespace, lower operation).
+    WSDL facts win for the document fields (style, soapAction, use, service,
+    port, port type, messages), annotations for the code fields (handler,
+    class, method); unmatched rows of both sides are kept.  A WSDL key seen
+    twice keeps its last occurrence."""
+    a = annotated.where(F.upper("type") == "SOAP").select(
+        "repo_id", F.lower("target_namespace").alias("_ns"), F.lower("operation_name").alias("_op"),
+        F.col("operation_name").alias("a_operation"), F.col("target_namespace").alias("a_namespace"),
+        "handler", "class_fqn", "method_name", F.col("service_name").alias("a_service"),
+        F.col("soap_action").alias("a_action"))
+    w = wsdl_eps.withColumn("_ns", F.lower("target_namespace")).withColumn("_op", F.lower("operation"))
+    win = Window.partitionBy("repo_id", "_ns", "_op").orderBy(F.col("path").desc(), F.col("op_path").desc())
+    w = w.withColumn("_r", F.row_number().over(win)).where("_r = 1").select(
+        "repo_id", "_ns", "_op", F.col("operation").alias("w_operation"), F.col("target_namespace").alias("w_namespace"),
+        "style", F.col("soap_action").alias("w_action"), "use", F.col("service_name").alias("w_service"),
+        "port_name", "port_type", "request_message", "response_message")
+    j = a.join(w, ["repo_id", "_ns", "_op"], "full_outer")
+    src = (F.when(F.col("handler").isNotNull() & F.col("w_operation").isNotNull(), "both")
+           .when(F.col("handler").isNotNull(), "annotation").otherwise("wsdl"))
+    return j.select("repo_id", F.coalesce("w_operation", "a_operation").alias("operation_name"),
+                    F.coalesce("w_namespace", "a_namespace").alias("target_namespace"),
+                    F.coalesce("w_action", "a_action").alias("soap_action"),
+                    F.coalesce("w_service", "a_service").alias("service_name"),
+                    "style", "use", "port_name", "port_type", "request_message", "response_message",
+                    "handler", "class_fqn", "method_name", src.alias("source"))

@@ -56,3 +56,13 @@ def q_all_endpoints(spark, sf_dir):
     ann = G.endpoints(facts(spark, sf_dir)).select("type")
     ws = W.wsdl_endpoints(wsdl_files(spark, sf_dir)).select("type")
     return ann.unionByName(ws).groupBy("type").agg(F.count(F.lit(1)).alias("n_endpoints"))
+
+
+@register("combine_endpoints", f"""WITH {WX}
+SELECT source, count(*) AS n FROM (
+  SELECT 'wsdl' AS source FROM (SELECT DISTINCT repo_id, nk, i FROM wx)
+  UNION ALL SELECT 'annotation' FROM part WHERE p_partkey % 6 = 4) GROUP BY source""")
+def q_combine_endpoints(spark, sf_dir):
+    from pyspark.sql import functions as F
+    c = W.combine_endpoints(G.endpoints(facts(spark, sf_dir)), W.wsdl_endpoints(wsdl_files(spark, sf_dir)))
+    return c.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
