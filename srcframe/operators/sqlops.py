@@ -359,3 +359,34 @@ def is_entity_ui(annotations: Column, kind: Column) -> Column:
     """F28 ``is_entity`` (UI rule): kind entity, or an annotation whose
     core name ends with ``Entity``."""
     return (F.lower(kind) == "entity") | F.exists(annotations, lambda a: a.rlike(r"^@?[^(]*Entity(\(|$)"))
+
+
+def entity_endpoints(classes: DataFrame, eps: DataFrame) -> DataFrame:
+    """F29 ``entity_endpoints``: endpoints that use an entity — its simple
+    name or FQN equals the request or response body type or the class, or
+    the handler text contains its name — deduplicated per entity on
+    (method, path, handler).
+
+    The "contains" test is exact without pairing every endpoint with every
+    entity: an entity name has no dot, so it can only occur inside one
+    identifier run of the handler; every substring of every run becomes a
+    key (bounded by identifier length) and meets the names in an
+    equi-join.  A contained FQN implies a contained simple name, so the
+    name join covers it."""
+    ents = classes.where(is_entity_ui(F.col("annotations"), F.col("kind"))).select(
+        "repo_id", F.col("name").alias("entity"), F.col("class_fqn").alias("entity_fqn"))
+    keys = ents.select("repo_id", "entity", F.explode(F.array("entity", "entity_fqn")).alias("k"))
+    e = eps.select("repo_id", "http_method", "path", "handler", "class_fqn", "request_body_type", "response_body_type")
+    eq = None
+    for c in ["request_body_type", "response_body_type", "class_fqn"]:
+        j = e.join(keys, (e.repo_id == keys.repo_id) & (e[c] == keys.k)).select(
+            e.repo_id, "entity", "http_method", "path", "handler")
+        eq = j if eq is None else eq.unionByName(j)
+    runs = F.regexp_extract_all("handler", F.lit(r"[\w$]+"), 0)
+    subs = F.array_distinct(F.flatten(F.transform(runs, lambda r: F.flatten(F.transform(
+        F.sequence(F.lit(1), F.length(r)), lambda i: F.transform(
+            F.sequence(i, F.length(r)), lambda j: F.substr(r, i, j - i + 1)))))))
+    sub = e.select("repo_id", "http_method", "path", "handler", F.explode(subs).alias("entity"))
+    contains = sub.join(ents.select("repo_id", "entity").distinct(), ["repo_id", "entity"]).select(
+        "repo_id", "entity", "http_method", "path", "handler")
+    return eq.unionByName(contains).dropDuplicates(["repo_id", "entity", "http_method", "path", "handler"])

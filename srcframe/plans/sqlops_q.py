@@ -296,8 +296,8 @@ SELECT op AS op_type, name AS entity, {_sql_synth('op', 'name')} AS sql, {_sql_s
 FROM p""")
 def q_synthetic_sql(spark, sf_dir):
     c = facts(spark, sf_dir).classes.where(F.col("kind") == "entity").select(F.col("name").alias("entity"))
-    ops = spark.createDataFrame([(o,) for o in ["SELECT", "INSERT", "UPDATE", "DELETE", "UNKNOWN"]], "op_type string")
-    p = c.crossJoin(F.broadcast(ops)).distinct()
+    ops = ["SELECT", "INSERT", "UPDATE", "DELETE", "UNKNOWN"]
+    p = c.select("entity", F.explode(F.array(*[F.lit(o) for o in ops])).alias("op_type")).distinct()
     return p.select("op_type", "entity", X.synthetic_sql(F.col("op_type"), F.col("entity")).alias("sql"),
                     X.synthetic_sql(F.col("op_type"), F.col("entity"), F.lit("m")).alias("sql_with_method"))
 
@@ -399,3 +399,21 @@ def q_sql_tables_fallback(spark, sf_dir):
     main = F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all("sql", F.lit(X.TABLE_RX), 0),
                                                      X._clean_table)))
     return d.where(F.size(main) == 0).select("sql", F.array_join(X.sql_tables(F.col("sql")), ",").alias("tables"))
+
+
+@register("entity_endpoints", f"""WITH {JX},
+ents AS (SELECT repo_id, name AS entity, class_fqn AS entity_fqn FROM jc WHERE t = 3),
+ep AS (
+  SELECT repo_id, 'GET' AS http_method, '/items/' || ks || '/{{id}}' AS path, class_fqn || '.getItem' AS handler,
+         class_fqn, NULL::VARCHAR AS request_body_type, 'String' AS response_body_type FROM jc WHERE t = 0
+  UNION ALL SELECT repo_id, 'POST', '/items/' || ks, class_fqn || '.createItem', class_fqn, 'Item' || k3, 'String'
+    FROM jc WHERE t = 0
+  UNION ALL SELECT repo_id, NULL, NULL, class_fqn || '.getItem', class_fqn, NULL, 'String' FROM jc WHERE t = 4)
+SELECT DISTINCT e.repo_id, n.entity, e.http_method, e.path, e.handler
+FROM ep e JOIN ents n ON n.repo_id = e.repo_id
+WHERE e.request_body_type IN (n.entity, n.entity_fqn) OR e.response_body_type IN (n.entity, n.entity_fqn)
+   OR e.class_fqn IN (n.entity, n.entity_fqn) OR contains(e.handler, n.entity) OR contains(e.handler, n.entity_fqn)""")
+def q_entity_endpoints(spark, sf_dir):
+    from srcframe.operators import endpoints as G
+    fx = facts(spark, sf_dir)
+    return S.entity_endpoints(fx.classes, G.endpoints(fx))

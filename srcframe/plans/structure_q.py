@@ -85,23 +85,22 @@ def q_component_call_edges(spark, sf_dir):
     return I.component_call_edges(fx.classes, fx.calls)
 
 
-@register("relation_label", """WITH r AS (SELECT * FROM (VALUES ('endpoint'), ('service'), ('repository'), ('controller'),
-  ('webservice'), ('configuration'), ('component')) v(role)),
-roles AS (SELECT a.role AS src_role, b.role AS dst_role FROM r a, r b),
-counts AS (SELECT count(*) AS n FROM part)
+ROLES = ["endpoint", "service", "repository", "controller", "webservice", "configuration", "component"]
+
+
+@register("relation_label", f"""WITH {JX}, {COMP_SQL},
+pairs AS (SELECT DISTINCT role AS src_role, unnest([{", ".join(s(r) for r in ROLES)}]) AS dst_role FROM comp)
 SELECT src_role, dst_role, CASE
   WHEN src_role = 'endpoint' AND dst_role = 'service' THEN 'delegates to'
   WHEN src_role = 'service' AND dst_role = 'repository' THEN 'uses'
   WHEN src_role = 'controller' AND dst_role = 'service' THEN 'uses'
   WHEN src_role = 'webservice' AND dst_role = 'endpoint' THEN 'exposes' END AS label
-FROM roles, counts WHERE n > 0""")
+FROM pairs""")
 def q_relation_label(spark, sf_dir):
-    # every role pair among the roles the corpus produces, plus the others
-    comp = I.components(facts(spark, sf_dir).classes).select("role").distinct()
-    lit_roles = spark.createDataFrame([(r,) for r in ["endpoint", "service", "repository", "controller", "webservice",
-                                                      "configuration", "component"]], "role string")
-    roles = comp.unionByName(lit_roles).distinct()
-    pairs = roles.select(F.col("role").alias("src_role")).crossJoin(F.broadcast(roles.select(F.col("role").alias("dst_role"))))
+    # every role the corpus produces, paired with each possible target role
+    comp = I.components(facts(spark, sf_dir).classes)
+    pairs = comp.select(F.col("role").alias("src_role"),
+                        F.explode(F.array(*[F.lit(r) for r in ROLES])).alias("dst_role")).distinct()
     return pairs.select("src_role", "dst_role", I.relation_label(F.col("src_role"), F.col("dst_role")).alias("label"))
 
 
@@ -163,3 +162,24 @@ def q_puml_safe(spark, sf_dir):
         c.select(F.explode("interfaces").alias("x"))).unionByName(
         spark.createDataFrame([(v,) for v in CASE_LABELS], "x string")).distinct()
     return x.select("x", I.puml_id(F.col("x")).alias("id"), I.puml_label(F.col("x")).alias("label"))
+
+
+@register("use_case_includes", f"""WITH {JX}
+SELECT repo_id, class_fqn, 'getItem' AS use_case, pkg || '.Item' || k1 || 'Service' AS svc_fqn, 'process' AS svc_method,
+       'Item' || k1 || 'Service.process' AS included FROM jc WHERE t = 0 AND has1
+UNION ALL SELECT repo_id, class_fqn, 'createItem', pkg || '.Item' || k1 || 'Service', 'save', 'Item' || k1 || 'Service.save'
+FROM jc WHERE t = 0 AND has1""")
+def q_use_case_includes(spark, sf_dir):
+    fx = facts(spark, sf_dir)
+    return I.use_case_includes(fx.classes, fx.methods, fx.calls)
+
+
+@register("db_use_cases", f"""WITH {JX},
+hr AS (SELECT DISTINCT repo_id FROM jc WHERE t = 2),
+svc AS (SELECT repo_id, class_fqn, t FROM jc WHERE t IN (1, 4))
+SELECT s.repo_id, s.class_fqn, m AS method, 'Database' AS actor
+FROM svc s JOIN hr USING (repo_id), (VALUES ('save'), ('getItem')) v(m)
+WHERE (s.t = 1 AND m = 'save') OR (s.t = 4 AND m = 'getItem')""")
+def q_db_use_cases(spark, sf_dir):
+    fx = facts(spark, sf_dir)
+    return I.db_use_cases(fx.classes, fx.methods)
