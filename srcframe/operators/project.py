@@ -135,3 +135,60 @@ def top_rows(rows: DataFrame, order: list[str], n: int = 10, text_col: str = "wa
         .select("repo_id", F.lit(n + 1).alias("rank"),
                 F.format_string("... and %d more", (F.col("_n") - n).cast("int")).alias("line"))
     return head.unionByName(more)
+
+
+def project_summary(files: DataFrame, classes: DataFrame, eps: DataFrame) -> DataFrame:
+    """C6 ``project_summary``: per repository the counts (classes,
+    controllers, services, repositories, endpoints, REST, SOAP, features)
+    and the summary text with the key technologies.  Each input is
+    aggregated per repository first (partial aggregation), then the small
+    per-repository rows are joined."""
+    tool = build_tool(files)
+    boot = spring_boot(files)
+    feats = gherkin_features(files)
+    cls = classes.groupBy("repo_id").agg(
+        F.count(F.lit(1)).alias("n_classes"),
+        F.count_if(F.lower("kind") == "controller").alias("n_controllers"),
+        F.count_if(F.lower("kind") == "service").alias("n_services"),
+        F.count_if(F.lower("kind") == "repository").alias("n_repositories"))
+    ep = eps.groupBy("repo_id").agg(F.count(F.lit(1)).alias("n_endpoints"),
+                                    F.count_if(F.upper("type") == "REST").alias("n_rest"),
+                                    F.count_if(F.upper("type") == "SOAP").alias("n_soap"))
+    j = cls.join(tool, "repo_id", "left").join(boot, "repo_id", "left").join(ep, "repo_id", "left") \
+        .join(feats, "repo_id", "left")
+    z = lambda c: F.coalesce(F.col(c), F.lit(0))
+    ptype = F.coalesce(F.col("build_tool"), F.lit("Raw Source/Unknown"))
+    is_boot = F.coalesce(F.col("is_spring_boot"), F.lit(False))
+    ver = F.col("spring_boot_version")
+    has_ver = ver.isNotNull() & (ver != "")
+    tech = F.array_compact(F.array(
+        F.when(ptype != "Raw Source/Unknown", ptype),
+        F.when(is_boot, F.concat(F.lit("Spring Boot"), F.when(has_ver, F.concat(F.lit(" ("), ver, F.lit(")")))
+                                 .otherwise(F.lit("")))),
+        F.when(z("n_rest") > 0, F.lit("REST APIs")), F.when(z("n_soap") > 0, F.lit("SOAP Web Services")),
+        F.when(z("n_repositories") > 0, F.lit("Data Repositories (e.g., Spring Data)")),
+        F.when(z("n_services") > 0, F.lit("Service Layer"))))
+    n = lambda c: z(c).cast("string")
+    eps_txt = F.concat(
+        F.lit("Exposes "), n("n_endpoints"), F.lit(" API endpoints."),
+        F.when(z("n_rest") > 0, F.concat(F.lit(" ("), n("n_rest"), F.lit(" REST"))).otherwise(F.lit("")),
+        F.when(z("n_soap") > 0, F.concat(F.when(z("n_rest") > 0, F.lit(", ")).otherwise(F.lit(" (")), n("n_soap"),
+                                         F.lit(" SOAP"))).otherwise(F.lit("")),
+        F.when((z("n_rest") > 0) | (z("n_soap") > 0), F.lit(").")).otherwise(F.lit("")), F.lit("\n"))
+    text = F.concat(
+        F.lit("Project Name: "), F.col("repo_id"), F.lit(". Type: "), ptype, F.lit(". "),
+        F.when(F.size(tech) > 0, F.concat(F.lit("Key Technologies: "), F.array_join(tech, ", "), F.lit(". ")))
+        .otherwise(F.lit("")),
+        F.when(is_boot & has_ver, F.lit("")).when(is_boot, F.lit("Spring Boot: Yes (version not detected). "))
+        .otherwise(F.lit("Spring Boot: No. ")),
+        F.lit("Contains "), n("n_classes"), F.lit(" classes/interfaces/enums."),
+        F.lit(" (Controllers: "), n("n_controllers"), F.lit(", Services: "), n("n_services"),
+        F.lit(", Repositories: "), n("n_repositories"), F.lit(").\n"),
+        eps_txt,
+        F.when(z("n_features") > 0, F.concat(F.lit("Includes "), n("n_features"),
+                                             F.lit(" Gherkin feature files for BDD testing.\n"))).otherwise(F.lit("")),
+        F.lit("An OpenAPI (Swagger) specification is available for REST APIs.\n"))
+    return j.select("repo_id", z("n_classes").alias("n_classes"), z("n_controllers").alias("n_controllers"),
+                    z("n_services").alias("n_services"), z("n_repositories").alias("n_repositories"),
+                    z("n_endpoints").alias("n_endpoints"), z("n_rest").alias("n_rest"), z("n_soap").alias("n_soap"),
+                    text.alias("summary"))

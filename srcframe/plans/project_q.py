@@ -64,3 +64,33 @@ def q_top_warnings(spark, sf_dir):
         "repo_id", "class_fqn", "line", F.concat_ws(":", "class_fqn", F.col("line").cast("string")).alias("warning"))
     t = C.top_rows(w, ["class_fqn", "line"], 10)
     return t.select("repo_id", F.col("rank").cast("int").alias("rank"), "line")
+
+
+@register("project_summary", """WITH pp AS (
+  SELECT p.p_partkey % 6 AS t, 'repo' || CAST(coalesce(hd.p_size, 0) % 10 AS VARCHAR) AS repo_id
+  FROM part p LEFT JOIN part hd ON hd.p_partkey = p.p_partkey - p.p_partkey % 6),
+c AS (SELECT repo_id, count(*) AS n_classes, count_if(t = 0) AS n_controllers, count_if(t IN (1, 4)) AS n_services,
+             count_if(t = 2) AS n_repositories, 2 * count_if(t = 0) AS n_rest, count_if(t = 4) AS n_soap
+      FROM pp GROUP BY repo_id),
+d AS (SELECT *, n_rest + n_soap AS n_endpoints,
+        list_filter([CASE WHEN n_rest > 0 THEN 'REST APIs' END, CASE WHEN n_soap > 0 THEN 'SOAP Web Services' END,
+                     CASE WHEN n_repositories > 0 THEN 'Data Repositories (e.g., Spring Data)' END,
+                     CASE WHEN n_services > 0 THEN 'Service Layer' END], lambda x: x IS NOT NULL) AS tech FROM c)
+SELECT repo_id, n_classes, n_controllers, n_services, n_repositories, n_endpoints, n_rest, n_soap,
+  'Project Name: ' || repo_id || '. Type: Raw Source/Unknown. '
+  || CASE WHEN len(tech) > 0 THEN 'Key Technologies: ' || array_to_string(tech, ', ') || '. ' ELSE '' END
+  || 'Spring Boot: No. Contains ' || CAST(n_classes AS VARCHAR) || ' classes/interfaces/enums. (Controllers: '
+  || CAST(n_controllers AS VARCHAR) || ', Services: ' || CAST(n_services AS VARCHAR) || ', Repositories: '
+  || CAST(n_repositories AS VARCHAR) || ').' || chr(10)
+  || 'Exposes ' || CAST(n_endpoints AS VARCHAR) || ' API endpoints.'
+  || CASE WHEN n_rest > 0 THEN ' (' || CAST(n_rest AS VARCHAR) || ' REST' ELSE '' END
+  || CASE WHEN n_soap > 0 THEN CASE WHEN n_rest > 0 THEN ', ' ELSE ' (' END || CAST(n_soap AS VARCHAR) || ' SOAP' ELSE '' END
+  || CASE WHEN n_rest > 0 OR n_soap > 0 THEN ').' ELSE '' END || chr(10)
+  || 'An OpenAPI (Swagger) specification is available for REST APIs.' || chr(10) AS summary
+FROM d""")
+def q_project_summary(spark, sf_dir):
+    from srcframe.operators import endpoints as G
+    from srcframe.plans.facts_q import facts
+    from srcframe.sources.adapters import java_files
+    fx = facts(spark, sf_dir)
+    return C.project_summary(java_files(spark, sf_dir), fx.classes, G.endpoints(fx))
