@@ -654,10 +654,17 @@ class JavaFacts:
         return self._t[name]
 
     def memo(self, name: str, build) -> DataFrame:
-        """A derived table (built once per fact set, persisted)."""
+        """A derived table, built once per fact set and written with a
+        reliable ``checkpoint()`` into ``spark.checkpoint.dir``: consumers
+        read the written rows (a short plan, no recomputation of the joins
+        and windows behind it) and a lost executor cannot lose them."""
         if name not in self._t:
             df = build()
-            self._t[name] = df.persist(StorageLevel.MEMORY_AND_DISK) if self._persist else df
+            if self._persist:
+                from srcframe.session import ensure_checkpoint_dir
+                ensure_checkpoint_dir(df.sparkSession)
+                df = df.checkpoint(eager=True)
+            self._t[name] = df
         return self._t[name]
 
     def unpersist(self) -> None:
