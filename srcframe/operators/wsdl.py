@@ -118,3 +118,50 @@ def combine_endpoints(annotated: DataFrame, wsdl_eps: DataFrame) -> DataFrame:
                     F.coalesce("w_service", "a_service").alias("service_name"),
                     "style", "use", "port_name", "port_type", "request_message", "response_message",
                     "handler", "class_fqn", "method_name", src.alias("source"))
+
+
+XSD_SCHEMA = (
+    "_targetNamespace STRING, "
+    "element ARRAY<STRUCT<_name: STRING, complexType: STRUCT<"
+    "sequence: STRUCT<element: ARRAY<STRUCT<_name: STRING, _ref: STRING, _type: STRING, _minOccurs: STRING, "
+    "_maxOccurs: STRING>>>, attribute: ARRAY<STRUCT<_name: STRING, _type: STRING, _use: STRING>>>>>")
+
+
+def xsd_elements(files: DataFrame) -> DataFrame:
+    """G22 ``xsd_elements``: per top-level element its sequence children
+    (name or referenced element, type, minOccurs / maxOccurs defaulting to
+    1) and its attributes (type defaulting to ``xs:string``, use to
+    ``optional``), as rows ``(element, member_kind, ordinal, name, ref,
+    type, min_occurs, max_occurs, use)``."""
+    x = dedupe_by_path(files_of_kind(files, "xsd")).select(
+        "repo_id", "path", F.from_xml("content", XSD_SCHEMA, XML_OPTS).alias("d"))
+    e = x.select("repo_id", "path", F.explode("d.element").alias("e"))
+    kids = e.select("repo_id", "path", F.col("e._name").alias("element"),
+                    F.posexplode("e.complexType.sequence.element").alias("ordinal", "c")).select(
+        "repo_id", "path", "element", F.lit("child").alias("member_kind"), "ordinal",
+        F.col("c._name").alias("name"), local(F.col("c._ref")).alias("ref"), F.col("c._type").alias("type"),
+        F.coalesce(F.col("c._minOccurs"), F.lit("1")).alias("min_occurs"),
+        F.coalesce(F.col("c._maxOccurs"), F.lit("1")).alias("max_occurs"), F.lit(None).cast("string").alias("use"))
+    attrs = e.select("repo_id", "path", F.col("e._name").alias("element"),
+                     F.posexplode("e.complexType.attribute").alias("ordinal", "a")).select(
+        "repo_id", "path", "element", F.lit("attribute").alias("member_kind"), "ordinal",
+        F.col("a._name").alias("name"), F.lit(None).cast("string").alias("ref"),
+        F.coalesce(F.col("a._type"), F.lit("xs:string")).alias("type"), F.lit(None).cast("string").alias("min_occurs"),
+        F.lit(None).cast("string").alias("max_occurs"), F.coalesce(F.col("a._use"), F.lit("optional")).alias("use"))
+    return kids.unionByName(attrs)
+
+
+def xsd_expand(elements: DataFrame, max_depth: int = 5) -> DataFrame:
+    """G23 ``xsd_expand``: from every top-level element follow ``ref``
+    children to ``max_depth`` levels: rows (root, depth, element).  One
+    join per level on (repository, file, element name) — a fixed, small
+    number of rounds."""
+    refs = elements.where(F.col("ref").isNotNull()).select("repo_id", "path", "element", "ref")
+    level = elements.select("repo_id", "path", F.col("element").alias("root")).distinct() \
+        .withColumn("element", F.col("root")).withColumn("depth", F.lit(0))
+    out = level
+    for d in range(1, max_depth + 1):
+        level = level.join(refs, ["repo_id", "path", "element"]).select(
+            "repo_id", "path", "root", F.col("ref").alias("element"), F.lit(d).alias("depth"))
+        out = out.unionByName(level)
+    return out

@@ -66,3 +66,41 @@ def q_combine_endpoints(spark, sf_dir):
     from pyspark.sql import functions as F
     c = W.combine_endpoints(G.endpoints(facts(spark, sf_dir)), W.wsdl_endpoints(wsdl_files(spark, sf_dir)))
     return c.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+
+
+XX = """xx AS (
+  SELECT 'ws' || CAST(s_nationkey AS VARCHAR) AS repo_id,
+         'src/main/resources/xsd/supplier' || CAST(s_suppkey AS VARCHAR) || '.xsd' AS path,
+         s_suppkey AS s, s_suppkey % 8 AS l, unnest(range(0, s_suppkey % 8 + 1)) AS j FROM supplier)"""
+
+
+@register("xsd_elements", f"""WITH {XX}
+SELECT repo_id, path, 'S' || CAST(s AS VARCHAR) || 'E' || CAST(j AS VARCHAR) AS element, 'child' AS member_kind,
+       0 AS ordinal, NULL::VARCHAR AS name, 'S' || CAST(s AS VARCHAR) || 'E' || CAST(j + 1 AS VARCHAR) AS ref,
+       NULL::VARCHAR AS type, '0' AS min_occurs, CASE WHEN j % 2 = 1 THEN 'unbounded' ELSE '1' END AS max_occurs,
+       NULL::VARCHAR AS use FROM xx WHERE j < l
+UNION ALL
+SELECT repo_id, path, 'S' || CAST(s AS VARCHAR) || 'E' || CAST(j AS VARCHAR), 'child', CASE WHEN j < l THEN 1 ELSE 0 END,
+       'code', NULL, 'xs:string', '1', '1', NULL FROM xx
+UNION ALL
+SELECT repo_id, path, 'S' || CAST(s AS VARCHAR) || 'E' || CAST(j AS VARCHAR), 'attribute', 0,
+       CASE WHEN j % 2 = 0 THEN 'id' ELSE 'note' END, NULL, CASE WHEN j % 2 = 0 THEN 'xs:int' ELSE 'xs:string' END,
+       NULL, NULL, CASE WHEN j % 2 = 0 THEN 'required' ELSE 'optional' END FROM xx""")
+def q_xsd_elements(spark, sf_dir):
+    from pyspark.sql import functions as F
+    from srcframe.sources.adapters import xsd_files
+    e = W.xsd_elements(xsd_files(spark, sf_dir))
+    return e.select("repo_id", "path", "element", "member_kind", F.col("ordinal").cast("int").alias("ordinal"),
+                    "name", "ref", "type", "min_occurs", "max_occurs", "use")
+
+
+@register("xsd_expand", f"""WITH {XX},
+roots AS (SELECT repo_id, path, s, l, j AS r FROM xx)
+SELECT repo_id, path, 'S' || CAST(s AS VARCHAR) || 'E' || CAST(r AS VARCHAR) AS root,
+       'S' || CAST(s AS VARCHAR) || 'E' || CAST(r + d AS VARCHAR) AS element, CAST(d AS INTEGER) AS depth
+FROM (SELECT *, unnest(range(0, least(5, l - r) + 1)) AS d FROM roots)""")
+def q_xsd_expand(spark, sf_dir):
+    from pyspark.sql import functions as F
+    from srcframe.sources.adapters import xsd_files
+    x = W.xsd_expand(W.xsd_elements(xsd_files(spark, sf_dir)), 5)
+    return x.select("repo_id", "path", "root", "element", F.col("depth").cast("int").alias("depth"))

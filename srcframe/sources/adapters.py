@@ -419,3 +419,33 @@ def wsdl_files(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.concat(F.lit("src/main/resources/wsdl/supplier"), s_, F.lit(".wsdl")).alias("path"),
                      F.lit("wsdl").alias("ext"), content.alias("content"))
     return out.withColumn("size", F.length("content").cast("long")).select("repo_id", "path", "ext", "size", "content")
+
+
+def xsd_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host X: one XSD per supplier: elements ``S<s>E0 … S<s>E<L>`` with
+    ``L = s_suppkey % 8``; element j holds a ``ref`` to element j+1 (so
+    chains reach past the expansion depth 5), a local ``code`` element and
+    one attribute (``id`` typed and required on even j, ``note`` with
+    defaults on odd j)."""
+    sup = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("s"), F.col("s_nationkey").alias("nk"))
+    s_ = F.col("s").cast("string")
+    nk = F.col("nk").cast("string")
+    els = F.sequence(F.lit(0), F.col("s") % 8)
+
+    def element(jc):
+        j = jc.cast("string")
+        ref = F.when(jc < F.col("s") % 8, _j('        <xs:element ref="tns:S', s_, 'E', (jc + 1).cast("string"), '" minOccurs="0"',
+                                           F.when(jc % 2 == 1, F.lit(' maxOccurs="unbounded"')).otherwise(F.lit("")),
+                                           '/>\n')).otherwise(F.lit(""))
+        attr = F.when(jc % 2 == 0, F.lit('      <xs:attribute name="id" type="xs:int" use="required"/>\n')) \
+            .otherwise(F.lit('      <xs:attribute name="note"/>\n'))
+        return _j('  <xs:element name="S', s_, 'E', j, '">\n    <xs:complexType>\n      <xs:sequence>\n', ref,
+                  '        <xs:element name="code" type="xs:string"/>\n      </xs:sequence>\n', attr,
+                  '    </xs:complexType>\n  </xs:element>\n')
+    content = _j('<?xml version="1.0" encoding="UTF-8"?>\n<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema" '
+                 'xmlns:tns="urn:n', nk, '" targetNamespace="urn:n', nk, '">\n',
+                 F.array_join(F.transform(els, element), ""), '</xs:schema>\n')
+    out = sup.select(F.concat(F.lit("ws"), nk).alias("repo_id"),
+                     F.concat(F.lit("src/main/resources/xsd/supplier"), s_, F.lit(".xsd")).alias("path"),
+                     F.lit("xsd").alias("ext"), content.alias("content"))
+    return out.withColumn("size", F.length("content").cast("long")).select("repo_id", "path", "ext", "size", "content")
