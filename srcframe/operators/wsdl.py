@@ -16,6 +16,7 @@ from srcframe.sources.files import dedupe_by_path, files_of_kind
 
 WSDL_SCHEMA = (
     "_targetNamespace STRING, "
+    "message ARRAY<STRUCT<_name: STRING, part: ARRAY<STRUCT<_name: STRING, _element: STRING, _type: STRING>>>>, "
     "portType ARRAY<STRUCT<_name: STRING, operation: ARRAY<STRUCT<_name: STRING, documentation: STRING, "
     "input: STRUCT<_message: STRING>, output: STRUCT<_message: STRING>>>>>, "
     "binding ARRAY<STRUCT<_name: STRING, _type: STRING, binding: STRUCT<_style: STRING>, "
@@ -165,3 +166,35 @@ def xsd_expand(elements: DataFrame, max_depth: int = 5) -> DataFrame:
             "repo_id", "path", "root", F.col("ref").alias("element"), F.lit(d).alias("depth"))
         out = out.unionByName(level)
     return out
+
+
+def wsdl_message_part(files: DataFrame) -> DataFrame:
+    """G21 ``wsdl_message_part``: message → its first part's element (or
+    type); looked up by local name, so ``tns:X`` and ``X`` both resolve."""
+    d = parse_wsdl(files)
+    m = d.select("repo_id", "path", F.explode("d.message").alias("m")).select(
+        "repo_id", "path", F.col("m._name").alias("message"),
+        F.try_element_at(F.col("m.part"), F.lit(1)).alias("p"))
+    return m.select("repo_id", "path", "message", F.col("p._name").alias("part_name"),
+                    F.coalesce(F.col("p._element"), F.col("p._type")).alias("part_element"))
+
+
+def wsdl_operation_details(files: DataFrame, xsd: DataFrame | None = None) -> DataFrame:
+    """G24 ``wsdl_operation_details``: per portType operation its
+    documentation, input/output message, the messages' part elements and
+    whether the XSDs of the repository define those elements."""
+    msg = wsdl_messages(files)
+    parts = wsdl_message_part(files).select("repo_id", "path", F.col("message").alias("_m"), "part_element")
+    j = msg.withColumn("_rq", local(F.col("request_message"))).withColumn("_rs", local(F.col("response_message")))
+    j = j.join(parts.withColumnRenamed("_m", "_rq").withColumnRenamed("part_element", "request_element"),
+               ["repo_id", "path", "_rq"], "left")
+    j = j.join(parts.withColumnRenamed("_m", "_rs").withColumnRenamed("part_element", "response_element"),
+               ["repo_id", "path", "_rs"], "left")
+    out = j.select("repo_id", "path", "port_type", "operation", "documentation", "request_message", "response_message",
+                   "request_element", "response_element")
+    if xsd is not None:
+        known = xsd_elements(xsd).select("repo_id", F.col("element").alias("_e")).distinct() \
+            .withColumn("request_element_defined", F.lit(True))
+        out = out.withColumn("_e", local(F.col("request_element"))).join(known, ["repo_id", "_e"], "left") \
+            .withColumn("request_element_defined", F.coalesce("request_element_defined", F.lit(False))).drop("_e")
+    return out

@@ -104,3 +104,21 @@ def q_xsd_expand(spark, sf_dir):
     from srcframe.sources.adapters import xsd_files
     x = W.xsd_expand(W.xsd_elements(xsd_files(spark, sf_dir)), 5)
     return x.select("repo_id", "path", "root", "element", F.col("depth").cast("int").alias("depth"))
+
+
+@register("wsdl_message_part", f"""WITH {WX}
+SELECT repo_id, path, 'Op' || CAST(i AS VARCHAR) || m AS message, 'parameters' AS part_name,
+       'tns:Op' || CAST(i AS VARCHAR) || e AS part_element
+FROM wx, (VALUES ('Request', 'Req'), ('Response', 'Resp')) v(m, e)""")
+def q_wsdl_message_part(spark, sf_dir):
+    return W.wsdl_message_part(wsdl_files(spark, sf_dir))
+
+
+@register("wsdl_operation_details", f"""WITH {WX}
+SELECT repo_id, path, 'Supplier' || CAST(s AS VARCHAR) || 'PortType' AS port_type, 'op' || CAST(i AS VARCHAR) AS operation,
+       'Operation ' || CAST(i AS VARCHAR) || ' of supplier ' || CAST(s AS VARCHAR) AS documentation,
+       'tns:Op' || CAST(i AS VARCHAR) || 'Request' AS request_message, 'tns:Op' || CAST(i AS VARCHAR) || 'Response' AS response_message,
+       'tns:Op' || CAST(i AS VARCHAR) || 'Req' AS request_element, 'tns:Op' || CAST(i AS VARCHAR) || 'Resp' AS response_element
+FROM wx""")
+def q_wsdl_operation_details(spark, sf_dir):
+    return W.wsdl_operation_details(wsdl_files(spark, sf_dir))
