@@ -183,3 +183,38 @@ WHERE (s.t = 1 AND m = 'save') OR (s.t = 4 AND m = 'getItem')""")
 def q_db_use_cases(spark, sf_dir):
     fx = facts(spark, sf_dir)
     return I.db_use_cases(fx.classes, fx.methods)
+
+
+@register("wsdl_edges", f"""WITH {JX}
+SELECT repo_id, name AS src, 'WSDL0' AS dst, '..>' AS arrow, 'implements' AS label FROM jc WHERE t = 4""")
+def q_wsdl_edges(spark, sf_dir):
+    return I.wsdl_edges(facts(spark, sf_dir).classes)
+
+
+@register("class_browser", f"""WITH {JX}
+SELECT repo_id, class_fqn, name,
+  CASE WHEN t = 0 THEN 1 WHEN t = 1 THEN 2 WHEN t = 3 THEN CASE WHEN k >= 6 THEN 3 ELSE 2 END
+       WHEN t = 5 AND variant IN ('enum', 'annotation') THEN 3 ELSE 0 END AS n_fields,
+  CASE WHEN t = 0 THEN 2 WHEN t = 1 THEN 2 WHEN t = 2 THEN 3 WHEN t = 4 THEN 1
+       WHEN t = 5 AND variant = 'util' THEN 2 ELSE 0 END AS n_methods,
+  CASE WHEN t = 2 AND has1 THEN 1 WHEN t = 5 AND variant = 'util' THEN 2 ELSE 0 END AS n_dao_operations
+FROM jc""")
+def q_class_browser(spark, sf_dir):
+    from srcframe.operators import sqlops as S
+    fx = facts(spark, sf_dir)
+    b = I.class_browser(fx.classes, fx.fields, fx.methods, S.sql_ops(fx))
+    return b.select("repo_id", "class_fqn", "name", "n_fields", "n_methods", "n_dao_operations")
+
+
+@register("database_view", f"""WITH {JX}
+SELECT repo_id, class_fqn, 'loadById' AS method, 'SELECT' AS op_type, 'SELECT i FROM item_' || k1 || ' i WHERE i.id = ?1' AS sql,
+       'item_' || k1 AS tables, 'Item' || k1 AS entities FROM jc WHERE t = 2 AND has1
+UNION ALL SELECT repo_id, class_fqn, 'executeAudit', 'SELECT', 'SELECT * FROM item_' || CAST(k - 2 AS VARCHAR) || ' WHERE id = 1',
+       'item_' || CAST(k - 2 AS VARCHAR), 'Item' || CAST(k - 2 AS VARCHAR) FROM jc WHERE t = 5 AND variant = 'util'
+UNION ALL SELECT repo_id, class_fqn, 'auditQuery', 'UPDATE', 'UPDATE item_' || CAST(k - 2 AS VARCHAR) || ' SET name = ''x'' WHERE id = 3',
+       'item_' || CAST(k - 2 AS VARCHAR), 'Item' || CAST(k - 2 AS VARCHAR) FROM jc WHERE t = 5 AND variant = 'util'""")
+def q_database_view(spark, sf_dir):
+    from srcframe.operators import sqlops as S
+    fx = facts(spark, sf_dir)
+    ops = S.sql_ops(fx)
+    return I.database_view(ops, S.entity_classes(ops, fx.classes))
