@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from srcframe.operators import structure as I
-from srcframe.plans.facts_q import JX, facts
+from srcframe.plans.facts_q import CLASSES_SQL, FIELDS_SQL, JX, facts
 from srcframe.plans.registry import register
 from srcframe.plans.sqlsnip import s
 
@@ -218,3 +218,16 @@ def q_database_view(spark, sf_dir):
     fx = facts(spark, sf_dir)
     ops = S.sql_ops(fx)
     return I.database_view(ops, S.entity_classes(ops, fx.classes))
+
+
+@register("markdown_report", f"""WITH {JX}, {CLASSES_SQL}, {FIELDS_SQL}
+SELECT repo_id, class_fqn, 0 AS seq, '### ' || package || '.' || name || ' (`' || kind || '`)' AS text FROM cls
+UNION ALL SELECT repo_id, class_fqn, 1, '#### Fields' FROM cls
+UNION ALL SELECT repo_id, class_fqn, ordinal + 2, '- `' || visibility || CASE WHEN is_static THEN ' static' ELSE '' END
+  || CASE WHEN is_final THEN ' final' ELSE '' END || ' ' || replace(replace(type, '<', '&lt;'), '>', '&gt;') || ' ' || name || '`'
+  FROM fx
+UNION ALL SELECT repo_id, class_fqn, 2, '- None' FROM cls WHERE class_fqn NOT IN (SELECT class_fqn FROM fx)""")
+def q_markdown_report(spark, sf_dir):
+    fx = facts(spark, sf_dir)
+    m = I.markdown_class_lines(fx.classes, fx.fields)
+    return m.select("repo_id", "class_fqn", F.col("seq").cast("int").alias("seq"), "text")
