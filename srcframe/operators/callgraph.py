@@ -328,3 +328,48 @@ def flows_with_steps(flows: DataFrame, diagram_types: list[str] | None = None) -
                 F.lit("GENERAL").alias("kind"))
     gen = gen.join(seq.select("repo_id", "key"), ["repo_id", "key"], "left_anti")
     return seq.unionByName(gen)
+
+
+FLOW_SIG_RX = r"^(?:([\w$.<>]+)\.)?([\w$<>]+)\((.*?)\)$"
+PARAM_RX = r"^(.*?\s+)?([\w$]+)(\[\])*$"
+
+
+def simplify_type(t: Column) -> Column:
+    """Generic arguments ``<a,b>`` → ``<a, b>`` (commas of each first-level
+    ``<…>`` span re-joined with ``, ``)."""
+    gaps = F.split(t, "<[^>]+>", -1)
+    ms = F.transform(F.regexp_extract_all(t, F.lit("<[^>]+>"), 0), lambda m: F.concat(
+        F.lit("<"), F.array_join(F.transform(F.split(F.substr(m, F.lit(2), F.length(m) - 2), ",", -1),
+                                             lambda p: F.trim(p)), ", "), F.lit(">")))
+    return F.array_join(F.zip_with(gaps, F.concat(ms, F.array(F.lit(""))), lambda g, m: F.concat(g, m)), "")
+
+
+def flow_display_name(sig: Column) -> Column:
+    """H15 ``flow_display_name``: ``method(simplified params)``;
+    ``<init>`` → ``new Class(params)``, ``<clinit>`` → ``Class static
+    initializer``; a text that is no signature keeps parentheses as is or
+    becomes spaced words (``getUserName`` → ``Get User Name``)."""
+    ok = sig.rlike(FLOW_SIG_RX)
+    cls = F.regexp_extract(sig, FLOW_SIG_RX, 1)
+    meth = F.regexp_extract(sig, FLOW_SIG_RX, 2)
+    ptxt = F.regexp_extract(sig, FLOW_SIG_RX, 3)
+
+    def one(p):
+        m = p.rlike(PARAM_RX)
+        typ = F.trim(F.regexp_extract(p, PARAM_RX, 1))
+        name = F.regexp_extract(p, PARAM_RX, 2)
+        br = F.when(p.rlike(r"\[\]$") & m, F.lit("[]")).otherwise(F.lit(""))
+        return F.when(m & (typ != ""), F.concat(simplify_type(typ), F.lit(" "), name, br)) \
+            .when(m, F.concat(simplify_type(name), br)).otherwise(simplify_type(p))
+    params = F.array_join(F.transform(F.filter(F.transform(F.split(ptxt, ",", -1), lambda x: F.trim(x)),
+                                               lambda x: x != ""), one), ", ")
+    simple_cls = F.substring_index(cls, ".", -1)
+    spaced = F.trim(F.regexp_replace(sig, "([A-Z])", " $1"))
+    spaced = F.replace(F.concat(F.upper(F.left(spaced, F.lit(1))), F.substr(spaced, F.lit(2))), F.lit("_"), F.lit(" "))
+    return (F.when(sig.isNull(), F.lit("Unknown Flow"))
+            .when(~ok & sig.contains("(") & sig.contains(")"), sig)
+            .when(~ok, spaced)
+            .when(meth == "<init>", F.concat(F.lit("new "), F.when(cls != "", simple_cls).otherwise(F.lit("Object")),
+                                             F.lit("("), params, F.lit(")")))
+            .when(meth == "<clinit>", F.trim(F.concat(simple_cls, F.lit(" static initializer"))))
+            .otherwise(F.concat(meth, F.lit("("), params, F.lit(")"))))

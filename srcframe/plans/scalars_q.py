@@ -192,3 +192,49 @@ def q_diagram_title(spark, sf_dir):
     u = types.unionByName(entries)
     return u.select("x", F.when(F.col("x").contains("("), H.sequence_title(F.col("x")))
                     .otherwise(H.diagram_title(F.col("x"))).alias("title"))
+
+
+CASE_FLOW_SIGS = ["com.x.Foo.<init>(int a, java.lang.String s)", "com.x.Foo.<clinit>()", "<init>()",
+                  "a.B.m(java.util.Map<String,Integer> m, int[] xs)", "a.B.run()", "getUserName", "snake_case_name",
+                  "weird(text", "a.B.n(String)", "q.R.s(Map<K,V>, List<X> items)"]
+
+
+def _sql_simplify(c: str) -> str:
+    g = f"string_split_regex({c}, '<[^>]+>')"
+    m = (f"list_transform(regexp_extract_all({c}, '<[^>]+>'), lambda x: '<' || array_to_string(list_transform("
+         f"string_split(substr(x, 2, length(x) - 2), ','), lambda p: trim(p)), ', ') || '>')")
+    return (f"array_to_string(list_transform(range(1, len({g}) + 1), lambda i: {g}[i] || coalesce(({m})[i], '')), '')")
+
+
+_SIG = r"^(?:([\w$.<>]+)\.)?([\w$<>]+)\((.*?)\)$"
+_PRM = r"^(.*?\s+)?([\w$]+)(\[\])*$"
+
+
+def _sql_param(p: str) -> str:
+    typ = f"trim(regexp_extract({p}, '{_PRM}', 1))"
+    name = f"regexp_extract({p}, '{_PRM}', 2)"
+    br = f"CASE WHEN ends_with({p}, '[]') THEN '[]' ELSE '' END"
+    return (f"CASE WHEN regexp_matches({p}, '{_PRM}') AND {typ} <> '' THEN {_sql_simplify(typ)} || ' ' || {name} || {br} "
+            f"WHEN regexp_matches({p}, '{_PRM}') THEN {_sql_simplify(name)} || {br} ELSE {_sql_simplify(p)} END")
+
+
+_PARAMS = (f"array_to_string(list_transform(list_filter(list_transform(string_split(regexp_extract(sig, '{_SIG}', 3), ','), "
+           f"lambda x: trim(x)), lambda x: x <> ''), lambda p: {_sql_param('p')}), ', ')")
+
+
+@register("flow_display_name", f"""WITH {JX}, {CALLS_SQL},
+sigs AS (SELECT DISTINCT sig FROM (SELECT callee_sig AS sig FROM cx WHERE NOT starts_with(callee_sig, 'UNRESOLVED_CALL')
+  UNION ALL SELECT * FROM (VALUES {_vals(CASE_FLOW_SIGS)}) v(sig))),
+x AS (SELECT sig, regexp_matches(sig, '{_SIG}') AS ok, regexp_extract(sig, '{_SIG}', 1) AS cls,
+             regexp_extract(sig, '{_SIG}', 2) AS meth, {_PARAMS} AS params,
+             trim(regexp_replace(sig, '([A-Z])', ' \\1', 'g')) AS sp FROM sigs)
+SELECT sig, CASE WHEN NOT ok AND contains(sig, '(') AND contains(sig, ')') THEN sig
+  WHEN NOT ok THEN replace(upper(substr(sp, 1, 1)) || substr(sp, 2), '_', ' ')
+  WHEN meth = '<init>' THEN 'new ' || CASE WHEN cls <> '' THEN regexp_extract(cls, '([^.]*)$', 1) ELSE 'Object' END || '(' || params || ')'
+  WHEN meth = '<clinit>' THEN trim(regexp_extract(cls, '([^.]*)$', 1) || ' static initializer')
+  ELSE meth || '(' || params || ')' END AS display FROM x""")
+def q_flow_display_name(spark, sf_dir):
+    c = facts(spark, sf_dir).calls.where(~F.startswith("callee_sig", F.lit("UNRESOLVED_CALL"))) \
+        .select(F.col("callee_sig").alias("sig"))
+    u = c.unionByName(spark.createDataFrame([(x,) for x in CASE_FLOW_SIGS], "sig string")).distinct()
+    return u.select("sig", H.flow_display_name(F.col("sig")).alias("display"))
