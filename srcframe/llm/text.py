@@ -23,6 +23,8 @@ _LOWER[65:91] += 32
 _BYTE_LOWER = _BYTE[_LOWER]
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+NOT_LETTER = np.ones(256, bool)  # for words of letters only: ASCII letters and all bytes of longer characters
+NOT_LETTER[65:91] = NOT_LETTER[97:123] = NOT_LETTER[128:] = False
 _R = 0x9E3779B97F4A7C15
 _R_INV = pow(_R, -1, 2**64)
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -71,15 +73,17 @@ def chunks(off: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int
 
 
 class Words:
-    """Words of the rows i..j-1 of a column: byte ranges, hashes, row bounds."""
+    """Words of the rows i..j-1 of a column: byte ranges, hashes, row bounds.
+    ``between`` marks the bytes that separate words."""
 
-    def __init__(self, data: np.ndarray, off: np.ndarray, i: int, j: int, lower: bool = True):
+    def __init__(self, data: np.ndarray, off: np.ndarray, i: int, j: int, lower: bool = True,
+                 between: np.ndarray = _SPACE):
         base = int(off[i])
         b = data[base:int(off[j])]
         rel = off[i:j + 1] - base
         n = len(b)
         self.data, self.rel = b, rel
-        space = _SPACE[b]
+        space = between[b]
         before, after = np.empty(n, bool), np.empty(n, bool)
         if n:
             before[0] = after[-1] = True
@@ -94,9 +98,14 @@ class Words:
         power, inverse = _powers(n + 1)
         total = np.zeros(n + 1, np.uint64)
         np.cumsum((_BYTE_LOWER if lower else _BYTE)[b] * power[:n], out=total[1:])
-        self.hash = mix((total[self.end] - total[self.start]) * inverse[self.start])
+        self._total, self._inverse = total, inverse
+        self.hash = self.part(self.start, self.end)
         self.bounds = np.searchsorted(self.start, rel)  # words of row k: bounds[k]..bounds[k+1]
 
+    def part(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of byte ranges."""
+        return mix((self._total[end] - self._total[start]) * self._inverse[start])
+
     def counts(self) -> np.ndarray:
         return np.diff(self.bounds)
 
@@ -133,11 +142,12 @@ def distinct(a: np.ndarray) -> np.ndarray:
     return a[keep]
 
 
-def text_words(column: pa.Array, lower: bool = True, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, Words]]:
+def text_words(column: pa.Array, lower: bool = True, limit: int = CHUNK_BYTES,
+               between: np.ndarray = _SPACE) -> Iterator[tuple[int, int, Words]]:
     """(first row, end row, words) chunk by chunk over a whole column."""
     data, off = buffers(column)
     for i, j in chunks(off, limit):
-        yield i, j, Words(data, off, i, j, lower)
+        yield i, j, Words(data, off, i, j, lower, between)
 
 
 def run_over(table: pa.RecordBatch, limit: int = 4 << 20, column: str = "text") -> Iterator[pa.RecordBatch]:
