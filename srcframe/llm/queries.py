@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from srcframe.llm import neardup
+from srcframe.llm import neardup, packing, quality, suffixtree, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -48,3 +49,25 @@ from sizes z join (select a, min(b) c from reach group by a) m on m.a = z.doc_id
 @query("op6_neardup", NEARDUP_SQL)
 def op6(spark, sf_dir):
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), words=4)
+
+
+@query("op3_lm_scoring")
+def op3(spark, sf_dir):
+    return suffixtree.language_model_scores(table(spark, sf_dir, "documents"))
+
+
+@query("op1_toxicity")
+def op1(spark, sf_dir):
+    found = toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted", F.size("spans").alias("n_spans"))
+
+
+@query("op7_quality")
+def op7(spark, sf_dir):
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op9_packing")
+def op9(spark, sf_dir):
+    import public_tokenizers
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
