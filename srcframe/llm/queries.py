@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from srcframe.llm import neardup, packing, quality, suffixtree, toxicity
+from srcframe.llm import fingerprint, langid, neardup, packing, quality, suffixtree, toxicity, warc
+from srcframe.session import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -71,3 +72,33 @@ def op7(spark, sf_dir):
 def op9(spark, sf_dir):
     import public_tokenizers
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+WARC_SQL = """
+with p as (select page_id, coalesce(html, '') h, sha1(coalesce(html, '')) d, octet_length(encode(coalesce(html, ''))) n
+  from pages),
+k as (select d, max(page_id) m from p where n >= 1000 group by d having count(*) > 1)
+select page_id, n as payload_bytes, p.d as payload_digest,
+  case when m is null or m = page_id then 'response' else 'revisit' end as record_type,
+  case when m <> page_id then m end as refers_to
+from p left join k on k.d = p.d
+"""
+
+
+@query("op5_warc", WARC_SQL)
+def op5(spark, sf_dir):
+    scratch = Scratch(spark, "warc")
+    folder = scratch.folder("bundles")
+    scratch.save(warc.write_bundles(warc.decide(table(spark, sf_dir, "pages")), folder), "index")
+    return warc.read_bundles(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type",
+                                                   "refers_to")
+
+
+@query("op4_fingerprint")
+def op4(spark, sf_dir):
+    return fingerprint.compare_with_edits(table(spark, sf_dir, "documents"))
+
+
+@query("op10_langid")
+def op10(spark, sf_dir):
+    return langid.identify(table(spark, sf_dir, "documents"))
