@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from srcframe.llm import fingerprint, langid, neardup, packing, quality, suffixtree, toxicity, warc
+from srcframe.llm import fingerprint, langid, mixing, neardup, packing, quality, suffixtree, toxicity, warc
 from srcframe.session import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,3 +102,8 @@ def op4(spark, sf_dir):
 @query("op10_langid")
 def op10(spark, sf_dir):
     return langid.identify(table(spark, sf_dir, "documents"))
+
+
+@query("op8_mixing", mixing.oracle())
+def op8(spark, sf_dir):
+    return mixing.mix_documents(table(spark, sf_dir, "documents"))
