@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from srcframe.llm import fingerprint, langid, mixing, neardup, packing, quality, suffixtree, toxicity, warc
+from srcframe.llm import ann, fingerprint, langid, mixing, neardup, packing, quality, suffixtree, toxicity, warc
 from srcframe.session import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +107,8 @@ def op10(spark, sf_dir):
 @query("op8_mixing", mixing.oracle())
 def op8(spark, sf_dir):
     return mixing.mix_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op2_ann")
+def op2(spark, sf_dir):
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
