@@ -1,4 +1,8 @@
-"""From documents to packed sequences: the stages of the training-data pipeline."""
+"""From documents to packed sequences: the stages of the training-data pipeline.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
+as Parquet and reread as the next stage's documents.  All but the last return the
+columns of documents."""
 
 from __future__ import annotations
 
@@ -9,16 +13,44 @@ from pyspark.sql import DataFrame, SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from srcframe.llm import neardup  # noqa: E402
+from srcframe.llm import mixing, neardup, packing, quality, toxicity  # noqa: E402
 from srcframe.session import Scratch  # noqa: E402
 
+TOKENIZER = "word_bpe_49k.json"
+
+
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return quality.accepted(docs, _labels(spark, sf_dir))
+
+
+def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Toxic documents go."""
+    return toxicity.accepted(docs, _labels(spark, sf_dir))
+
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays."""
     return neardup.keep_one(docs)
 
 
-STAGES = [("near_dedup", near_dedup)]
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often, and as much of them, as the target weights take."""
+    return mixing.mixed_documents(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the tokenised documents in sequences."""
+    import public_tokenizers
+    return packing.pack(docs, public_tokenizers.path(TOKENIZER))
+
+
+STAGES = [("quality", quality_filter), ("toxicity", toxicity_filter), ("near_dedup", near_dedup),
+          ("mixing", source_mix), ("packing", pack_sequences)]
 
 ORACLE_SQL = None
 

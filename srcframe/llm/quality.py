@@ -198,6 +198,14 @@ def fit(x: np.ndarray, y: np.ndarray, sizes: dict, seed: int = 5) -> Network:
     return net
 
 
+def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[np.ndarray, Network]:
+    """Word vectors from all texts, network from labels outside the held fold."""
+    vectors = word_vectors(docs)
+    found, sizes = labelled.sample(docs, labels, "quality", per_class)
+    x = pool(pa.array(found["text"].tolist(), pa.string()), vectors)
+    return vectors, fit(x, found["y"].to_numpy().astype(float), sizes)
+
+
 def score(docs: DataFrame, vectors: np.ndarray, net: Network) -> DataFrame:
     """doc_id, held_out, score, predicted of ``docs(doc_id, held_out, text)``."""
     bc = docs.sparkSession.sparkContext.broadcast((vectors, net))  # BUCKETS x DIM floats
@@ -214,9 +222,21 @@ def score(docs: DataFrame, vectors: np.ndarray, net: Network) -> DataFrame:
 
 
 def quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
-    """Vectors from all texts, network from labels outside the held fold, scores
-    of all documents."""
-    vectors = word_vectors(docs)
-    found, sizes = labelled.sample(docs, labels, "quality", per_class)
-    x = pool(pa.array(found["text"].tolist(), pa.string()), vectors)
-    return score(labelled.texts(docs), vectors, fit(x, found["y"].to_numpy().astype(float), sizes))
+    """Scores of all documents."""
+    return score(labelled.texts(docs), *train(docs, labels, per_class))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
+    """The rows of ``docs``, in all their columns, that are not rejected.  Without
+    labels of both classes nothing is rejected."""
+    vectors, net = train(docs, labels, per_class)
+    bc = docs.sparkSession.sparkContext.broadcast((vectors, net))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, model = bc.value
+        for whole in batches:
+            for t in run_over(whole):
+                good = model.probabilities(pool(t.column("text"), table)) >= THRESHOLD
+                yield t.filter(pa.array(good))
+
+    return docs if net.layers is None else docs.mapInArrow(run, docs.schema)

@@ -257,6 +257,14 @@ def _spans(w: Words, p: np.ndarray, a: int, z: int, begin: int) -> list[dict]:
             for x, y in zip(lo, hi, strict=True)]
 
 
+def _marked(column: pa.Array, model: Field) -> Iterator[tuple[Words, np.ndarray, np.ndarray]]:
+    """Words, marginals and document features, chunk by chunk."""
+    for _, _, w in text_words(column, between=NOT_LETTER):
+        first = w.bounds[:-1][np.diff(w.bounds) > 0]
+        p = model.marginals(model.emissions([model.find(f) for f in features(w)]), first)
+        yield w, p, model.document(p, w.bounds)
+
+
 def score(docs: DataFrame, field: Field) -> DataFrame:
     """doc_id, held_out, score, predicted, spans of every row of
     ``docs(doc_id, held_out, text)``."""
@@ -267,10 +275,7 @@ def score(docs: DataFrame, field: Field) -> DataFrame:
         for whole in batches:
             for t in run_over(whole):
                 got, spans = [], []
-                for _, _, w in text_words(t.column("text"), between=NOT_LETTER):
-                    first = w.bounds[:-1][np.diff(w.bounds) > 0]
-                    p = model.marginals(model.emissions([model.find(f) for f in features(w)]), first)
-                    x = model.document(p, w.bounds)
+                for w, p, x in _marked(t.column("text"), model):
                     got.append(model.scores(x))
                     some = x[:, 1] >= 0
                     spans += [_spans(w, p, w.bounds[k], w.bounds[k + 1], w.rel[k]) if some[k] else []
@@ -285,7 +290,27 @@ def score(docs: DataFrame, field: Field) -> DataFrame:
         .withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
+def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Field:
+    found, sizes = labelled.sample(docs, labels, "toxic", per_class)
+    return fit(found["text"].tolist(), found["y"].to_numpy().astype(float), sizes)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
     """Fit on labelled documents outside the held fold and score all documents."""
-    found, sizes = labelled.sample(docs, labels, "toxic", per_class)
-    return score(labelled.texts(docs), fit(found["text"].tolist(), found["y"].to_numpy().astype(float), sizes))
+    return score(labelled.texts(docs), train(docs, labels, per_class))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
+    """The rows of ``docs``, in all their columns, that are not toxic.  Without
+    labels of both classes nothing is rejected."""
+    field = train(docs, labels, per_class)
+    bc = docs.sparkSession.sparkContext.broadcast(field)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = bc.value
+        for whole in batches:
+            for t in run_over(whole):
+                scores = np.concatenate([model.scores(x) for _, _, x in _marked(t.column("text"), model)])
+                yield t.filter(pa.array(scores < THRESHOLD))
+
+    return docs if field.final is None else docs.mapInArrow(run, docs.schema)
