@@ -2,17 +2,22 @@
 
 A document's set is its distinct k-word shingles.  Equal sets form one class.
 Each class has a MinHash signature and is posted under its coordinate-value
-pairs.  Two sets at the similarity sought agree in at least ``floor`` coordinates
-(missed with probability under ``miss``), so, with each signature's pairs ordered
-from rare to frequent, they meet in the first ``coords - floor + 1`` of both:
-only this prefix is posted, and frequent pairs (boilerplate) are skipped.  The
-collisions of two classes that meet are then counted over the whole signatures,
-and pairs that reach the floor are confirmed on full sets.
-
-A posting list is never expanded into all its pairs: first every member is
+pairs.  Two sets at the similarity sought agree in at least ``floor`` of the ``POSTED`` first coordinates (missed with
+probability under ``miss``), so, with each signature's pairs ordered from rare to
+frequent, they meet in the first ``POSTED - floor + 1`` of both: only this prefix
+is posted, and frequent pairs (boilerplate) are skipped.  The collisions of two
+classes that meet are then counted over the whole signatures of ``COORDS``, and
+pairs that reach the match threshold are confirmed on full sets.
+
+A posting list is never expanded into all its pairs.  First every member is
 compared with the list's smallest class; the links found give components, and
-then only members of *different* components that still share a list are
-compared.  A pair inside one component cannot change the result.
+only members of *different* components that still share a list are compared: a
+pair inside one component cannot change the result.  Lists of up to ``SHORT``
+classes do that by a join; longer ones are cut into blocks of about ``BLOCK``
+classes, and every pair of blocks is a task of its own that holds the sets of its
+members, confirms links on them and hands back only links that join something.
+There a pair belongs to the first coordinate under which both are posted, so no
+list repeats another's work.
 
 Rules: null or empty text, or text without words: an empty set, linked with
 nothing.  Fewer than k words: the whole sequence is the one shingle.  Rows
@@ -35,7 +40,10 @@ from srcframe.llm.graph import components
 from srcframe.llm.text import distinct, mix, run_over, text_words
 from srcframe.session import Scratch
 
-COORDS = 40
+POSTED = 40
+COORDS = 128
+SHORT = 32
+BLOCK = 1024
 MISS = 1e-6
 _RNG = np.random.default_rng(977)
 _XOR = _RNG.integers(0, 2**63, 256, dtype=np.uint64)
@@ -97,11 +105,9 @@ def shingle_sets(docs: DataFrame, words: int, coords: int) -> DataFrame:
         .filter("doc_id is not null").mapInArrow(run, SET_SCHEMA)
 
 
-def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of classes with 100 * intersection >= percent * union on the
-    full sets, which are made anew from one text of each class that is needed."""
-    nodes = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
-    need = nodes.join(classes.select("fp", "doc_id"), "fp").select("doc_id").distinct()
+def class_sets(docs: DataFrame, need: DataFrame, words: int) -> DataFrame:
+    """(fp, members) of the texts of the documents ``need(doc_id)``, members being
+    the full sorted set of 64-bit shingle hashes."""
 
     def make(batches):
         for whole in batches:
@@ -111,15 +117,24 @@ def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int,
                                        "members": pa.array([s.tobytes() for s in sets], pa.binary())})
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = texts.join(need, "doc_id", "left_semi").mapInArrow(make, "fp binary, members binary").dropDuplicates(["fp"])
+    return texts.join(need, "doc_id", "left_semi").mapInArrow(make, "fp binary, members binary").dropDuplicates(["fp"])
+
+
+def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """100 * intersection >= percent * union of two sorted sets."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    both = len(x) + len(y) - len(distinct(np.concatenate([x, y])))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes that are linked."""
 
     def compare(batches):
         for t in batches:
-            keep = []
-            for x, y in zip(t.column("sa"), t.column("sb"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(x) + len(y) - len(distinct(np.concatenate([x, y])))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+            keep = [linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent)
+                    for x, y in zip(t.column("sa"), t.column("sb"), strict=True)]
             yield t.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return (pairs.join(sets.select(F.col("fp").alias("a"), F.col("members").alias("sa")), "a")
@@ -127,29 +142,81 @@ def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int,
             .select("a", "b", "sa", "sb").mapInArrow(compare, "a binary, b binary"))
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, coords: int = COORDS,
-                    miss: float = MISS) -> DataFrame:
+def _block_links(rows: DataFrame, floor: int, percent: int) -> DataFrame:
+    """Links between different components inside pairs of blocks.  ``rows``: key,
+    c (coordinate), i, j (blocks), own (block of the row), fp, part, posted (bits
+    of the coordinates posted), sig, members."""
+
+    def compare(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        fp, part = t.column("fp").to_pylist(), t.column("part").to_pylist()
+        n, c = len(fp), t.column("c")[0].as_py()
+        number = {p: k for k, p in enumerate(dict.fromkeys(part))}
+        root = np.arange(len(number))
+        at = np.array([number[p] for p in part])
+        sig = t.column("sig").chunk(0).flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+        sig8 = np.ascontiguousarray((sig & 255).astype(np.uint8).T)
+        posted = t.column("posted").to_numpy()
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("members").chunk(0)]
+        own = t.column("own").to_numpy()
+        left = np.flatnonzero(own == t.column("i")[0].as_py())
+        right = np.flatnonzero(own == t.column("j")[0].as_py())
+        same = t.column("i")[0].as_py() == t.column("j")[0].as_py()
+
+        def find(x):
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        a, b = [], []
+        for k in range(0, len(left), 64):
+            rows = left[k:k + 64]
+            equal = np.zeros((len(rows), len(right)), np.uint8)
+            for s in sig8:
+                equal += s[rows][:, None] == s[right][None, :]
+            maybe = (equal >= floor) & (at[rows][:, None] != at[right][None, :])
+            if same:
+                maybe &= rows[:, None] < right[None, :]
+            x, y = np.nonzero(maybe)
+            x, y = rows[x], right[y]
+            first = np.ones(len(x), bool)  # no earlier coordinate under which both are posted
+            for e in range(c):
+                first &= (sig[x, e] != sig[y, e]) | (((posted[x] & posted[y]) >> e) & 1 == 0)
+            for u, v in zip(x[first].tolist(), y[first].tolist(), strict=True):
+                p, q = find(at[u]), find(at[v])
+                if p != q and linked(sets[u], sets[v], percent):
+                    root[p] = q
+                    a.append(fp[u])
+                    b.append(fp[v])
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+    return rows.groupBy("key", "i", "j").applyInArrow(compare, "a binary, b binary")
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: float = MISS) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links),
     kept: one row per row of ``docs(doc_id, text)`` that has an id."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "neardup")
-    floor = match_floor(coords, percent / 100, miss)
+    meet = POSTED - match_floor(POSTED, percent / 100, miss) + 1
+    floor = match_floor(COORDS, percent / 100, miss)
 
-    rows = scratch.save(shingle_sets(docs, words, coords), "rows")
+    rows = scratch.save(shingle_sets(docs, words, COORDS), "rows")
     classes = scratch.save(
         rows.filter("n_shingles > 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig")),
         "classes")
 
     # postings: the rare prefix of every signature, without pairs that stand alone
-    posts = classes.select("fp", F.posexplode("sig").alias("c", "v")).select(
-        "fp", (F.col("c").cast("long") * F.lit(1 << 32) + F.col("v")).alias("key"))
+    posts = classes.select("fp", F.posexplode(F.slice("sig", 1, POSTED)).alias("c", "v")).select(
+        "fp", (F.col("c").cast("long") * F.lit(1 << 32) + F.col("v")).alias("key"), "c")
     common = posts.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     by_class = Window.partitionBy("fp")
     lists = scratch.save(
         posts.join(common, "key")
         .withColumn("r", F.row_number().over(by_class.orderBy("n", "key")))
-        .withColumn("alone", coords - F.count("*").over(by_class))
-        .filter(F.col("r") + F.col("alone") <= coords - floor + 1).select("key", "fp"), "lists")
+        .withColumn("alone", POSTED - F.count("*").over(by_class))
+        .filter(F.col("r") + F.col("alone") <= meet).select("key", "fp", "c"), "lists")
     centers = lists.groupBy("key").agg(F.min("fp").alias("center"), F.count("*").alias("n")).filter("n > 1")
 
     def matching(pairs: DataFrame) -> DataFrame:
@@ -159,31 +226,48 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, coords:
                 .join(sig.select(F.col("fp").alias("b"), F.col("sig").alias("y")), "b")
                 .filter(same >= floor).select("a", "b"))
 
-    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
-        pairs = scratch.save(matching(pairs.distinct()), f"{name}_pairs")
-        return scratch.save(_confirm(pairs, classes, docs, words, percent), name)
+    star_pairs = scratch.save(matching(
+        lists.join(centers, "key").filter("fp <> center")
+        .select(F.col("center").alias("a"), F.col("fp").alias("b")).distinct()), "star_pairs")
 
-    star = confirmed(lists.join(centers, "key").filter("fp <> center")
-                     .select(F.col("center").alias("a"), F.col("fp").alias("b")), "star")
+    # sets of all classes that a list compares with another
+    nodes = lists.join(centers.select("key"), "key", "left_semi").select("fp").distinct()
+    sets = scratch.save(class_sets(docs, nodes.join(classes.select("fp", "doc_id"), "fp").select("doc_id").distinct(),
+                                   words), "sets")
+    star = scratch.save(_confirm(star_pairs, sets, percent), "star")
     first = scratch.save(components(star, scratch, "first"), "first")
 
     held = lists.join(first.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "key", "fp", F.coalesce("component", "fp").alias("part"))
+        "key", "c", "fp", F.coalesce("component", "fp").alias("part"))
     mixed = held.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.min("fp").alias("center"),
-                                    F.count("*").alias("n")).filter("lo <> hi and n > 2").select("key", "center")
-    left = held.join(mixed, "key").filter("fp <> center").select("key", "fp", "part")
-    rest = confirmed(
-        left.alias("l").join(left.alias("r"), F.expr("l.key = r.key and l.part < r.part"))
-        .select(F.least("l.fp", "r.fp").alias("a"), F.greatest("l.fp", "r.fp").alias("b")), "rest")
-
-    whole = components(star.union(rest), scratch, "whole")
+                                    F.count("*").alias("n")).filter("lo <> hi and n > 2").select("key", "center", "n")
+    left = scratch.save(held.join(mixed, "key"), "left")
+
+    short = left.filter(F.col("n") <= SHORT).filter("fp <> center")
+    pairs = scratch.save(matching(
+        short.alias("l").join(short.alias("r"), F.expr("l.key = r.key and l.part < r.part"))
+        .select(F.least("l.fp", "r.fp").alias("a"), F.greatest("l.fp", "r.fp").alias("b")).distinct()), "pairs")
+    rest = scratch.save(_confirm(pairs, sets, percent), "rest")
+
+    posted = lists.groupBy("fp").agg(F.sum(F.expr("shiftleft(1L, c)")).alias("posted"))
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+    long_lists = (left.filter(F.col("n") > SHORT).withColumn("blocks", blocks).withColumn("own", own)
+                  .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+                  .select("key", "c", "fp", "part", "own", F.least("own", "other").alias("i"),
+                          F.greatest("own", "other").alias("j")))
+    more = scratch.save(_block_links(
+        long_lists.join(posted, "fp").join(classes.select("fp", "sig"), "fp").join(sets, "fp"), floor, percent), "more")
+
+    whole = components(star.union(rest).union(more), scratch, "whole")
     part = classes.select("fp", "doc_id").join(whole.withColumnRenamed("node", "fp"), "fp", "left") \
         .select("fp", "doc_id", F.coalesce("component", "fp").alias("part"))
     low = part.groupBy("part").agg(F.min("doc_id").alias("low"))
     named = part.join(low, "part").select("fp", "low")
-    out = rows.join(named, "fp", "left").select(
+    out = scratch.save(rows.select("doc_id", "n_shingles", "fp").join(named, "fp", "left").select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("low")).otherwise(F.col("doc_id"))
-        .alias("component_id"))
+        .alias("component_id")), "out")
+    scratch.drop("rows", "classes", "lists", "star_pairs", "sets", "star", "first", "left", "pairs", "rest", "more")
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
