@@ -155,13 +155,14 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     taken = (each.groupBy("key", "doc_id", "number", "start", "size", "turn")
              .agg(F.array_sort(F.collect_list(F.struct("word", "words"))).alias("cuts"),
                   F.sum("words").alias("total")))
-    taken = taken.select(F.col("key").alias("mix_key"), F.col("doc_id").alias("mix_id"), "size", "cuts", "total")
-    texts = docs.withColumn("mix_own", key).dropDuplicates(["mix_own", "doc_id"])
-    both = texts.join(taken, (F.col("mix_own") == F.col("mix_key")) &
-                      F.col("doc_id").cast("long").eqNullSafe(F.col("mix_id")))
+    taken = taken.select(F.col("key").alias("_mix_key"), F.col("doc_id").alias("_mix_id"),
+                         F.struct("size", "cuts", "total").alias("_mix"))
+    texts = docs.withColumn("_mix_own", key).dropDuplicates(["_mix_own", "doc_id"])
+    both = texts.join(taken, (F.col("_mix_own") == F.col("_mix_key")) &
+                      F.col("doc_id").cast("long").eqNullSafe(F.col("_mix_id")))
     words = F.regexp_extract_all(F.col("text"), F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
-    text = F.when(F.col("total") == F.col("size"), F.col("text")).otherwise(F.array_join(F.flatten(F.transform(
-        "cuts", lambda c: F.slice(words, (c["word"] + 1).cast("int"), c["words"].cast("int")))), ""))
+    text = F.when(F.col("_mix.total") == F.col("_mix.size"), F.col("text")).otherwise(F.array_join(F.flatten(F.transform(
+        "_mix.cuts", lambda c: F.slice(words, (c["word"] + 1).cast("int"), c["words"].cast("int")))), ""))
     out = both.withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

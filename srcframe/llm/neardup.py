@@ -35,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from srcframe.llm.graph import components
 from srcframe.llm.text import distinct, mix, run_over, text_words
@@ -197,6 +198,13 @@ def _block_links(rows: DataFrame, floor: int, percent: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: float = MISS) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links),
     kept: one row per row of ``docs(doc_id, text)`` that has an id."""
+    return grouped(docs, words, percent, miss).select(
+        "doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
+def grouped(docs: DataFrame, words: int, percent: int, miss: float = MISS) -> DataFrame:
+    """doc_id, fp (class), n_shingles, component_id, chosen (the row's class
+    represents its component, under the component's smallest id)."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "neardup")
     meet = POSTED - match_floor(POSTED, percent / 100, miss) + 1
@@ -262,18 +270,39 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
     whole = components(star.union(rest).union(more), scratch, "whole")
     part = classes.select("fp", "doc_id").join(whole.withColumnRenamed("node", "fp"), "fp", "left") \
         .select("fp", "doc_id", F.coalesce("component", "fp").alias("part"))
-    low = part.groupBy("part").agg(F.min("doc_id").alias("low"))
+    low = part.groupBy("part").agg(F.min(F.struct("doc_id", "fp")).alias("low"))
     named = part.join(low, "part").select("fp", "low")
     out = scratch.save(rows.select("doc_id", "n_shingles", "fp").join(named, "fp", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("low")).otherwise(F.col("doc_id"))
-        .alias("component_id")), "out")
+        "doc_id", "fp", "n_shingles",
+        F.when(F.col("n_shingles") > 0, F.col("low.doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.when(F.col("n_shingles") > 0, F.struct("doc_id", "fp") == F.col("low")).otherwise(F.lit(True))
+        .alias("chosen")), "out")
     scratch.drop("rows", "classes", "lists", "star_pairs", "sets", "star", "first", "left", "pairs", "rest", "more")
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return out
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that represent their component: one row per
-    component.  Rows without an id are kept as they are."""
-    kept = near_duplicates(docs, words, percent).filter("kept").select("doc_id").distinct()
-    same = docs.join(kept, docs["doc_id"].cast("long") == kept["doc_id"], "left_semi").dropDuplicates(["doc_id"])
-    return same.unionByName(docs.filter("doc_id is null"))
+    """The rows of ``docs``, in all their columns, that represent their component:
+    one row per component, and one of repeated rows without words.  Rows without
+    an id are kept as they are."""
+    found = grouped(docs, words, percent)
+    chosen = found.filter("chosen").select("doc_id", "fp").distinct()
+    often = found.groupBy("doc_id").agg(F.count("*").alias("n"))
+    own = docs["doc_id"].cast("long")
+    once = chosen.join(often.filter("n = 1"), "doc_id").select(F.col("doc_id").alias("_one"))
+    several = often.filter("n > 1").select(F.col("doc_id").alias("_some"))
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for t in run_over(whole):
+                sets = [s for _, _, w in text_words(t.column("text")) for s in w.shingles(words)]
+                yield t.append_column("_set", pa.array([fingerprint(s) for s in sets], pa.binary()))
+
+    # ids that several rows bear: the row is told by its set as well
+    shared = docs.join(several, own == several["_some"], "left_semi")
+    shared = shared.mapInArrow(mark, StructType([*docs.schema.fields, StructField("_set", BinaryType())]))
+    shared = shared.join(chosen.select(F.col("doc_id").alias("_some"), F.col("fp").alias("_fp")),
+                         (shared["doc_id"].cast("long") == F.col("_some")) & (F.col("_set") == F.col("_fp")), "left_semi")
+    return (docs.join(once, own == once["_one"], "left_semi")
+            .unionByName(shared.dropDuplicates(["doc_id", "_set"]).drop("_set"))
+            .unionByName(docs.filter("doc_id is null")))
