@@ -330,10 +330,6 @@ def flows_with_steps(flows: DataFrame, diagram_types: list[str] | None = None) -
     return seq.unionByName(gen)
 
 
-FLOW_SIG_RX = r"^(?:([\w$.<>]+)\.)?([\w$<>]+)\((.*?)\)$"
-PARAM_RX = r"^(.*?\s+)?([\w$]+)(\[\])*$"
-
-
 def simplify_type(t: Column) -> Column:
     """Generic arguments ``<a,b>`` → ``<a, b>`` (commas of each first-level
     ``<…>`` span re-joined with ``, ``)."""
@@ -344,32 +340,41 @@ def simplify_type(t: Column) -> Column:
     return F.array_join(F.zip_with(gaps, F.concat(ms, F.array(F.lit(""))), lambda g, m: F.concat(g, m)), "")
 
 
+def parameter_text(p: Column) -> Column:
+    """One parameter: type in its simple form, then the name and its array
+    marks if it has one."""
+    bare = F.regexp_replace(p, r"(\[\])+$", "")
+    marks = F.when(F.length(bare) < F.length(p), F.lit("[]")).otherwise(F.lit(""))
+    name = F.substring_index(F.regexp_replace(bare, r"\s", " "), " ", -1)
+    typ = F.trim(F.left(bare, F.length(bare) - F.length(name)))
+    plain = name.rlike(r"^[\w$]+$")
+    return (F.when(plain & (typ != ""), F.concat(simplify_type(typ), F.lit(" "), name, marks))
+            .when(plain, F.concat(simplify_type(name), marks))
+            .otherwise(simplify_type(p)))
+
+
 def flow_display_name(sig: Column) -> Column:
     """H15 ``flow_display_name``: ``method(simplified params)``;
     ``<init>`` → ``new Class(params)``, ``<clinit>`` → ``Class static
     initializer``; a text that is no signature keeps parentheses as is or
-    becomes spaced words (``getUserName`` → ``Get User Name``)."""
-    ok = sig.rlike(FLOW_SIG_RX)
-    cls = F.regexp_extract(sig, FLOW_SIG_RX, 1)
-    meth = F.regexp_extract(sig, FLOW_SIG_RX, 2)
-    ptxt = F.regexp_extract(sig, FLOW_SIG_RX, 3)
-
-    def one(p):
-        m = p.rlike(PARAM_RX)
-        typ = F.trim(F.regexp_extract(p, PARAM_RX, 1))
-        name = F.regexp_extract(p, PARAM_RX, 2)
-        br = F.when(p.rlike(r"\[\]$") & m, F.lit("[]")).otherwise(F.lit(""))
-        return F.when(m & (typ != ""), F.concat(simplify_type(typ), F.lit(" "), name, br)) \
-            .when(m, F.concat(simplify_type(name), br)).otherwise(simplify_type(p))
-    params = F.array_join(F.transform(F.filter(F.transform(F.split(ptxt, ",", -1), lambda x: F.trim(x)),
-                                               lambda x: x != ""), one), ", ")
+    becomes spaced words (``getUserName`` → ``Get User Name``).
+
+    A signature ends in ``)``; its qualified name is what stands before the
+    first ``(``: the method behind the last dot, the class before it."""
+    head = F.substring_index(sig, "(", 1)
+    method = F.substring_index(head, ".", -1)
+    cls = F.left(head, F.greatest(F.length(head) - F.length(method) - 1, F.lit(0)))
     simple_cls = F.substring_index(cls, ".", -1)
+    is_sig = sig.contains("(") & sig.endswith(")") & head.rlike(r"^[\w$.<>]+$") & (method != "") & \
+        ~F.startswith(head, F.lit("."))
+    listed = F.substr(sig, F.length(head) + 2, F.length(sig) - F.length(head) - 2)
+    each = F.filter(F.transform(F.split(listed, ",", -1), lambda x: F.trim(x)), lambda x: x != "")
+    params = F.concat(F.lit("("), F.array_join(F.transform(each, parameter_text), ", "), F.lit(")"))
     spaced = F.trim(F.regexp_replace(sig, "([A-Z])", " $1"))
     spaced = F.replace(F.concat(F.upper(F.left(spaced, F.lit(1))), F.substr(spaced, F.lit(2))), F.lit("_"), F.lit(" "))
-    return (F.when(sig.isNull(), F.lit("Unknown Flow"))
-            .when(~ok & sig.contains("(") & sig.contains(")"), sig)
-            .when(~ok, spaced)
-            .when(meth == "<init>", F.concat(F.lit("new "), F.when(cls != "", simple_cls).otherwise(F.lit("Object")),
-                                             F.lit("("), params, F.lit(")")))
-            .when(meth == "<clinit>", F.trim(F.concat(simple_cls, F.lit(" static initializer"))))
-            .otherwise(F.concat(meth, F.lit("("), params, F.lit(")"))))
+    named = (F.when(method == "<clinit>", F.trim(F.concat(simple_cls, F.lit(" static initializer"))))
+             .when(method == "<init>", F.concat(F.lit("new "), F.coalesce(F.nullif(simple_cls, F.lit("")), F.lit("Object")),
+                                                params))
+             .otherwise(F.concat(method, params)))
+    return F.when(is_sig, named).when(sig.contains("(") & sig.contains(")"), sig) \
+        .otherwise(F.coalesce(spaced, F.lit("Unknown Flow")))

@@ -36,13 +36,14 @@ MASK_RX = ('"""(?s:.*?)"""'
            r'|"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"'
            r"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'")
 
-ANN = r'@[\w.$]+(?:[ \t]*\((?:[^()]|\([^()]*\))*\))?'
+ARGS = r'\((?:[^()]++|\((?:[^()]++|\([^()]*+\))*+\))*+\)'  # balanced to three levels; runs never backtrack
+ANN = r'@[\w.$]+(?:[ \t]*' + ARGS + r')?'
 TYPE = r'[\w.$]+(?:<(?:[^<>]|<(?:[^<>]|<[^<>]*>)*>)*>)?(?:\[\])*'
 METHOD_MODS = r'(?:public|protected|private|static|final|abstract|synchronized|native|default|strictfp)'
 FIELD_MODS = r'(?:public|protected|private|static|final|transient|volatile)'
 
 METHOD_RX = (r'(?m)^[ \t]*((?:' + ANN + r'\s+)*)((?:' + METHOD_MODS + r'\s+)*)(?:<[^<>]*>\s+)?('
-             + TYPE + r')\s+([\w$]+)\s*\(((?:[^()]|\([^()]*\))*)\)\s*(?:throws\s+([\w.$,\s]+?))?\s*[{;]')
+             + TYPE + r')\s+([\w$]+)\s*\(((?:[^()]++|\((?:[^()]++|\([^()]*+\))*+\))*+)\)\s*(?:throws\s+([\w.$,\s]+?))?\s*[{;]')
 FIELD_RX = (r'(?m)^[ \t]*((?:' + ANN + r'\s+)*)((?:' + FIELD_MODS + r'\s+)*)(' + TYPE
             + r')\s+([\w$]+)\s*(?:=\s*([^;]*))?;')
 TYPE_DECL_RX = r'(?<![\w$@])(class|interface|enum)\s+([\w$]+)|@interface\s+([\w$]+)'
@@ -413,7 +414,7 @@ def extract_locals(bodies: DataFrame) -> DataFrame:
         .where(~F.col("type").isin(*NOT_TYPES) & ~F.col("name").isin(*NOT_TYPES))
 
 
-SCOPE_RX = r"((?:[\w$]+(?:\((?:[^()]|\([^()]*\))*\))?\s*\.\s*)+)$"
+SCOPE_RX = r"((?:[\w$]++(?:" + ARGS + r")?\s*+\.\s*+)+)$"
 
 
 def extract_calls(bodies: DataFrame) -> DataFrame:
@@ -456,10 +457,24 @@ def extract_calls(bodies: DataFrame) -> DataFrame:
 
 
 def split_args(args: Column, args_masked: Column) -> Column:
-    """Top-level arguments (original text): split where the masked text
-    has a comma outside parentheses (one nesting level handled)."""
-    sp = spans(args_masked, r"(?:[^,()]|\((?:[^()]|\([^()]*\))*\))+")
-    return F.filter(F.transform(sp, lambda s: strip(F.substr(args, s["start"], s["len"]))), lambda x: x != "")
+    """Top-level arguments (original text).  The masked text is cut at brackets
+    and commas; a running depth and position over the pieces marks the commas
+    outside all brackets, so nesting and length are not limited."""
+    cut = r"[(){}\[\],]"
+    marks = F.zip_with(F.split(args_masked, cut, -1), F.regexp_extract_all(args_masked, F.lit(cut), 0),
+                       lambda g, m: F.struct(F.length(g).alias("n"), m.alias("m")))
+    zero = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("pos"), F.array().cast("array<int>").alias("commas"))
+
+    def step(a, x):
+        pos = (a["pos"] + x["n"] + 1).cast("int")
+        depth = a["depth"] + F.when(x["m"].isin("(", "[", "{"), 1).when(x["m"].isin(")", "]", "}"), -1).otherwise(0)
+        commas = F.when((x["m"] == ",") & (a["depth"] == 0), F.array_append(a["commas"], pos)).otherwise(a["commas"])
+        return F.struct(depth.cast("int").alias("depth"), pos.alias("pos"), commas.alias("commas"))
+    commas = F.aggregate(marks, zero, step, lambda a: a["commas"])
+    starts = F.concat(F.array(F.lit(0)), commas)
+    ends = F.concat(commas, F.array((F.length(args_masked) + 1).cast("int")))
+    parts = F.zip_with(starts, ends, lambda a, z: strip(F.substr(args, a + 1, z - a - 1)))
+    return F.filter(parts, lambda x: x != "")
 
 
 # --------------------------------------------------------- name resolution
@@ -499,8 +514,8 @@ def variable_types(methods: DataFrame, locals_: DataFrame) -> DataFrame:
     """H10 ``variable_types``: per method, variable name → declared type
     from parameters and locals; a local wins over a parameter of the same
     name.  One row per (method, name)."""
-    key = ["repo_id", "class_fqn", "method_name", "method_ordinal"]
-    p = methods.select("repo_id", "class_fqn", F.col("name").alias("method_name"),
+    key = ["repo_id", "path", "class_fqn", "method_name", "method_ordinal"]
+    p = methods.select("repo_id", "path", "class_fqn", F.col("name").alias("method_name"),
                        F.col("ordinal").alias("method_ordinal"), F.posexplode("params").alias("o", "p")) \
         .select(*key, F.col("p.name").alias("var"), F.col("p.type").alias("vtype"), F.lit(2).alias("prio"),
                 F.col("o").alias("o"))
@@ -522,22 +537,22 @@ def qualify_calls(calls: DataFrame, methods: DataFrame, fields: DataFrame, local
     with the call's arity first): ``pkg.Class.method(qualified param
     types)``.  Otherwise ``UNRESOLVED_CALL: scope.method(arg types)`` with
     ``UNKNOWN_PARAM_TYPE`` for arguments whose type is not known."""
-    key = ["repo_id", "class_fqn", "method_name", "method_ordinal"]
-    mctx = methods.select("repo_id", "class_fqn", F.col("name").alias("method_name"),
+    key = ["repo_id", "path", "class_fqn", "method_name", "method_ordinal"]
+    mctx = methods.select("repo_id", "path", "class_fqn", F.col("name").alias("method_name"),
                           F.col("ordinal").alias("method_ordinal"), "package", "imports",
                           F.col("class_name").alias("cur_class"))
     vt = variable_types(methods, locals_)
-    ft = fields.select("repo_id", "class_fqn", F.col("name").alias("var"), F.col("declared_type").alias("ftype"))
-    ft = ft.dropDuplicates(["repo_id", "class_fqn", "var"])
-    known = classes.select("repo_id", F.col("class_fqn").alias("kq"), F.lit(True).alias("known"))
+    ft = fields.select("repo_id", "path", "class_fqn", F.col("name").alias("var"), F.col("declared_type").alias("ftype"))
+    ft = ft.dropDuplicates(["repo_id", "path", "class_fqn", "var"])
+    known = classes.select("repo_id", F.col("class_fqn").alias("kq")).distinct().withColumn("known", F.lit(True))
     c = calls.join(mctx, key, "left")
     # scope → variable
     sv = F.when(F.col("scope").rlike(r"^[\w$]+$"), F.col("scope")) \
         .when(F.col("scope").rlike(r"^this\.[\w$]+$"), F.regexp_extract("scope", r"^this\.([\w$]+)$", 1))
     c = c.withColumn("_sv", sv).withColumn("_this", F.col("scope").rlike(r"^this\."))
     c = c.join(vt.select(*key, F.col("var").alias("_sv"), F.col("vtype").alias("_mv")), key + ["_sv"], "left")
-    c = c.join(ft.select("repo_id", "class_fqn", F.col("var").alias("_sv"), "ftype"),
-               ["repo_id", "class_fqn", "_sv"], "left")
+    c = c.join(ft.select("repo_id", "path", "class_fqn", F.col("var").alias("_sv"), "ftype"),
+               ["repo_id", "path", "class_fqn", "_sv"], "left")
     vtype = F.when(F.col("_this"), F.col("ftype")).otherwise(F.coalesce(F.col("_mv"), F.col("ftype")))
     as_type = F.when(F.col("_sv").isNotNull() & F.col("_sv").rlike(r"^[A-Z]") & ~F.col("_this"), F.col("_sv"))
     stype = F.when(F.col("scope").isNull() | (F.col("scope") == "this"), F.col("class_fqn")) \
@@ -546,14 +561,18 @@ def qualify_calls(calls: DataFrame, methods: DataFrame, fields: DataFrame, local
         .otherwise(F.regexp_replace(qualify(stype, F.col("imports"), F.col("package")), r"<.*$", ""))
     c = c.withColumn("_qual", qual)
     c = c.join(known.withColumnRenamed("kq", "_qual"), ["repo_id", "_qual"], "left")
-    # candidate declarations in the scope class
-    decl = methods.select("repo_id", F.col("class_fqn").alias("_qual"), F.col("name").alias("name"),
+    # candidate declarations in the scope class; of classes that share a name, the
+    # caller's own file first, then the first path
+    decl = methods.select("repo_id", F.col("path").alias("_dpath"), F.col("class_fqn").alias("_qual"),
+                          F.col("name").alias("name"),
                           F.col("ordinal").alias("_dord"), F.col("params").alias("_dparams"),
                           F.col("package").alias("_dpkg"), F.col("imports").alias("_dimp"))
     ck = key + ["ordinal"]
     j = c.join(decl, ["repo_id", "_qual", "name"], "left")
     arity_ok = F.size(F.col("_dparams")) == F.size(F.col("arg_texts"))
-    w = Window.partitionBy(*ck).orderBy(F.when(arity_ok, 0).otherwise(1), F.col("_dord").asc_nulls_last())
+    w = Window.partitionBy(*ck).orderBy(F.when(arity_ok, 0).otherwise(1),
+                                        F.when(F.col("_dpath") == F.col("path"), 0).otherwise(1), "_dpath",
+                                        F.col("_dord").asc_nulls_last())
     j = j.withColumn("_r", F.row_number().over(w)).where("_r = 1")
     ptypes = F.transform(F.col("_dparams"), lambda p: qualify(p["type"], F.col("_dimp"), F.col("_dpkg")))
     resolved_sig = F.concat(F.col("_qual"), F.lit("."), F.col("name"), F.lit("("),
@@ -564,7 +583,7 @@ def qualify_calls(calls: DataFrame, methods: DataFrame, fields: DataFrame, local
                  .when(stype.isNotNull() & resolvable, F.col("_qual"))
                  .otherwise(F.col("scope")))
     j = j.withColumn("_scope_txt", scope_txt)
-    return j.select(*ck, "name", "scope", "arg_texts", "call_pos", "_qual", "_scope_txt",
+    return j.select(*ck, "name", "scope", "args", "arg_texts", "call_pos", "close_pos", "file_pos", "line", "_qual", "_scope_txt",
                     F.col("_dparams").isNotNull().alias("resolved"),
                     F.when(F.col("_dparams").isNotNull(), resolved_sig).alias("_rsig"))
 
@@ -574,16 +593,17 @@ def var_maps(methods: DataFrame, locals_: DataFrame, fields: DataFrame, classes:
     not resolvable: not java.lang, primitive or a class of the repository),
     and per class the same for fields.  Each map is built from one method's
     or one class's own declarations: small, bounded groups."""
-    key = ["repo_id", "class_fqn", "method_name", "method_ordinal"]
+    key = ["repo_id", "path", "class_fqn", "method_name", "method_ordinal"]
     vt = variable_types(methods, locals_)
-    mctx = methods.select("repo_id", "class_fqn", F.col("name").alias("method_name"),
+    mctx = methods.select("repo_id", "path", "class_fqn", F.col("name").alias("method_name"),
                           F.col("ordinal").alias("method_ordinal"), "package", "imports")
     vq = vt.join(mctx, key).withColumn("q", qualify(F.col("vtype"), F.col("imports"), F.col("package")))
-    fq = fields.join(classes.select("repo_id", "class_fqn", "package", "imports"), ["repo_id", "class_fqn"]) \
-        .select("repo_id", "class_fqn", F.col("name").alias("var"),
+    fq = fields.join(classes.select("repo_id", "path", "class_fqn", "package", "imports"),
+                     ["repo_id", "path", "class_fqn"]) \
+        .select("repo_id", "path", "class_fqn", F.col("name").alias("var"),
                 qualify(F.col("declared_type"), F.col("imports"), F.col("package")).alias("q"))
-    fq = fq.dropDuplicates(["repo_id", "class_fqn", "var"])
-    kc = classes.select("repo_id", F.col("class_fqn").alias("_qb"), F.lit(True).alias("_in_repo"))
+    fq = fq.dropDuplicates(["repo_id", "path", "class_fqn", "var"])
+    kc = classes.select("repo_id", F.col("class_fqn").alias("_qb")).distinct().withColumn("_in_repo", F.lit(True))
 
     def mark(df):
         d = df.withColumn("_qb", F.regexp_replace("q", r"<.*$", "")).join(kc, ["repo_id", "_qb"], "left")
@@ -592,7 +612,7 @@ def var_maps(methods: DataFrame, locals_: DataFrame, fields: DataFrame, classes:
         return d.withColumn("q", F.when(ok, F.col("q")))
     vq, fq = mark(vq), mark(fq)
     mmap = vq.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("var", "q"))).alias("_mvars"))
-    fmap = fq.groupBy("repo_id", "class_fqn").agg(
+    fmap = fq.groupBy("repo_id", "path", "class_fqn").agg(
         F.map_from_entries(F.collect_list(F.struct("var", "q"))).alias("_fvars"))
     return mmap, fmap
 
@@ -614,9 +634,9 @@ def with_arg_types(q: DataFrame, methods: DataFrame, locals_: DataFrame, fields:
     """Argument types for unresolved signatures: literal types, else the
     declared type of a named variable when resolvable, else
     ``UNKNOWN_PARAM_TYPE``."""
-    key = ["repo_id", "class_fqn", "method_name", "method_ordinal"]
+    key = ["repo_id", "path", "class_fqn", "method_name", "method_ordinal"]
     mmap, fmap = var_maps(methods, locals_, fields, classes)
-    j = q.join(mmap, key, "left").join(fmap, ["repo_id", "class_fqn"], "left")
+    j = q.join(mmap, key, "left").join(fmap, ["repo_id", "path", "class_fqn"], "left")
 
     def arg_type(a):
         return F.coalesce(literal_type(a), var_type(a), F.lit("UNKNOWN_PARAM_TYPE"))
@@ -714,9 +734,7 @@ class JavaFacts:
         def build():
             q = qualify_calls(self.raw_calls, self.methods, self.fields, self.locals, self.types)
             q = with_arg_types(q, self.methods, self.locals, self.fields, self.types)
-            return q.join(self.raw_calls.select("repo_id", "class_fqn", "method_name", "method_ordinal",
-                                                "ordinal", "args", "close_pos", "file_pos", "line", "path"),
-                          ["repo_id", "class_fqn", "method_name", "method_ordinal", "ordinal"])
+            return q
         return self._get("calls", build)
 
     def __getitem__(self, name: str) -> DataFrame:

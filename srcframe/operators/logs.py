@@ -157,8 +157,9 @@ def log_variable_of(arg: Column) -> Column:
 
 def java_log_statements(fx) -> DataFrame:
     """E1 + E2 + E3 + E4 + E9 + E10 over the fact tables of a Java corpus:
-    ``log_statements(repo_id, log_id, path, class_fqn, line, level, message,
-    variables, is_pii_risk, is_pci_risk)``.
+    ``log_statements(repo_id, log_id, path, class_fqn, line, source, level,
+    message, variables, is_pii_risk, is_pci_risk)``; ``source`` tells logger
+    calls from standard output.
 
     E1: calls named trace/debug/info/warn/error with a scope (its type is
     not checked).  E2: ``System.out/err.print(ln)`` at level debug.  E3: a
@@ -172,8 +173,8 @@ def java_log_statements(fx) -> DataFrame:
     c = calls.where(is_log | is_out).withColumn("_stdout", is_out & ~is_log)
     c = enclosing_class(c, fx.types)
     mmap, fmap = var_maps(fx.methods, fx.locals, fx.fields, fx.types)
-    key = ["repo_id", "class_fqn", "method_name", "method_ordinal"]
-    c = c.join(mmap, key, "left").join(fmap, ["repo_id", "class_fqn"], "left")
+    key = ["repo_id", "path", "class_fqn", "method_name", "method_ordinal"]
+    c = c.join(mmap, key, "left").join(fmap, ["repo_id", "path", "class_fqn"], "left")
     args = F.coalesce(F.col("arg_texts"), F.array().cast("array<string>"))
     first = F.try_element_at(args, F.lit(1))
     first_lit = F.coalesce(F.startswith(first, F.lit('"')), F.lit(False))
@@ -190,7 +191,7 @@ def java_log_statements(fx) -> DataFrame:
     variables = F.transform(var_args, lambda a: log_variable_of(a))
     variables = F.transform(variables, lambda v: log_variable(v["name"], v["type"]))
     out = c.select("repo_id", "path", F.col("enclosing_fqn").alias("class_fqn"), "line",
-                   level.alias("level"), message.alias("message"), variables.alias("variables"),
+                   F.when(F.col("_stdout"), F.lit("stdout")).otherwise(F.lit("log")).alias("source"), level.alias("level"), message.alias("message"), variables.alias("variables"),
                    first_lit.alias("_lit"), "file_pos")
     out = statement_risk(out, F.col("_lit")).drop("_lit")
     return out.withColumn("log_id", log_id("repo_id", "path", "file_pos", "message")).drop("file_pos")

@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from srcframe.functions.text import WB_L, WB_R
 from srcframe.sources.files import explode_lines, filter_scannable
 
-MAX_LINE_LENGTH = 20000
+MAX_LINE_LENGTH = 20000  # of the reference's scan; off unless asked for
 
 # ---------------------------------------------------------------------------
 # Keyword lists of the default catalog (PII, PCI, general), in
@@ -147,9 +147,10 @@ def match_spans(line: Column, p: Pattern) -> Column:
     return F.when(line.rlike(rx), sp).otherwise(F.array().cast(T.ArrayType(FINDING)))
 
 
-def scan_lines(lines: DataFrame, patterns: list[Pattern], max_len: int = MAX_LINE_LENGTH,
+def scan_lines(lines: DataFrame, patterns: list[Pattern], max_len: int | None = None,
                keep: tuple[str, ...] = ("repo_id", "path", "line_no")) -> DataFrame:
-    """D3 + D4 ``scan_findings``: lines longer than ``max_len`` are skipped."""
+    """D3 + D4 ``scan_findings``; with ``max_len``, longer lines are skipped
+    (``skipped_lines`` lists them)."""
     schema_out = list(keep) + ["finding_type", "column_no", "matched_text"]
     if not patterns:
         # D2: an empty pattern set gives an empty result with the same schema
@@ -158,12 +159,20 @@ def scan_lines(lines: DataFrame, patterns: list[Pattern], max_len: int = MAX_LIN
                             F.lit(None).cast("string").alias("matched_text")).where(F.lit(False))
     line = F.col("line")
     any_rx = "|".join(f"(?:{p.java})" for p in patterns)
-    cand = lines.where(F.length(line) <= max_len).where(line.rlike(any_rx))
+    cand = lines if max_len is None else lines.where(F.length(line) <= max_len)
+    cand = cand.where(line.rlike(any_rx))
     arr = F.flatten(F.array(*[match_spans(line, p) for p in patterns]))
     return cand.select(*keep, F.explode(arr).alias("f")).select(*keep, "f.*").select(*schema_out)
 
 
-def scan_files(files: DataFrame, patterns: list[Pattern], max_len: int = MAX_LINE_LENGTH) -> DataFrame:
+def skipped_lines(lines: DataFrame, max_len: int = MAX_LINE_LENGTH) -> DataFrame:
+    """D4 + A10: a warning row for every line that a scan with ``max_len`` skips."""
+    return lines.where(F.length("line") > max_len).select(
+        "repo_id", "path", "line_no", F.concat(F.lit("line of "), F.length("line"), F.lit(" characters skipped"))
+        .alias("warning"))
+
+
+def scan_files(files: DataFrame, patterns: list[Pattern], max_len: int | None = None) -> DataFrame:
     """A2 → A6 → D4 → D3: ``findings(repo_id, path, line_no, column_no,
     finding_type, matched_text)``."""
     lines = explode_lines(filter_scannable(files))

@@ -206,27 +206,30 @@ def _sql_simplify(c: str) -> str:
     return (f"array_to_string(list_transform(range(1, len({g}) + 1), lambda i: {g}[i] || coalesce(({m})[i], '')), '')")
 
 
-_SIG = r"^(?:([\w$.<>]+)\.)?([\w$<>]+)\((.*?)\)$"
-_PRM = r"^(.*?\s+)?([\w$]+)(\[\])*$"
+_HEAD = "split_part(sig, '(', 1)"
+_METHOD = f"list_last(string_split({_HEAD}, '.'))"
+_CLASS = f"array_to_string(list_slice(string_split({_HEAD}, '.'), 1, -2), '.')"
 
 
 def _sql_param(p: str) -> str:
-    typ = f"trim(regexp_extract({p}, '{_PRM}', 1))"
-    name = f"regexp_extract({p}, '{_PRM}', 2)"
+    bare = f"rtrim({p}, '[]')"
+    name = f"list_last(string_split_regex({bare}, '\\s'))"
+    typ = f"trim(left({bare}, length({bare}) - length({name})))"
     br = f"CASE WHEN ends_with({p}, '[]') THEN '[]' ELSE '' END"
-    return (f"CASE WHEN regexp_matches({p}, '{_PRM}') AND {typ} <> '' THEN {_sql_simplify(typ)} || ' ' || {name} || {br} "
-            f"WHEN regexp_matches({p}, '{_PRM}') THEN {_sql_simplify(name)} || {br} ELSE {_sql_simplify(p)} END")
+    plain = f"regexp_full_match({name}, '[A-Za-z0-9_$]+')"
+    return (f"CASE WHEN {plain} AND {typ} <> '' THEN {_sql_simplify(typ)} || ' ' || {name} || {br} "
+            f"WHEN {plain} THEN {_sql_simplify(name)} || {br} ELSE {_sql_simplify(p)} END")
 
 
-_PARAMS = (f"array_to_string(list_transform(list_filter(list_transform(string_split(regexp_extract(sig, '{_SIG}', 3), ','), "
+_PARAMS = (f"array_to_string(list_transform(list_filter(list_transform(string_split(substr(sig, length({_HEAD}) + 2, length(sig) - length({_HEAD}) - 2), ','), "
            f"lambda x: trim(x)), lambda x: x <> ''), lambda p: {_sql_param('p')}), ', ')")
 
 
 @register("flow_display_name", f"""WITH {JX}, {CALLS_SQL},
 sigs AS (SELECT DISTINCT sig FROM (SELECT callee_sig AS sig FROM cx WHERE NOT starts_with(callee_sig, 'UNRESOLVED_CALL')
   UNION ALL SELECT * FROM (VALUES {_vals(CASE_FLOW_SIGS)}) v(sig))),
-x AS (SELECT sig, regexp_matches(sig, '{_SIG}') AS ok, regexp_extract(sig, '{_SIG}', 1) AS cls,
-             regexp_extract(sig, '{_SIG}', 2) AS meth, {_PARAMS} AS params,
+x AS (SELECT sig, contains(sig, '(') AND ends_with(sig, ')') AND regexp_full_match({_HEAD}, '[A-Za-z0-9_$.<>]+')
+               AND {_METHOD} <> '' AND NOT starts_with(sig, '.') AS ok, {_CLASS} AS cls, {_METHOD} AS meth, {_PARAMS} AS params,
              trim(regexp_replace(sig, '([A-Z])', ' \\1', 'g')) AS sp FROM sigs)
 SELECT sig, CASE WHEN NOT ok AND contains(sig, '(') AND contains(sig, ')') THEN sig
   WHEN NOT ok THEN replace(upper(substr(sp, 1, 1)) || substr(sp, 2), '_', ' ')

@@ -16,9 +16,7 @@ PREV = """prev AS (SELECT a.repo_id, a.k, a.name AS source, b.name AS target
 
 @register("inheritance_edges", f"""WITH {JX}
 SELECT repo_id, 'JpaRepository_Item' || k1 || '_Long_' AS src, name AS dst, '<|--' AS arrow, 'extends' AS label
-FROM jc WHERE t = 2
-UNION ALL
-SELECT repo_id, 'JpaRepository_Item' || k1 || '_Long_', name, '<|..', 'implements' FROM jc WHERE t = 2""")
+FROM jc WHERE t = 2""")
 def q_inheritance_edges(spark, sf_dir):
     return I.inheritance_edges(facts(spark, sf_dir).classes)
 

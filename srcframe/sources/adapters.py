@@ -16,22 +16,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Text work is CPU-bound per row.  When the scan yields fewer splits
-    than the cluster has cores (one small file, one row group), spread the
-    rows round-robin; a large input already has enough splits and is left
-    alone, so this never shuffles a big corpus."""
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of texts as its splits come.  A table written as one row group is
+    one split; ``srcframe.input.partitions`` in the session deals its rows out."""
+    n = spark.conf.get("srcframe.input.partitions", None)
+    df = table(spark, sf_dir, name)
+    return df.repartition(int(n)) if n else df
 
 
 def documents_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host D: ``source_files`` from ``documents``; repo = source, path =
     ``<lang>/<doc_id>.txt``."""
-    d = spread(table(spark, sf_dir, "documents"))
+    d = texts(spark, sf_dir, "documents")
     return d.select(
         F.col("source").alias("repo_id"),
         F.concat_ws("/", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"),
@@ -43,7 +39,7 @@ def documents_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pages_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host P: ``source_files`` from ``pages``; repo = host of the URL."""
-    p = spread(table(spark, sf_dir, "pages"))
+    p = texts(spark, sf_dir, "pages")
     return p.select(
         F.regexp_extract("url", r"^[A-Za-z]+://([^/:?#]+)", 1).alias("repo_id"),
         F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("path"),
@@ -58,7 +54,7 @@ def conversations_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``conv.<conv_id>``, line = turn, level by role (system → debug, user →
     info, assistant → warn), message = text, one variable named by the role
     whose type is the capitalised role.  Flags are left to the operators."""
-    c = spread(table(spark, sf_dir, "conversations"))
+    c = texts(spark, sf_dir, "conversations")
     return c.select(
         F.concat(F.lit("chat"), (F.col("conv_id") % 4).cast("string")).alias("repo_id"),
         F.concat(F.lit("conv."), F.col("conv_id").cast("string")).alias("class_fqn"),
@@ -313,9 +309,11 @@ def java_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     suffix = (F.when(kind == 0, "Controller").when(kind == 1, "Service").when(kind == 2, "Repository")
               .when(kind == 3, "").when(kind == 4, "Endpoint").otherwise("Util"))
     path = F.concat(F.lit("src/main/java/com/acme/c"), h, F.lit("/Item"), k, suffix, F.lit(".java"))
+    # the narrow rows are dealt out before the files are rendered from them
+    d = d.repartition(int(d.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     out = d.select("repo_id", path.alias("path"), F.lit("java").alias("ext"), content.alias("content"))
-    return spread(out.withColumn("size", F.length("content").cast("long"))
-                  .select("repo_id", "path", "ext", "size", "content"))
+    return out.withColumn("size", F.length("content").cast("long")) \
+        .select("repo_id", "path", "ext", "size", "content")
 
 
 # ------------------------------------------------------- build files (M)
