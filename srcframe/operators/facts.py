@@ -13,9 +13,8 @@ from column expressions over whole columns of files, in two steps:
    brackets: per (file, depth) the opening and closing brackets alternate,
    so a window ``lead`` pairs them — no per-file collection.
 
-Known losses (documented): no overload resolution by argument types, one
-declarator per field statement, one top-level type per file (the outermost),
-annotation arguments nest one level of parentheses.
+Known losses (documented): no overload resolution by argument types;
+annotation arguments nest three levels of parentheses.
 """
 
 from __future__ import annotations
@@ -45,8 +44,8 @@ FIELD_MODS = r'(?:public|protected|private|static|final|transient|volatile)'
 METHOD_RX = (r'(?m)^[ \t]*((?:' + ANN + r'\s+)*)((?:' + METHOD_MODS + r'\s+)*)(?:<[^<>]*>\s+)?('
              + TYPE + r')\s+([\w$]+)\s*\(((?:[^()]++|\((?:[^()]++|\([^()]*+\))*+\))*+)\)\s*(?:throws\s+([\w.$,\s]+?))?\s*[{;]')
 FIELD_RX = (r'(?m)^[ \t]*((?:' + ANN + r'\s+)*)((?:' + FIELD_MODS + r'\s+)*)(' + TYPE
-            + r')\s+([\w$]+)\s*(?:=\s*([^;]*))?;')
-TYPE_DECL_RX = r'(?<![\w$@])(class|interface|enum)\s+([\w$]+)|@interface\s+([\w$]+)'
+            + r')\s+([\w$]+)\s*+((?:\[\s*\]\s*+)*+(?:[=,][^;]*+)?+);')
+TYPE_DECL_RX = r'(?<![\w$@.])(class|interface|enum)\s+([\w$]+)|@interface\s+([\w$]+)'
 LOCAL_RX = r'(?<![\w$.])(' + TYPE + r')\s+([\w$]+)\s*(?:=|;|:(?!:))'
 CALL_RX = r'(?<![\w$])([\w$]+)\s*\('
 
@@ -179,26 +178,64 @@ def _ann_list(content: Column, masked_text: Column, offset: Column) -> Column:
                                                   r"\s+", " "))
 
 
+def closing_brace(text: Column, open_: Column) -> Column:
+    """Position of the brace that closes the one at ``open_`` (0 if none), in
+    one pass over the braces behind it."""
+    rest = F.substr(text, open_, F.lit(1 << 30))
+    marks = F.zip_with(F.split(rest, "[{}]", -1), F.regexp_extract_all(rest, F.lit("[{}]"), 0),
+                       lambda g, m: F.struct(F.length(g).alias("n"), m.alias("m")))
+    zero = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("pos"), F.lit(0).alias("close"))
+
+    def step(a, x):
+        pos = (a["pos"] + x["n"] + 1).cast("int")
+        depth = (a["depth"] + F.when(x["m"] == "{", 1).when(x["m"] == "}", -1).otherwise(0)).cast("int")
+        close = F.when((a["close"] == 0) & (x["m"] == "}") & (depth == 0), pos).otherwise(a["close"])
+        return F.struct(depth.alias("depth"), pos.alias("pos"), close.cast("int").alias("close"))
+    found = F.aggregate(marks, zero, step, lambda a: a["close"])
+    return F.when(found > 0, open_ + found - 1).otherwise(F.lit(0)).cast("int")
+
+
+def without_nested(x: Column, levels: int = 6) -> Column:
+    """Text without what stands in brackets, from the inside out."""
+    for _ in range(levels):
+        x = F.regexp_replace(x, r"\([^(){}\[\]]*+\)|\{[^(){}\[\]]*+\}|\[[^(){}\[\]]*+\]", "")
+    return x
+
+
 def extract_types(mf: DataFrame) -> DataFrame:
-    """B1 + B2 + B3 + B4 + B12: one row per file for its outermost type:
-    ``classes(repo_id, path, package, name, class_fqn, kind, annotations,
-    parent, interfaces, is_interface, is_abstract, body_open, body_close,
-    decl)``."""
-    decl = F.try_element_at(F.filter(spans(F.col("masked"), TYPE_DECL_RX),
-                                 lambda s: depth_at(F.col("masked"), s["start"]) == 0), F.lit(1))
-    t = materialize(mf, decl=decl).where(F.col("decl").isNotNull())
+    """B1 + B2 + B3 + B4 + B12: one row per type, top-level or nested, for
+    every file: ``classes(repo_id, path, package, name, class_fqn, kind,
+    annotations, parent, interfaces, is_interface, is_abstract, body_open,
+    body_close, decl)``.  A nested type's name follows its outer types' in
+    ``class_fqn``.  ``masked`` keeps only the type's own body (blanks before,
+    positions unchanged), so members of a type are those at depth 1."""
+    def located(d):
+        name = F.regexp_extract(d["text"], r"([\w$]+)$", 1)
+        opened = F.call_function("locate", F.lit("{"), F.col("masked"), d["start"])
+        return F.struct(d["start"].alias("start"), d["len"].alias("len"), d["text"].alias("text"),
+                        name.alias("name"), opened.alias("open"), closing_brace(F.col("masked"), opened).alias("close"))
+    t = materialize(mf, found=spans(F.col("masked"), TYPE_DECL_RX))
+    t = materialize(t, decls=F.transform("found", located)).drop("found")
+    t = t.select("*", F.explode(F.filter("decls", lambda d: d["open"] > 0)).alias("decl"))
+    t = materialize(
+        t.withColumnRenamed("masked", "_text"),
+        _outer=F.transform(F.filter("decls", lambda o: (o["open"] < F.col("decl.start")) & (
+            o["close"] > F.col("decl.start"))), lambda o: o["name"]),
+        masked=F.concat(F.repeat(F.lit(" "), F.col("decl.open") - 1), F.substr(
+            F.col("_text"), F.col("decl.open"), F.greatest(F.col("decl.close") - F.col("decl.open") + 1, F.lit(1))))
+    ).drop("decls")
     word = F.regexp_extract(F.col("decl.text"), r"^(@?\w+)", 1)
     t = t.withColumn("decl_kind", word) \
         .withColumn("name", F.regexp_extract(F.col("decl.text"), r"([\w$]+)$", 1))
     # header: masked text between the previous ';' / '}' and the keyword
-    prefix = F.substr(F.col("masked"), F.lit(1), F.col("decl.start") - 1)
-    header = F.regexp_extract(prefix, r"[^;}]*$", 0)
+    prefix = F.substr(F.col("_text"), F.lit(1), F.col("decl.start") - 1)
+    header = F.regexp_extract(prefix, r"[^;{}]*$", 0)
     hstart = F.col("decl.start") - F.length(header)
     t = t.withColumn("annotations", _ann_list(F.col("content"), header, hstart)) \
         .withColumn("is_abstract", header.rlike(WB_L + "abstract" + WB_R))
     # supertypes: masked text between the name and the first '{'
-    after = F.substr(F.col("masked"), F.col("decl.start") + F.col("decl.len"), F.lit(1 << 30))
-    tail = F.regexp_extract(after, r"^([^{]*)\{", 1)
+    tail = F.substr(F.col("_text"), F.col("decl.start") + F.col("decl.len"),
+                    F.col("decl.open") - F.col("decl.start") - F.col("decl.len"))
     ext_txt = F.regexp_extract(tail, r"(?s)" + WB_L + r"extends\s+(.*?)(?:" + WB_L + r"implements" + WB_R + "|$)", 1)
     imp_txt = F.regexp_extract(tail, r"(?s)" + WB_L + r"implements\s+(.*)$", 1)
     norm = lambda arr: F.transform(arr, lambda x: F.regexp_replace(strip(x), r"\s+", " "))
@@ -208,11 +245,11 @@ def extract_types(mf: DataFrame) -> DataFrame:
     t = t.withColumn("is_interface", is_iface) \
         .withColumn("parent", F.try_element_at(exts, F.lit(1))) \
         .withColumn("interfaces", F.when(is_iface, exts).otherwise(imps)) \
-        .withColumn("body_open", F.col("decl.start") + F.col("decl.len") + F.length(tail))
-    t = t.withColumn("class_fqn", F.when(F.col("package") == "", F.col("name"))
-                     .otherwise(F.concat_ws(".", "package", "name")))
+        .withColumn("body_open", F.col("decl.open")).withColumn("body_close", F.col("decl.close"))
+    t = t.withColumn("class_fqn", F.array_join(F.concat(
+        F.array(F.nullif("package", F.lit(""))), F.col("_outer"), F.array("name")), "."))
     cols = ["decl_kind", "name", "annotations", "is_abstract", "is_interface", "parent", "interfaces",
-            "body_open", "class_fqn"]
+            "body_open", "body_close", "class_fqn"]
     t = materialize(t.select("repo_id", "path", "content", "masked", "package", "imports", "decl",
                              *[F.col(c).alias("_" + c) for c in cols]),
                     **{c: F.col("_" + c) for c in cols}).drop(*["_" + c for c in cols])
@@ -259,11 +296,9 @@ def classify_kind(decl_kind: Column, name: Column, annotations: Column, parent:
 
 
 def type_bodies(types: DataFrame) -> DataFrame:
-    """The type's body span ``[body_open, body_close]`` by brace pairing."""
-    pairs = pair_brackets(types, ["repo_id", "path"], "masked", "{", "}")
-    return types.join(pairs.where("level = 1").select("repo_id", "path", F.col("open_pos").alias("body_open"),
-                                                      F.col("close_pos").alias("body_close")),
-                      ["repo_id", "path", "body_open"], "left")
+    """Types with their body span ``[body_open, body_close]`` (null if the file
+    ends before the body does)."""
+    return types.withColumn("body_close", F.nullif("body_close", F.lit(0)))
 
 
 def visibility(mods: Column) -> Column:
@@ -281,15 +316,20 @@ def extract_fields(types: DataFrame) -> DataFrame:
     is_final, initializer)``."""
     base = types.select("repo_id", "path", "class_fqn", "name", "decl_kind", "package", "imports",
                         "content", "masked", "body_open")
-    f = base.select("*", F.posexplode(F.filter(spans(F.col("masked"), FIELD_RX),
-                                               lambda s: depth_at(F.col("masked"), s["start"]) == 1))
-                    .alias("ord", "s"))
+    def declarators(x):
+        rest = without_nested(F.regexp_extract(x["text"], FIELD_RX, 5))
+        names = F.concat(F.array(F.regexp_extract(x["text"], FIELD_RX, 4)),
+                         F.regexp_extract_all(rest, F.lit(r",\s*([\w$]+)\s*(?=[=,]|$)"), 1))
+        return F.transform(names, lambda n: F.struct(x.alias("s"), n.alias("n")))
+    found = F.filter(spans(F.col("masked"), FIELD_RX), lambda s: depth_at(F.col("masked"), s["start"]) == 1)
+    f = base.select("*", F.posexplode(F.flatten(F.transform(found, declarators))).alias("ord", "e")) \
+        .withColumn("s", F.col("e.s"))
     mt = F.col("s.text")
     g = lambda i: F.regexp_extract(mt, FIELD_RX, i)
     ann_txt = g(1)
     fields = f.select(
         "repo_id", "path", "class_fqn", F.col("ord").cast("int").alias("ordinal"),
-        g(4).alias("name"), F.regexp_replace(g(3), r"\s+", " ").alias("declared_type"),
+        F.col("e.n").alias("name"), F.regexp_replace(g(3), r"\s+", " ").alias("declared_type"),
         _ann_list(F.col("content"), ann_txt, F.col("s.start") + F.locate("@", mt) - F.locate("@", ann_txt))
         .alias("annotations"),
         visibility(g(2)).alias("visibility"),
@@ -300,8 +340,9 @@ def extract_fields(types: DataFrame) -> DataFrame:
         .drop("decl_kind")
     # enum constants: public static final fields typed by the enum
     body = F.substr(F.col("masked"), F.col("body_open") + 1, F.lit(1 << 30))
-    consts_txt = F.regexp_extract(body, r"^([^;}]*)", 1)
-    consts = F.filter(F.transform(F.split(consts_txt, ",", -1), lambda x: strip(x)),
+    # arguments, annotation arguments and bodies of constants are in brackets
+    consts_txt = F.regexp_extract(without_nested(body), r"^([^;}]*)", 1)
+    consts = F.filter(F.transform(F.split(F.regexp_replace(consts_txt, r"@[\w$.]+", ""), ",", -1), lambda x: strip(x)),
                       lambda x: x.rlike(r"^[\w$]+$"))
     enums = base.where(F.col("decl_kind") == "enum").select(
         "repo_id", "path", "class_fqn", F.posexplode(consts).alias("ordinal", "name"), F.col("name").alias("_t")) \
@@ -372,10 +413,11 @@ def extract_methods(types: DataFrame) -> DataFrame:
         (F.col("s.start") + F.col("s.len") - 1).alias("open_pos"))
     m = m.where(~F.col("return_type").isin(*NOT_TYPES) & (F.col("name") != F.col("class_name"))
                 & ~F.col("name").isin(*NOT_TYPES))
-    w = Window.partitionBy("repo_id", "path").orderBy("decl_no")
+    w = Window.partitionBy("repo_id", "path", "class_fqn").orderBy("decl_no")
     m = m.withColumn("ordinal", (F.row_number().over(w) - 1).cast("int"))
-    pairs = pair_brackets(types, ["repo_id", "path"], "masked", "{", "}").where("level = 2")
-    m = m.join(pairs.select("repo_id", "path", "open_pos", "close_pos"), ["repo_id", "path", "open_pos"], "left")
+    own = ["repo_id", "path", "class_fqn"]
+    pairs = pair_brackets(types, own, "masked", "{", "}").where("level = 2")
+    m = m.join(pairs.select(*own, "open_pos", "close_pos"), [*own, "open_pos"], "left")
     params = split_params(F.col("params_txt"))
     return m.select(
         "repo_id", "path", "class_fqn", "class_name", "package", "imports", "ordinal", "name", "return_type",
