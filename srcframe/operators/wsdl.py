@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from srcframe.session import Scratch
 from srcframe.sources.files import dedupe_by_path, files_of_kind
 
 WSDL_SCHEMA = (
@@ -152,20 +153,26 @@ def xsd_elements(files: DataFrame) -> DataFrame:
     return kids.unionByName(attrs)
 
 
-def xsd_expand(elements: DataFrame, max_depth: int = 5) -> DataFrame:
+def xsd_expand(elements: DataFrame, max_depth: int | None = None) -> DataFrame:
     """G23 ``xsd_expand``: from every top-level element follow ``ref``
-    children to ``max_depth`` levels: rows (root, depth, element).  One
-    join per level on (repository, file, element name) — a fixed, small
-    number of rounds."""
+    children: rows (root, depth, element).  One join per level on (repository,
+    file, element name); a path that meets one of its own elements again ends
+    there, so cycles do not repeat.  ``max_depth`` cuts the expansion."""
     refs = elements.where(F.col("ref").isNotNull()).select("repo_id", "path", "element", "ref")
+    scratch = Scratch(elements.sparkSession, "xsd")
     level = elements.select("repo_id", "path", F.col("element").alias("root")).distinct() \
-        .withColumn("element", F.col("root")).withColumn("depth", F.lit(0))
-    out = level
-    for d in range(1, max_depth + 1):
-        level = level.join(refs, ["repo_id", "path", "element"]).select(
-            "repo_id", "path", "root", F.col("ref").alias("element"), F.lit(d).alias("depth"))
+        .withColumn("element", F.col("root")).withColumn("depth", F.lit(0)).withColumn("_seen", F.array("root"))
+    out, d = level, 0
+    while max_depth is None or d < max_depth:
+        d += 1
+        level = scratch.save(level.join(refs, ["repo_id", "path", "element"])
+                             .where(~F.array_contains("_seen", F.col("ref"))).select(
+            "repo_id", "path", "root", F.col("ref").alias("element"), F.lit(d).alias("depth"),
+            F.array_append("_seen", F.col("ref")).alias("_seen")), f"level{d}")
+        if level.isEmpty():
+            break
         out = out.unionByName(level)
-    return out
+    return out.drop("_seen")
 
 
 def wsdl_message_part(files: DataFrame) -> DataFrame:

@@ -417,3 +417,19 @@ def q_entity_endpoints(spark, sf_dir):
     from srcframe.operators import endpoints as G
     fx = facts(spark, sf_dir)
     return S.entity_endpoints(fx.classes, G.endpoints(fx))
+
+
+@register("repo_entity_name", """
+SELECT c_custkey, CASE c_custkey % 5 WHEN 4 THEN NULL ELSE 'Item' || CAST(c_custkey AS VARCHAR) END AS entity
+FROM customer""")
+def q_repo_entity_name(spark, sf_dir):
+    """F22 over one repository class per customer: entity first, id type first,
+    or a name that only the class name gives."""
+    item = F.concat(F.lit("Item"), F.col("c_custkey").cast("string"))
+    kind = F.col("c_custkey") % 5
+    bases = F.array(F.lit("java.io.Serializable"), F.when(kind == 0, F.concat(F.lit("JpaRepository<com.acme."), item, F.lit(", Long>")))
+                    .when(kind == 1, F.concat(F.lit("CrudRepository<Long, "), item, F.lit(">"))).otherwise(F.lit("Closeable")))
+    name = F.when(kind == 2, F.concat(item, F.lit("Repository"))).when(kind == 3, F.concat(item, F.lit("Dao"))) \
+        .otherwise(F.lit("Store"))
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select(
+        "c_custkey", X.repo_entity_name(bases, name).alias("entity"))

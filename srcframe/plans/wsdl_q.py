@@ -98,11 +98,11 @@ def q_xsd_elements(spark, sf_dir):
 roots AS (SELECT repo_id, path, s, l, j AS r FROM xx)
 SELECT repo_id, path, 'S' || CAST(s AS VARCHAR) || 'E' || CAST(r AS VARCHAR) AS root,
        'S' || CAST(s AS VARCHAR) || 'E' || CAST(r + d AS VARCHAR) AS element, CAST(d AS INTEGER) AS depth
-FROM (SELECT *, unnest(range(0, least(5, l - r) + 1)) AS d FROM roots)""")
+FROM (SELECT *, unnest(range(0, l - r + 1)) AS d FROM roots)""")
 def q_xsd_expand(spark, sf_dir):
     from pyspark.sql import functions as F
     from srcframe.sources.adapters import xsd_files
-    x = W.xsd_expand(W.xsd_elements(xsd_files(spark, sf_dir)), 5)
+    x = W.xsd_expand(W.xsd_elements(xsd_files(spark, sf_dir)))
     return x.select("repo_id", "path", "root", "element", F.col("depth").cast("int").alias("depth"))
 
 
