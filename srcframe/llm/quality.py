@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from srcframe.llm import labelled
-from srcframe.llm.text import NOT_LETTER, Words, _SPACE, buffers, chunks, mix, run_over
+from srcframe.llm.text import NOT_LETTER, Words, _SPACE, buffers, chunks, run_over
 
 PER_CLASS = 1500
 BUCKETS = 1 << 14
@@ -110,9 +110,10 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
 
 
 def pool(column: pa.Array, vectors: np.ndarray) -> np.ndarray:
-    """Features of whole texts: mean and spread of word vectors, lengths."""
+    """Features of whole texts: mean and spread of word vectors, number of tokens
+    and of different ones, share of tokens that repeat the one before."""
     data, off = buffers(column)
-    out = np.zeros((len(off) - 1, 2 * DIM + 3))
+    out = np.zeros((len(off) - 1, 2 * DIM + 4))
     for i, j in chunks(off, CHUNK):
         h, bounds = tokens(data, off, i, j)
         n = np.diff(bounds)
@@ -131,14 +132,28 @@ def pool(column: pa.Array, vectors: np.ndarray) -> np.ndarray:
             square[a:z] = np.add.reduceat(v * v, at[a:z] - lo)
         mean /= m
         spread = np.sqrt(np.maximum(square / m - mean * mean, 0))
-        k = mix(h)
-        order = np.lexsort((k, np.repeat(np.arange(j - i), n)))
-        k, r = k[order], np.repeat(np.arange(j - i), n)[order]
+        row = np.repeat(np.arange(j - i), n)
+        again = np.bincount(row[1:][(h[1:] == h[:-1]) & (row[1:] == row[:-1])], minlength=j - i)[some]
+        order = np.lexsort((h, row))
+        k, r = h[order], row[order]
         new = np.concatenate([[True], (k[1:] != k[:-1]) | (r[1:] != r[:-1])])
         kinds = np.bincount(r[new], minlength=j - i)[some]
         out[i + some] = np.concatenate(
             [mean, spread, np.log1p(m), np.linalg.norm(mean, axis=1, keepdims=True),
-             np.log1p(kinds[:, None])], axis=1)
+             np.log1p(kinds[:, None]), again[:, None] / m], axis=1)
+    return out
+
+
+def crops(texts: list, seed: int = 7) -> list[str]:
+    """A short passage of every text (1 to 64 words, short ones more often), so
+    that the network also learns what short texts look like."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for t in texts:
+        words = (t or "").split()
+        n = min(len(words), int(2 ** rng.uniform(0, 6)))
+        a = int(rng.integers(0, len(words) - n + 1))
+        out.append(" ".join(words[a:a + n]))
     return out
 
 
@@ -202,8 +217,9 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tup
     """Word vectors from all texts, network from labels outside the held fold."""
     vectors = word_vectors(docs)
     found, sizes = labelled.sample(docs, labels, "quality", per_class)
-    x = pool(pa.array(found["text"].tolist(), pa.string()), vectors)
-    return vectors, fit(x, found["y"].to_numpy().astype(float), sizes)
+    texts, y = found["text"].tolist(), found["y"].to_numpy().astype(float)
+    x = pool(pa.array(texts + crops(texts), pa.string()), vectors)
+    return vectors, fit(x, np.concatenate([y, y]), sizes)
 
 
 def score(docs: DataFrame, vectors: np.ndarray, net: Network) -> DataFrame:
