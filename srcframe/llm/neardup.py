@@ -44,7 +44,7 @@ from srcframe.session import Scratch
 POSTED = 40
 COORDS = 128
 SHORT = 32
-BLOCK = 1024
+BLOCK = 4096
 MISS = 1e-6
 _RNG = np.random.default_rng(977)
 _XOR = _RNG.integers(0, 2**63, 256, dtype=np.uint64)
