@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from srcframe.functions.text import WB_L, WB_R
 from srcframe.sources.files import explode_lines, filter_scannable
 
-MAX_LINE_LENGTH = 20000  # of the reference's scan; off unless asked for
+MAX_LINE_LENGTH = 20000  # fixed value; a scan has no limit unless asked for one
 
 # ---------------------------------------------------------------------------
 # Keyword lists of the default catalog (PII, PCI, general), in

@@ -62,11 +62,11 @@ def q_message_risk(spark, sf_dir):
 
 
 @register("general_propagation", f"""WITH {CONV_SQL}
-SELECT repo_id, class_fqn, line, m_gen AS general, is_pii_risk, is_pci_risk FROM logs WHERE m_gen""")
+SELECT repo_id, class_fqn, line, m_gen AS general, is_pii_risk, is_pci_risk FROM logs""")
 def q_general_propagation(spark, sf_dir):
     lg = conv_logs(spark, sf_dir)
     g = L.message_risk(F.col("message"))["general"]
-    return lg.where(g).select("repo_id", "class_fqn", "line", g.alias("general"), "is_pii_risk", "is_pci_risk")
+    return lg.select("repo_id", "class_fqn", "line", g.alias("general"), "is_pii_risk", "is_pci_risk")
 
 
 @register("statement_risk", f"""WITH {CONV_SQL}

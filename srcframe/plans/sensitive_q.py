@@ -77,6 +77,39 @@ findings AS (
 {tail}"""
 
 
+# The documents hold none of the catalog's words; lines of settings made from
+# customers hold one each, inside other words for every seventh.
+SETTING_WORDS = (S.PII_KEYWORDS + S.PCI_KEYWORDS)[::9] + ["nothing"]
+
+
+def setting_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.array(*[F.lit(w) for w in SETTING_WORDS])
+    word = F.get(words, (F.col("c_custkey") % len(SETTING_WORDS)).cast("int"))
+    tail = F.when(F.col("c_custkey") % 7 == 0, F.lit("x")).otherwise(F.lit(""))
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select(
+        F.lit("settings").alias("repo_id"), F.concat(F.col("c_custkey").cast("string"), F.lit(".properties")).alias("path"),
+        F.lit(1).alias("line_no"), F.concat(F.lit("set "), word, tail, F.lit(" = "), "c_name").alias("line"))
+
+
+SETTING_SQL = f"""SELECT 'settings' AS repo_id, CAST(c_custkey AS VARCHAR) || '.properties' AS path, 1::INTEGER AS line_no,
+  'set ' || {SETTING_WORDS!r}[c_custkey % {len(SETTING_WORDS)} + 1] || CASE WHEN c_custkey % 7 = 0 THEN 'x' ELSE '' END
+  || ' = ' || c_name AS line FROM customer"""
+
+
+def _catalog_findings(spark, sf_dir, patterns) -> DataFrame:
+    both = doc_lines(spark, sf_dir).select("repo_id", "path", "line_no", "line").unionByName(setting_lines(spark, sf_dir))
+    return S.scan_lines(both, S.validate_patterns(spark, patterns)).select(
+        "repo_id", "path", "line_no", "column_no", "finding_type", "matched_text")
+
+
+def _catalog_sql(patterns, tail: str = "SELECT * FROM findings") -> str:
+    return f"""WITH {DOC_FILES}, {lines_cte(name="texts")},
+lines AS (SELECT repo_id, path, line_no, line FROM texts UNION ALL {SETTING_SQL}),
+findings AS (
+  {findings_sql(patterns)})
+{tail}"""
+
+
 # D1: the catalog with one broken and one empty-matching entry: both dropped
 D1_CATALOG = S.default_catalog() + [
     S.Pattern("PII_BROKEN", "(unclosed"), S.Pattern("PII_EMPTY", "x*"),
@@ -85,16 +118,16 @@ D1_CATALOG = S.default_catalog() + [
 D1_VALID = [p for p in D1_CATALOG if p.name not in ("PII_BROKEN", "PII_EMPTY")]
 
 
-@register("pattern_catalog", _findings_sql(
+@register("pattern_catalog", _catalog_sql(
     D1_VALID, "SELECT finding_type, count(*) AS n_findings FROM findings GROUP BY finding_type"))
 def q_pattern_catalog(spark, sf_dir):
-    return _findings(spark, sf_dir, D1_CATALOG).groupBy("finding_type") \
+    return _catalog_findings(spark, sf_dir, D1_CATALOG).groupBy("finding_type") \
         .agg(F.count(F.lit(1)).alias("n_findings"))
 
 
-@register("scan_findings", _findings_sql(S.default_catalog()))
+@register("scan_findings", _catalog_sql(S.default_catalog()))
 def q_scan_findings(spark, sf_dir):
-    return _findings(spark, sf_dir, S.default_catalog())
+    return _catalog_findings(spark, sf_dir, S.default_catalog())
 
 
 @register("custom_patterns", _findings_sql(S.flagship_catalog()))

@@ -143,6 +143,7 @@ def warnings_of(files: DataFrame) -> DataFrame:
     return files.select(
         "repo_id", "path",
         F.when(F.col("content").isNull(), F.lit("unreadable file"))
+        .when(F.col("content") == "", F.lit("empty file"))
         .when(F.col("content").contains("�"), F.lit("malformed input (charset)"))
         .alias("warning"),
     ).where(F.col("warning").isNotNull())

@@ -17,12 +17,15 @@ from srcframe.operators import sensitive as S
 DOC_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
-def stream_documents(spark: SparkSession, folder: str, glob: str = "*.parquet", max_files: int = 1) -> DataFrame:
+def stream_documents(spark: SparkSession, folder: str, glob: str = "*.parquet",
+                     max_files: int | None = None) -> DataFrame:
     """``documents`` parquet files arriving in ``folder`` (those matching
     ``glob``) as a stream of ``source_files`` rows (same adapter as the
-    batch host D)."""
-    d = (spark.readStream.schema(DOC_SCHEMA).option("maxFilesPerTrigger", max_files)
-         .option("pathGlobFilter", glob).parquet(folder))
+    batch host D); ``max_files`` limits a micro-batch."""
+    d = spark.readStream.schema(DOC_SCHEMA).option("pathGlobFilter", glob)
+    if max_files is not None:
+        d = d.option("maxFilesPerTrigger", max_files)
+    d = d.parquet(folder)
     return d.select(F.col("source").alias("repo_id"),
                     F.concat_ws("/", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"),
                     F.lit("txt").alias("ext"), F.col("n_chars").alias("size"), F.col("text").alias("content"))
