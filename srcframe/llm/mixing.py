@@ -129,6 +129,7 @@ def pieces(located: DataFrame, mix: DataFrame) -> DataFrame:
     lo = F.greatest("start", F.col("block") * BLOCK)
     hi = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * BLOCK)
     takes = mix.groupBy("number", "block").agg(F.count("*").alias("takes"))
+    takes = takes.hint("merge")  # a row per block taken: its estimate, made before the explode, is far too small
     return cut.withColumn("word", lo - F.col("start")).withColumn("words", F.coalesce(hi - lo, F.lit(0))) \
         .join(takes, ["number", "block"], "left").withColumn("takes", F.coalesce("takes", F.lit(0)))
 
