@@ -151,10 +151,11 @@ def fit(texts: list[str], langs: list[str], df: np.ndarray, n_docs: int, seed: i
 def sample(docs: DataFrame, per_lang: int, limit: int) -> tuple[list[str], list[str]]:
     """Texts and languages: about ``per_lang`` documents of each language."""
     spark = docs.sparkSession
-    share = docs.groupBy("lang").agg(F.count("*").alias("n"))
+    # a sample of ``limit`` rows cannot hold more languages than that
+    share = docs.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(limit)
     # a language's documents by hash below a bound that about twice per_lang pass, then the first per_lang
     spread = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    some = (docs.select("doc_id", "lang").join(share, "lang").withColumn("h", spread)
+    some = (docs.select("doc_id", "lang").join(F.broadcast(share), "lang").withColumn("h", spread)
             .filter(F.col("h") < F.col("n").cast("double") ** -1 * float(2 * per_lang * (1 << 30))))
     w = Window.partitionBy("lang").orderBy("h", "doc_id")
     ids = (some.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= per_lang)
