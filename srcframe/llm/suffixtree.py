@@ -48,7 +48,8 @@ CUTOFF = 25.0
 BACK = 4.0          # weight of the suffix for each different next symbol
 END, GAP = 10, 32
 END_HASH = int(mix(np.array([0x656E64], np.uint64)).view(np.int64)[0])
-MERGE_AT = 1 << 21
+MERGE_AT = 1 << 20   # entries a task gathers before it adds them up
+FLUSH_AT = 1 << 21   # distinct entries a task holds before it hands them on
 
 
 def spell(w: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -115,9 +116,9 @@ class _Tally:
         return self.parts[0] if self.parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
     def full(self) -> bool:
-        if sum(len(k) for k, _ in self.parts) > 2 * MERGE_AT:
+        if sum(len(k) for k, _ in self.parts[1:]) > MERGE_AT:
             self.merge()
-        return len(self.parts) == 1 and len(self.parts[0][0]) > MERGE_AT
+        return len(self.parts) == 1 and len(self.parts[0][0]) > FLUSH_AT
 
 
 def counts(docs: DataFrame) -> DataFrame:
@@ -135,7 +136,7 @@ def counts(docs: DataFrame) -> DataFrame:
                                        "n": pa.array(n[a:a + (1 << 18)].astype(np.int64))})
 
         for whole in batches:
-            for t in run_over(whole):
+            for t in run_over(whole, 1 << 21):
                 found, spelled = [], []
                 for _, _, w in text_words(t.column("text")):
                     found.append(w.hash)
@@ -170,7 +171,8 @@ class Tree:
         for k in range(1, len(levels)):
             key, n = levels[k]
             own = key & np.uint64(context_mask(k))
-            ctx, at, inv = np.unique(own, return_index=True, return_inverse=True)
+            new = np.append(True, own[1:] != own[:-1])[:len(own)]  # keys are sorted by context
+            ctx, inv = own[new], np.cumsum(new) - 1
             total = np.bincount(inv, n, len(ctx)) if len(ctx) else np.zeros(0)
             kinds = BACK * np.bincount(inv, minlength=len(ctx)) if len(ctx) else np.zeros(0)
             up = self._below(keys, dist, context, escape, k - 1, key)
@@ -241,15 +243,15 @@ def fit(counted: DataFrame, entry_bits: int = ENTRY_BITS, cutoff: float = CUTOFF
     wins = counted.filter("kind = 1")
     total = wins.agg(F.sum("n")).first()[0] or 0
     floor = max(2, math.ceil(total / 2**entry_bits))
-    cuts = F.array(*[F.struct(F.lit(k).alias("k"), F.col("key").bitwiseAND(F.lit(context_mask(k) | 255)).alias("cut"))
-                     for k in range(DEPTH + 1)])
-    entries = (wins.select(F.explode(cuts).alias("c"), "n").groupBy("c.k", "c.cut").agg(F.sum("n").alias("n"))
+    cuts = F.array(*[F.col("key").bitwiseAND(F.lit(context_mask(k) | 255)) + F.lit(k << 48) for k in range(DEPTH + 1)])
+    entries = (wins.select(F.explode(cuts).alias("cut"), "n").groupBy("cut").agg(F.sum("n").alias("n"))
                .filter(F.col("n") >= floor).toPandas())
-    levels = []
-    for k in range(DEPTH + 1):
-        part = entries[entries["k"] == k].sort_values("cut")
-        levels.append((part["cut"].to_numpy().astype(np.uint64), part["n"].to_numpy().astype(np.float64)))
-    return Tree(levels, cutoff)
+    cut, n = entries["cut"].to_numpy(), entries["n"].to_numpy()
+    del entries
+    order = np.argsort(cut)
+    cut, n = cut[order].astype(np.uint64), n[order].astype(np.float64)
+    at = np.searchsorted(cut >> np.uint64(48), np.arange(DEPTH + 2, dtype=np.uint64))
+    return Tree([(cut[a:z] & np.uint64((1 << 48) - 1), n[a:z]) for a, z in zip(at[:-1], at[1:], strict=True)], cutoff)
 
 
 class _Counts:
