@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable, Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,11 +24,11 @@ def texts(docs: DataFrame, held: int = 2) -> DataFrame:
                        F.col("text").cast("string").alias("text"))
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, held: int = 2) -> tuple[pd.DataFrame, dict]:
+def rows(docs: DataFrame, labels: DataFrame, label: str, per_class: int, held: int = 2) -> tuple[DataFrame | None, dict]:
     """Up to ``per_class`` labelled documents of either class outside the held
-    fold, chosen by a hash of the id, as pandas (doc_id, text, y), and the number
-    of all such labels by class.  Repeated labels count as their maximum; null
-    ids or labels are passed over."""
+    fold, chosen by a hash of the id, as (doc_id, text, y), and the number of all
+    such labels by class (no frame if there is none).  Repeated labels count as
+    their maximum; null ids or labels are passed over."""
     spark = docs.sparkSession
     known = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
              .filter("doc_id is not null and y in (0, 1)").filter(fold(F.col("doc_id")) != held)
@@ -32,8 +37,36 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, held:
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     ids = [r for y in (0, 1) for r in known.filter(F.col("y") == y).orderBy(*order).limit(per_class).collect()]
     if not ids:
-        return pd.DataFrame({"doc_id": [], "text": [], "y": []}), sizes
+        return None, sizes
     few = spark.createDataFrame(ids, "doc_id long, y int")  # 2 * per_class rows at most
     found = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-             .join(F.broadcast(few), "doc_id").toPandas())
-    return found.sort_values(["doc_id", "text"], kind="stable").reset_index(drop=True), sizes
+             .join(F.broadcast(few), "doc_id"))
+    return found, sizes
+
+
+def _sorted(found: pd.DataFrame) -> pd.DataFrame:
+    return found.sort_values(["doc_id", "text"], kind="stable").reset_index(drop=True)
+
+
+def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, held: int = 2) -> tuple[pd.DataFrame, dict]:
+    """``rows`` as pandas."""
+    found, sizes = rows(docs, labels, label, per_class, held)
+    return pd.DataFrame({"doc_id": [], "text": [], "y": []}) if found is None else _sorted(found.toPandas()), sizes
+
+
+def fitted(docs: DataFrame, labels: DataFrame, label: str, per_class: int, fit: Callable):
+    """``fit(texts, y, sizes)`` on the sample, in one task of an executor: its
+    texts and work do not burden the driver, which gets the model only."""
+    found, sizes = rows(docs, labels, label, per_class)
+    if found is None:
+        return fit([], np.zeros(0), sizes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [t.to_pandas() for t in batches]
+        few = _sorted(pd.concat(got)) if got else pd.DataFrame({"text": [], "y": []})
+        model = fit(few["text"].tolist(), few["y"].to_numpy().astype(float), sizes)
+        yield pa.record_batch({"model": pa.array([pickle.dumps(model)], pa.binary())})
+
+    one = found.repartition(1)  # 2 * per_class rows at most
+    made = one.mapInArrow(run, "model binary").collect()  # no row if none of the documents is there
+    return pickle.loads(made[0]["model"]) if made else fit([], np.zeros(0), sizes)

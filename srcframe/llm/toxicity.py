@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from srcframe.llm import labelled
 from srcframe.llm.text import NOT_LETTER, Words, distinct, mix, run_over, text_words
 
-PER_CLASS = 1200
+PER_CLASS = 1000
 PREFIXES = (4, 5, 6, 7, 8)
 MIN_DOCS = 4
 EVIDENCE = 15.0     # log likelihood ratio that makes a feature a toxic one
@@ -291,8 +291,7 @@ def score(docs: DataFrame, field: Field) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Field:
-    found, sizes = labelled.sample(docs, labels, "toxic", per_class)
-    return fit(found["text"].tolist(), found["y"].to_numpy().astype(float), sizes)
+    return labelled.fitted(docs, labels, "toxic", per_class, fit)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
