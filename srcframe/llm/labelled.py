@@ -27,12 +27,15 @@ def texts(docs: DataFrame, held: int = 2) -> DataFrame:
 def rows(docs: DataFrame, labels: DataFrame, label: str, per_class: int, held: int = 2) -> tuple[DataFrame | None, dict]:
     """Up to ``per_class`` labelled documents of either class outside the held
     fold, chosen by a hash of the id, as (doc_id, text, y), and the number of all
-    such labels by class (no frame if there is none).  Repeated labels count as
-    their maximum; null ids or labels are passed over."""
+    such documents by class (no frame if there is none).  Repeated labels count as
+    their maximum; null ids or labels, and labels whose id is not in ``docs``, are
+    passed over before anything is counted or chosen."""
     spark = docs.sparkSession
+    there = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
     known = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
              .filter("doc_id is not null and y in (0, 1)").filter(fold(F.col("doc_id")) != held)
-             .groupBy("doc_id").agg(F.max("y").alias("y")))
+             .groupBy("doc_id").agg(F.max("y").alias("y"))
+             .join(there, "doc_id", "left_semi"))
     sizes = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     ids = [r for y in (0, 1) for r in known.filter(F.col("y") == y).orderBy(*order).limit(per_class).collect()]
