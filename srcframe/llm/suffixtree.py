@@ -7,15 +7,18 @@ every training text:
 
 * occurrences of each symbol after its last ``DEPTH`` symbols are counted per
   task (sorted windows), added up by Spark, and summed for shorter contexts;
-* (context, symbol) entries seen at least ``N * 2**-ENTRY_BITS`` times (and
-  twice) make the candidates, so each order has at most ``2**ENTRY_BITS``;
+* every counted (context, symbol) entry takes part, however rare.  Orders up to
+  ``SHARED`` are bounded by the alphabet and made in the driver; longer ones are made
+  by executors, all contexts with the same ``SHARED + 1`` nearest symbols at once;
 * a context is retained if its next-symbol distribution diverges from that of
   its suffix: count * KL >= ``CUTOFF`` nats, or if a longer retained context
   needs it as a suffix;
 * distributions are smoothed by mixing with the suffix's, weighted by the number
   of different next symbols (``BACK`` for each), down to a smoothed root, so each
   sums to one;
-* a symbol is scored by the longest retained suffix state of its history.
+* a symbol is scored by the longest retained suffix state of its history.  A tree of
+  more than ``PART`` entries is cut by nearest symbols, and the texts are passed over
+  once for each part, which scores the symbols whose history lies in it.
 
 Word counts (by 64-bit hash of the whole word) are exact: words of probability
 2**-HEAVY_BITS and more are looked up in a table of at most 2**HEAVY_BITS rows,
@@ -34,7 +37,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,7 +44,8 @@ from srcframe.llm.text import _LOWER, Words, mix, run_over, text_words
 from srcframe.session import Scratch
 
 DEPTH = 5
-ENTRY_BITS = 22
+SHARED = 2          # orders the driver makes: at most 256**3 entries at any size
+PART = 1 << 21      # entries of long contexts that are broadcast at once
 HEAVY_BITS = 18
 CUTOFF = 25.0
 BACK = 4.0          # weight of the suffix for each different next symbol
@@ -154,62 +157,76 @@ def counts(docs: DataFrame) -> DataFrame:
         .groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
+def levels(key: np.ndarray, n: np.ndarray, orders) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(key, n) of each order, summed from the sorted keys of a longer one."""
+    out = []
+    for k in sorted(orders, reverse=True):
+        key, n = _add_up(key & np.uint64(context_mask(k) | 255), n)
+        out.append((key, n))
+    return out[::-1]
+
+
+class Level:
+    """All contexts of one order with their next-symbol distributions."""
+
+    def __init__(self, key: np.ndarray, n: np.ndarray, k: int, up: np.ndarray, cutoff: float):
+        own = key & np.uint64(context_mask(k))
+        new = np.append(True, own[1:] != own[:-1])[:len(own)]  # keys are sorted by context
+        self.k, self.key, self.own, self.context = k, key, own, own[new]
+        inv = np.cumsum(new) - 1
+        m = len(self.context)
+        total, kinds = np.bincount(inv, n, m), BACK * np.bincount(inv, minlength=m)
+        self.dist = (n + kinds[inv] * up) / (total + kinds)[inv]
+        self.escape = np.log(kinds / (total + kinds))
+        self.keep = np.bincount(inv, n * np.log(n / total[inv] / up), m) >= cutoff
+
+    def below(self, key: np.ndarray) -> np.ndarray:
+        """P(symbol | context of this order) of counted windows."""
+        return self.dist[np.searchsorted(self.key, key & np.uint64(context_mask(self.k) | 255))]
+
+    def need(self, suffixes: np.ndarray) -> None:
+        self.keep |= np.isin(self.context, suffixes)
+
+    def suffixes(self) -> np.ndarray:
+        """Suffixes of the retained contexts."""
+        return np.unique(self.context[self.keep] & np.uint64(context_mask(self.k - 1)))
+
+    def retained(self):
+        """Keys and ln P of entries, keys and ln of escapes, tagged with the order."""
+        tag, on = np.uint64(self.k << 48), np.isin(self.own, self.context[self.keep])
+        return (self.key[on] | tag, np.log(self.dist[on]).astype(np.float32),
+                self.context[self.keep] | tag, self.escape[self.keep].astype(np.float32))
+
+
+def grow(below, made: list[tuple[np.ndarray, np.ndarray]], first: int, cutoff: float) -> list[Level]:
+    """Levels of the orders from ``first`` on; ``below(key)`` is the order before.
+    Suffixes of retained contexts are retained within these levels."""
+    out: list[Level] = []
+    for k, (key, n) in enumerate(made, first):
+        out.append(Level(key, n, k, below(key), cutoff))
+        below = out[-1].below
+    for low, high in zip(out[-2::-1], out[:0:-1]):
+        low.need(high.suffixes())
+    return out
+
+
 class Tree:
     """Retained contexts with smoothed next-symbol distributions.
 
-    ``entries``: key (order, context, symbol) -> ln P; ``escapes``: key (order,
+    ``entries``: key (order, context, symbol) -> ln P; ``contexts``: key (order,
     context) -> ln of the weight left to the suffix's distribution."""
 
-    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]], cutoff: float = CUTOFF):
-        root = np.full(256, 0.5)
-        k0, n0 = levels[0]
-        root[k0.astype(np.int64)] += n0
-        self.root = np.log(root / root.sum())
-        dist = [np.exp(self.root)[k0.astype(np.int64)]]
-        keys, context, escape = [k0], [np.zeros(1, np.uint64)], [None]
-        keep: list[np.ndarray] = [np.ones(1, bool)]
-        for k in range(1, len(levels)):
-            key, n = levels[k]
-            own = key & np.uint64(context_mask(k))
-            new = np.append(True, own[1:] != own[:-1])[:len(own)]  # keys are sorted by context
-            ctx, inv = own[new], np.cumsum(new) - 1
-            total = np.bincount(inv, n, len(ctx)) if len(ctx) else np.zeros(0)
-            kinds = BACK * np.bincount(inv, minlength=len(ctx)) if len(ctx) else np.zeros(0)
-            up = self._below(keys, dist, context, escape, k - 1, key)
-            p = (n + kinds[inv] * up) / (total + kinds)[inv]
-            q = n / total[inv]
-            gain = np.bincount(inv, n * np.log(q / up), len(ctx)) if len(ctx) else np.zeros(0)
-            keys.append(key)
-            dist.append(p)
-            context.append(ctx)
-            escape.append(np.log(kinds / (total + kinds)) if len(ctx) else np.zeros(0))
-            keep.append(gain >= cutoff)
-        for k in range(len(levels) - 1, 1, -1):  # suffixes of retained contexts
-            suffix = np.unique(context[k][keep[k]] & np.uint64(context_mask(k - 1)))
-            keep[k - 1] |= np.isin(context[k - 1], suffix)
-        tag = [np.uint64(k << 48) for k in range(len(levels))]
-        e, v, c, w = [], [], [], []
-        for k in range(1, len(levels)):
-            kept = context[k][keep[k]]
-            c.append(kept | tag[k])
-            w.append(escape[k][keep[k]])
-            on = np.isin(keys[k] & np.uint64(context_mask(k)), kept)
-            e.append(keys[k][on] | tag[k])
-            v.append(np.log(dist[k][on]))
-        self.entries, self.value = np.concatenate(e or [k0[:0]]), np.concatenate(v or [n0[:0]]).astype(np.float32)
-        self.contexts, self.escape = np.concatenate(c or [k0[:0]]), np.concatenate(w or [n0[:0]]).astype(np.float32)
-
-    @staticmethod
-    def _below(keys, dist, context, escape, k, key):
-        """P(symbol | context of length k) for windows ``key``, smoothed."""
-        if k == 0:
-            table = np.zeros(256)
-            table[keys[0].astype(np.int64)] = dist[0]
-            return table[(key & np.uint64(255)).astype(np.int64)]
-        cut = key & np.uint64(context_mask(k) | 255)
-        i = np.minimum(np.searchsorted(keys[k], cut), max(len(keys[k]) - 1, 0))
-        found = keys[k][i] == cut
-        return np.where(found, dist[k][i], 1e-12)
+    def __init__(self, root: np.ndarray, entries, value, contexts, escape):
+        self.root = root
+        i, j = np.argsort(entries), np.argsort(contexts)
+        self.entries, self.value, self.contexts, self.escape = entries[i], value[i], contexts[j], escape[j]
+
+    def with_part(self, part: "Tree | None") -> "Tree":
+        """Short contexts of this tree and the long ones of a part."""
+        if part is None:
+            return self
+        return Tree(self.root, *(np.concatenate([getattr(self, x), getattr(part, x)])
+                                 for x in ("entries", "value", "contexts", "escape")))
 
     def index(self):
         if not hasattr(self, "_index"):
@@ -219,6 +236,13 @@ class Tree:
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "_index"}
 
+    def within(self, key: np.ndarray, first: int, last: int) -> np.ndarray:
+        """``log_probabilities`` of the windows in a range of groups, 0 for others."""
+        g, out = group_of(key), np.zeros(len(key))
+        on = (g >= np.uint64(first)) & (g <= np.uint64(last))
+        out[on] = self.log_probabilities(key[on])
+        return out
+
     def log_probabilities(self, key: np.ndarray) -> np.ndarray:
         """ln P of each window's symbol given its longest retained context."""
         entries, contexts = self.index()
@@ -238,20 +262,101 @@ class Tree:
         return out
 
 
-def fit(counted: DataFrame, entry_bits: int = ENTRY_BITS, cutoff: float = CUTOFF) -> Tree:
-    """Tree from ``counts``: only entries above the count floor reach the driver."""
-    wins = counted.filter("kind = 1")
-    total = wins.agg(F.sum("n")).first()[0] or 0
-    floor = max(2, math.ceil(total / 2**entry_bits))
-    cuts = F.array(*[F.col("key").bitwiseAND(F.lit(context_mask(k) | 255)) + F.lit(k << 48) for k in range(DEPTH + 1)])
-    entries = (wins.select(F.explode(cuts).alias("cut"), "n").groupBy("cut").agg(F.sum("n").alias("n"))
-               .filter(F.col("n") >= floor).toPandas())
-    cut, n = entries["cut"].to_numpy(), entries["n"].to_numpy()
-    del entries
-    order = np.argsort(cut)
-    cut, n = cut[order].astype(np.uint64), n[order].astype(np.float64)
-    at = np.searchsorted(cut >> np.uint64(48), np.arange(DEPTH + 2, dtype=np.uint64))
-    return Tree([(cut[a:z] & np.uint64((1 << 48) - 1), n[a:z]) for a, z in zip(at[:-1], at[1:], strict=True)], cutoff)
+def group_of(key):
+    """The ``SHARED + 1`` nearest symbols of a window (array or column)."""
+    bits = 8 * (DEPTH - SHARED)
+    return F.shiftright(key, bits) if not isinstance(key, np.ndarray) else key >> np.uint64(bits)
+
+
+class Model:
+    """A tree in parts: ``low`` has the short contexts, the table ``high`` (g, entry,
+    key, value) the long ones by group of their nearest symbols, and ``borders``
+    the last group of each part."""
+
+    def __init__(self, low: Tree, high: DataFrame, borders: list[int]):
+        self.low, self.high, self.borders = low, high, borders
+
+    @property
+    def contexts(self) -> np.ndarray:
+        return np.unique(np.concatenate([t.contexts for _, _, t in self.trees()]))
+
+    def log_probabilities(self, key: np.ndarray) -> np.ndarray:
+        return sum(t.within(key, first, last) for first, last, t in self.trees())
+
+    def trees(self) -> Iterator[tuple[int, int, Tree]]:
+        """(first group, last group, tree), one part in memory at a time."""
+        first = 0
+        for last in self.borders:
+            t = self.high.filter(F.col("g").between(first, last)).select("entry", "key", "value").toArrow().to_pandas()
+            on, key, value = t["entry"].to_numpy(bool), t["key"].to_numpy().astype(np.uint64), t["value"].to_numpy(np.float32)
+            yield first, last, self.low.with_part(Tree(self.low.root, key[on], value[on], key[~on], value[~on]))
+            first = last + 1
+
+
+def fit(counted: DataFrame, cutoff: float = CUTOFF, part: int = PART) -> Model:
+    """Model from ``counts``: all counted windows take part."""
+    spark = counted.sparkSession
+    scratch = Scratch(spark, "lmtree")
+    wins = counted.filter("kind = 1").select("key", "n")
+    short = wins.groupBy(F.col("key").bitwiseAND(F.lit(context_mask(SHARED) | 255)).alias("key")) \
+        .agg(F.sum("n").alias("n")).toArrow().to_pandas().sort_values("key")  # bounded by the alphabet
+    made = levels(short["key"].to_numpy().astype(np.uint64), short["n"].to_numpy().astype(np.float64), range(SHARED + 1))
+    del short
+    root = np.full(256, 0.5)
+    root[made[0][0].astype(np.int64)] += made[0][1]
+    root /= root.sum()
+    low = grow(lambda key: root[(key & np.uint64(255)).astype(np.int64)], made[1:], 1, cutoff)
+    top = spark.sparkContext.broadcast((low[-1].k, low[-1].key, low[-1].dist))
+    schema = pa.schema([("g", pa.int64()), ("entry", pa.bool_()), ("key", pa.int64()), ("value", pa.float32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = Level.__new__(Level)
+        last.k, last.key, last.dist = top.value
+
+        def made_of(key, n):  # whole groups, sorted
+            for level in grow(last.below, levels(key, n, range(SHARED + 1, DEPTH + 1)), SHARED + 1, cutoff):
+                e, v, c, w = level.retained()
+                keys, each = np.concatenate([e, c]), np.concatenate([v, w])
+                g = group_of(keys & np.uint64((1 << 48) - 1)).astype(np.int64)
+                for a in range(0, len(keys), 1 << 16):
+                    z = slice(a, a + (1 << 16))
+                    yield pa.record_batch([pa.array(g[z]), pa.array(np.arange(len(keys))[z] < len(e)),
+                                           pa.array(keys[z].astype(np.int64)), pa.array(each[z])], schema=schema)
+
+        kept, size = [], 0
+        for t in batches:
+            key = t.column("key").to_numpy().astype(np.uint64)
+            n = t.column("n").to_numpy().astype(np.float64)
+            if not len(key):
+                continue
+            kept.append((key, n))
+            size += len(key)
+            if size > 1 << 18:
+                key, n = (np.concatenate(x) for x in zip(*kept, strict=True))
+                cut = int(np.searchsorted(group_of(key), group_of(key[-1:])[0]))  # the last group may go on
+                if cut:
+                    yield from made_of(key[:cut], n[:cut])
+                kept, size = [(key[cut:], n[cut:])], 0
+        if kept:
+            yield from made_of(*(np.concatenate(x) for x in zip(*kept, strict=True)))
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    high = scratch.save(wins.repartition(parts, group_of(F.col("key"))).sortWithinPartitions("key")
+                        .mapInArrow(run, "g long, entry boolean, key long, value float"), "tree")
+    longest = high.filter(~F.col("entry") & (F.shiftright("key", 48) == SHARED + 1)).select("g").distinct().toArrow().to_pandas()
+    low[-1].need(np.unique(longest["g"].to_numpy().astype(np.uint64) >> np.uint64(8)) << np.uint64(8 * (DEPTH + 1 - SHARED)))
+    for down, up in zip(low[-2::-1], low[:0:-1]):
+        down.need(up.suffixes())
+    sizes = high.groupBy("g").agg(F.count("*").alias("n")).toArrow().to_pandas().sort_values("g")  # bounded by the alphabet
+    borders, held = [], 0
+    for g, n in zip(sizes["g"].tolist(), sizes["n"].tolist(), strict=True):
+        if held and held + n > part:
+            borders.append(g - 1)
+            held = 0
+        held += n
+    borders.append((1 << 8 * (SHARED + 1)) - 1)
+    kept = [np.concatenate(x) for x in zip(*(level.retained() for level in low), strict=True)]
+    return Model(Tree(np.log(root), *kept), high, borders)
 
 
 class _Counts:
@@ -267,25 +372,29 @@ class _Counts:
         self.index, self.weight = pd.Index(state[0]), state[1]
 
 
-def score(docs: DataFrame, counted: DataFrame, tree: Tree, heavy_bits: int = HEAVY_BITS) -> DataFrame:
+def score(docs: DataFrame, counted: DataFrame, model: Model, heavy_bits: int = HEAVY_BITS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     words = counted.filter("kind = 0").select("key", "n")
     n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     scale = n + 0.1 * (v + 1)
-    common = words.filter(F.col("n") * F.lit(float(2**heavy_bits)) >= float(n)).toPandas()
+    common = words.filter(F.col("n") * F.lit(float(2**heavy_bits)) >= float(n)).toArrow().to_pandas()
     ends = words.filter(F.col("key") == END_HASH).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     end_base = math.log10((ends + 0.1) / scale)
-    bc = spark.sparkContext.broadcast((tree, _Counts(common["key"].to_numpy(), common["n"].to_numpy(), scale)))
+    docs = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "held_out", "text")
+    if len(model.borders) > 1:  # every pass has to see the same row numbers
+        docs = Scratch(spark, "lmtexts").save(docs, "texts")
+    words_bc = spark.sparkContext.broadcast(_Counts(common["key"].to_numpy(), common["n"].to_numpy(), scale))
+    passes = [(first, last, spark.sparkContext.broadcast(tree)) for first, last, tree in model.trees()]
+    first, last, tree = passes[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, frequent = bc.value
-        rid = TaskContext.get().partitionId() << 40
+        frequent = words_bc.value
         for whole in batches:
             for t in run_over(whole):
                 for i, j, w in text_words(t.column("text")):
                     sym, at = spell(w)
-                    total = np.add.reduceat(model.log_probabilities(windows(sym, at)), at) / math.log(10)
+                    total = np.add.reduceat(tree.value.within(windows(sym, at), first, last), at) / math.log(10)
                     h = w.hash.view(np.int64)
                     per_row = w.counts()
                     row = np.repeat(np.arange(j - i), per_row)
@@ -299,8 +408,7 @@ def score(docs: DataFrame, counted: DataFrame, tree: Tree, heavy_bits: int = HEA
                     cut = np.flatnonzero(np.concatenate([[True], (rr[1:] != rr[:-1]) | (rh[1:] != rh[:-1])])) \
                         if len(rr) else np.zeros(0, np.int64)
                     tf = np.diff(np.append(cut, len(rr)))
-                    ids = rid + np.arange(j - i)
-                    rid += j - i
+                    ids = t.column("rid").slice(i, j - i).to_numpy()
                     m = len(cut)
 
                     def col(doc, rare, kind):
@@ -318,20 +426,33 @@ def score(docs: DataFrame, counted: DataFrame, tree: Tree, heavy_bits: int = HEA
                         "base": col(pa.array(base + end_base), None, pa.float64()),
                         "score": col(pa.array(total), None, pa.float64())})
 
-    rows = docs.select("doc_id", "held_out", "text").mapInArrow(
+    def more(first, last, tree):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for t in run_over(whole):
+                    for i, j, w in text_words(t.column("text")):
+                        sym, at = spell(w)
+                        total = np.add.reduceat(tree.value.within(windows(sym, at), first, last), at) / math.log(10)
+                        yield pa.record_batch({"rid": t.column("rid").slice(i, j - i), "score": pa.array(total)})
+        return run
+
+    rows = docs.mapInArrow(
         run, "rid long, key long, tf long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, "
              "score double")
     rare = words.filter(F.col("n") * F.lit(float(2**heavy_bits)) < float(n))
     weight = F.log10((F.coalesce("n", F.lit(0)) + 0.1) / F.lit(scale))
-    return (rows.join(rare, "key", "left")
+    each = (rows.join(rare, "key", "left")
             .select("rid", "doc_id", "held_out", "n_tokens", "score",
                     (F.coalesce("n_known", F.lit(0)) + F.when(F.col("n") > 0, F.col("tf")).otherwise(0)).alias("known"),
                     (F.coalesce("base", F.lit(0.0)) + F.when(F.col("tf") > 0, F.col("tf") * weight).otherwise(0.0))
-                    .alias("base"))
-            .groupBy("rid").agg(
+                    .alias("base")))
+    for p in passes[1:]:
+        each = each.unionByName(docs.select("rid", "text").mapInArrow(more(*p), "rid long, score double"),
+                                allowMissingColumns=True)
+    return (each.groupBy("rid").agg(
                 F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"),
                 F.max("n_tokens").alias("n_tokens"), F.sum("known").alias("n_known"),
-                F.sum("base").alias("base_score"), F.max("score").alias("score"))
+                F.sum("base").alias("base_score"), F.sum("score").alias("score"))
             .select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"), "base_score",
                     "score"))
 
