@@ -1,11 +1,13 @@
 """Approximate nearest neighbours by inner product with cross-polytope hashing.
 
-Vectors are scaled by the largest norm and lifted by one coordinate to unit
-length, which turns inner product into cosine.  In each of ``TABLES`` tables a fast
+Candidates are dealt into bands of nearly equal norm (``BANDS`` for each doubling),
+in which inner product orders nearly like cosine; all vectors are scaled to unit
+length, and a query probes every band.  In each of ``TABLES`` tables a fast
 pseudo-rotation (three rounds of random signs and a Hadamard transform) is applied,
 and a vector is filed under the signed axis nearest to it; a query probes its
 ``PROBES`` nearest axes.  All vectors filed there are candidates and are ranked by
-their exact inner product in double precision.
+their exact inner product in double precision, ties of the last place included.
+Queries that found fewer than k are compared with all candidates.
 
 Equal vectors are one candidate with its ``k + 1`` smallest ids (no query needs
 more) and one query, so many copies of a vector cost as much as one.  A bucket is
@@ -31,6 +33,7 @@ from srcframe.session import Scratch
 
 TABLES = 32
 PROBES = 6
+BANDS = 4
 GROUP = 4096
 SEED = 41
 
@@ -39,7 +42,7 @@ class Rotations:
     """The pseudo-rotations of all tables for vectors of one length."""
 
     def __init__(self, dim: int, tables: int = TABLES, seed: int = SEED):
-        self.size = 1 << dim.bit_length()  # room for the lifting coordinate
+        self.size = 1 << dim.bit_length()
         self.signs = np.random.default_rng(seed).choice([-1.0, 1.0], (tables, 3, self.size))
 
     def _hadamard(self, v: np.ndarray) -> np.ndarray:
@@ -60,12 +63,6 @@ class Rotations:
         return 2 * near + (np.take_along_axis(x, near, 1) < 0)
 
 
-def lift(v: np.ndarray, top: float) -> np.ndarray:
-    """Unit vectors whose cosine with (query, 0) orders like the inner product."""
-    v = v / top
-    return np.concatenate([v, np.sqrt(np.maximum(1 - (v * v).sum(1, keepdims=True), 0))], 1)
-
-
 def best(number: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int):
     """The k best rows of each query, distinct ids, ties to the smaller id."""
     order = np.lexsort((ids, -score, number))
@@ -96,33 +93,33 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, tables: int = TABLES, pro
     rows = rows.filter("vec_id is not null and size(v) > 0").filter(
         F.forall("v", lambda x: x.isNotNull() & (F.abs(x) < float("inf")))).filter(F.exists("v", lambda x: x != 0))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    lengths = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max(norm).alias("top")) \
+    lengths = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")) \
         .orderBy(F.desc("n"), F.desc("d")).limit(1).collect()
     if not lengths:
         return empty
-    dim, top = lengths[0]["d"], lengths[0]["top"]
+    dim = lengths[0]["d"]
     rows = rows.filter(F.size("v") == dim).dropDuplicates(["vec_id", "v"])
+    band = F.floor(F.log2(norm) * BANDS + 0.5).cast("int")  # no border at norm 1
 
     few = rows.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).filter(F.col("r") <= k + 1)
     classes = few.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
     asked = rows.filter("is_query").select("vec_id", "v")
     classes = scratch.save(
-        classes.withColumn("cid", F.col("ids")[0])
+        classes.withColumn("cid", F.col("ids")[0]).withColumn("band", band)
         .join(asked.select("v").distinct().withColumn("asks", F.lit(True)), "v", "left"), "classes")
     members = scratch.save(asked.join(classes.select("v", "cid"), "v").select("vec_id", "cid"), "members")
     turn = Rotations(dim, tables)
 
     def filed(m: int, query: bool):
+        m = min(m, turn.size)
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
                 for a in range(0, whole.num_rows, 2048):
                     t = whole.slice(a, 2048)
                     v = t.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
                     raw = pa.array([x.tobytes() for x in v], pa.binary())
-                    if query:
-                        unit = v / np.linalg.norm(v, axis=1, keepdims=True)
-                    else:
-                        unit = lift(v, top)
+                    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
                     for table in range(tables):
                         axis = turn.axes(unit, table, m)
                         at = np.repeat(np.arange(len(v)), m)
@@ -130,30 +127,31 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, tables: int = TABLES, pro
                                 "axis": pa.array(axis.reshape(-1).astype(np.int32)),
                                 "cid": t.column("cid").take(pa.array(at)), "raw": raw.take(pa.array(at))}
                         if not query:
+                            cols["band"] = t.column("band").take(pa.array(at))
                             cols["ids"] = t.column("ids").take(pa.array(at))
                         yield pa.record_batch(cols)
         return run
 
     spread = "tab int, axis int, cid long, raw binary"
-    cand = classes.select("cid", "v", "ids").mapInArrow(filed(1, False), spread + ", ids array<long>")
+    cand = classes.select("cid", "v", "band", "ids").mapInArrow(filed(1, False), spread + ", band int, ids array<long>")
     ask = classes.filter("asks").select("cid", "v").mapInArrow(filed(probes, True), spread)
 
-    # group counts of a bucket: tables x axes rows at most
-    def groups(d: DataFrame, name: str) -> DataFrame:
-        return d.groupBy("tab", "axis").agg(F.ceil(F.count("*") / GROUP).cast("int").alias(name))
+    # group counts of a bucket: tables x axes x bands rows at most
+    def groups(d: DataFrame, name: str, *more: str) -> DataFrame:
+        return d.groupBy("tab", "axis", *more).agg(F.ceil(F.count("*") / GROUP).cast("int").alias(name))
 
     cand = scratch.save(cand, "candidates")
     ask = scratch.save(ask, "asked")
-    cut = groups(cand, "cs").join(groups(ask, "qs"), ["tab", "axis"])
 
-    def dealt(d: DataFrame, own: str, other: str) -> DataFrame:
-        return (d.join(F.broadcast(cut), ["tab", "axis"])
+    def dealt(d: DataFrame, cut: DataFrame, own: str, other: str) -> DataFrame:
+        return (d.join(F.broadcast(cut), ["tab", "axis", "band"] if own == "cs" else ["tab", "axis"])
+                .withColumn("band", F.col("band") + 0)  # a column of its own on either side
                 .withColumn("own", F.pmod(F.xxhash64("cid"), F.col(own)).cast("int"))
                 .withColumn("other", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
                 .withColumn("x", F.col("own") if own == "cs" else F.col("other"))
                 .withColumn("y", F.col("other") if own == "cs" else F.col("own")))
 
-    key = ["tab", "axis", "x", "y"]
+    key = ["tab", "axis", "band", "x", "y"]
 
     def rank(c: pa.Table, q: pa.Table) -> pa.Table:
         schema = pa.schema([("cid", pa.int64()), ("found", pa.binary())])
@@ -161,13 +159,14 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, tables: int = TABLES, pro
             return schema.empty_table()
         cv, qv = _matrix(c.column("raw"), dim), _matrix(q.column("raw"), dim)
         ids = c.column("ids").to_pylist()
+        longest = np.linalg.norm(cv, axis=1).max()
         out = []
         for a in range(0, len(qv), 256):
             near = qv[a:a + 256] @ cv.T
-            m = min(len(cv), k + 9)  # a few more than k + 1, ranked anew by exact sums
-            top_m = np.argpartition(-near, m - 1, axis=1)[:, :m] if m < len(cv) else np.tile(np.arange(m), (len(near), 1))
-            n = np.repeat(np.arange(len(near)), m)
-            j = top_m.reshape(-1)
+            m = min(len(cv), k + 1)  # and all that tie with the last, ranked anew by exact sums
+            least = np.partition(near, len(cv) - m, axis=1)[:, len(cv) - m]
+            slack = 1e-12 * np.linalg.norm(qv[a:a + 256], axis=1) * longest
+            n, j = np.nonzero(near >= (least - slack)[:, None])
             exact = (qv[a + n] * cv[j]).sum(1)
             size = np.array([len(ids[x]) for x in j])
             each = np.array([i for x in j for i in ids[x]], np.int64)
@@ -177,8 +176,10 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, tables: int = TABLES, pro
                 out.append(i[lo:hi].tobytes() + s[lo:hi].tobytes())
         return pa.table({"cid": q.column("cid").combine_chunks(), "found": pa.array(out, pa.binary())}, schema=schema)
 
-    lists = dealt(cand, "cs", "qs").select(*key, "raw", "ids").groupBy(*key).cogroup(
-        dealt(ask, "qs", "cs").select(*key, "cid", "raw").groupBy(*key)).applyInArrow(rank, "cid long, found binary")
+    def lists(c: DataFrame, q: DataFrame) -> DataFrame:
+        cut = groups(c, "cs", "band").join(groups(q, "qs"), ["tab", "axis"])
+        return dealt(c, cut, "cs", "qs").select(*key, "raw", "ids").groupBy(*key).cogroup(
+            dealt(q, cut, "qs", "cs").select(*key, "cid", "raw").groupBy(*key)).applyInArrow(rank, "cid long, found binary")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
@@ -194,7 +195,18 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, tables: int = TABLES, pro
         yield pa.record_batch({"cid": pa.array(held[0]), "vec_id": pa.array(held[1]), "score": pa.array(held[2])})
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = scratch.save(lists.repartition(parts, "cid").mapInArrow(gather, "cid long, vec_id long, score double"), "found")
+
+    def gathered(d: DataFrame) -> DataFrame:
+        return d.repartition(parts, "cid").mapInArrow(gather, "cid long, vec_id long, score double")
+
+    found = scratch.save(gathered(lists(cand, ask)), "found")
+    have = min(k + 1, rows.select("vec_id").distinct().limit(k + 1).count())
+    enough = found.groupBy("cid").agg(F.count("*").alias("n")).filter(F.col("n") >= have).select("cid")
+    few = scratch.save(classes.filter("asks").select("cid").join(enough, "cid", "left_anti"), "few")
+    if not few.isEmpty():
+        first = cand.filter("tab = 0").withColumns({"axis": F.lit(0), "band": F.lit(0)})
+        again = ask.filter("tab = 0").dropDuplicates(["cid"]).withColumn("axis", F.lit(0)).join(few, "cid", "left_semi")
+        found = scratch.save(found.join(few, "cid", "left_anti").unionByName(gathered(lists(first, again))), "all")
     scratch.drop("candidates", "asked")
     others = found.join(members.withColumnRenamed("vec_id", "query_id"), "cid").filter("vec_id <> query_id")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
