@@ -38,31 +38,30 @@ def _unquote(lit: Column) -> Column:
 
 def string_variables(fx: JavaFacts) -> DataFrame:
     """``String`` locals initialised with a literal, or with an earlier
-    such variable (one copy hop): (method key, var, value)."""
+    such variable, along any chain of copies: (method key, var, value)."""
     rx = r'(?<![\w$.])String\s+([\w$]+)\s*=\s*("[^"\n]*"|[\w$]+)\s*;'
-    b = fx.bodies.select("repo_id", "class_fqn", F.col("name").alias("method_name"),
+    b = fx.bodies.select("repo_id", "path", "class_fqn", F.col("name").alias("method_name"),
                          F.col("ordinal").alias("method_ordinal"), "body",
                          F.posexplode(spans(F.col("body_masked"), rx)).alias("o", "s"))
     txt = F.substr(F.col("body"), F.col("s.start"), F.col("s.len"))
-    v = b.select("repo_id", "class_fqn", "method_name", "method_ordinal", "o",
-                 F.regexp_extract(txt, rx, 1).alias("var"), F.regexp_extract(txt, rx, 2).alias("init"))
-    lit = v.where(F.startswith("init", F.lit('"'))).withColumn("value", _unquote(F.col("init")))
-    key = ["repo_id", "class_fqn", "method_name", "method_ordinal"]
-    copies = v.where(~F.startswith("init", F.lit('"'))).alias("c").join(
-        lit.alias("l"), [F.col(f"c.{k}") == F.col(f"l.{k}") for k in key]
-        + [F.col("c.init") == F.col("l.var"), F.col("l.o") < F.col("c.o")]) \
-        .select(*[F.col(f"c.{k}").alias(k) for k in key], F.col("c.o").alias("o"), F.col("c.var").alias("var"),
-                F.col("l.value").alias("value"))
-    out = lit.select(*key, "o", "var", "value").unionByName(copies)
-    # a later declaration of the same name wins (map put)
-    w = Window.partitionBy(*key, "var").orderBy(F.col("o").desc())
-    return out.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r", "o")
+    key = ["repo_id", "path", "class_fqn", "method_name", "method_ordinal"]
+    v = b.select(*key, "o", F.regexp_extract(txt, rx, 1).alias("var"), F.regexp_extract(txt, rx, 2).alias("init"))
+    # in declaration order; a later declaration of the same name wins (map put)
+    order = v.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("o", "var", "init"))).alias("decls"))
+
+    def put(known: Column, d: Column) -> Column:
+        value = F.when(F.startswith(d["init"], F.lit('"')), _unquote(d["init"])).otherwise(F.try_element_at(known, d["init"]))
+        rest = F.map_filter(known, lambda k, _: k != d["var"])
+        return F.when(value.isNotNull(), F.map_concat(rest, F.create_map(d["var"], value))).otherwise(known)
+
+    known = F.aggregate("decls", F.create_map().cast("map<string,string>"), put)
+    return order.select(*key, F.explode(known).alias("var", "value"))
 
 
 def jdbc_sql(fx: JavaFacts) -> DataFrame:
     """F5 ``jdbc_sql``: first argument of the six JDBC calls — a string
     literal, or a ``String`` variable holding one — when it looks like SQL."""
-    key = ["repo_id", "class_fqn", "method_name", "method_ordinal"]
+    key = ["repo_id", "path", "class_fqn", "method_name", "method_ordinal"]
     c = fx.raw_calls.where(F.col("name").isin(*JDBC_METHODS) & (F.size("arg_texts") > 0)) \
         .withColumn("a0", F.col("arg_texts")[0])
     sv = string_variables(fx).withColumnRenamed("var", "a0")
@@ -74,17 +73,17 @@ def jdbc_sql(fx: JavaFacts) -> DataFrame:
 
 def string_literals(fx: JavaFacts) -> DataFrame:
     """Every string literal of every method body, in order."""
-    b = fx.bodies.select("repo_id", "class_fqn", F.col("name").alias("method_name"),
+    b = fx.bodies.select("repo_id", "path", "class_fqn", F.col("name").alias("method_name"),
                          F.col("ordinal").alias("method_ordinal"), "body",
                          F.posexplode(spans(F.col("body_masked"), r'"[^"\n]*"')).alias("ordinal", "s"))
-    return b.select("repo_id", "class_fqn", "method_name", "method_ordinal", "ordinal",
+    return b.select("repo_id", "path", "class_fqn", "method_name", "method_ordinal", "ordinal",
                     _unquote(F.substr(F.col("body"), F.col("s.start"), F.col("s.len"))).alias("literal"))
 
 
 def literal_sql_fallback(fx: JavaFacts, jdbc: DataFrame | None = None) -> DataFrame:
     """F6 ``literal_sql_fallback``: SQL-like literals of methods that have
     no JDBC-derived SQL (anti join)."""
-    key = ["repo_id", "class_fqn", "method_name", "method_ordinal"]
+    key = ["repo_id", "path", "class_fqn", "method_name", "method_ordinal"]
     jdbc = jdbc if jdbc is not None else jdbc_sql(fx)
     lits = string_literals(fx).join(jdbc.select(*key).distinct(), key, "left_anti")
     lits = lits.where(X.is_sql(F.col("literal")))
@@ -94,7 +93,7 @@ def literal_sql_fallback(fx: JavaFacts, jdbc: DataFrame | None = None) -> DataFr
 def annotated_query_sql(fx: JavaFacts) -> DataFrame:
     """F8 ``annotated_query_sql``: ``@Query("…")`` / ``value =`` /
     ``query =`` on a method; the first such annotation gives the SQL."""
-    m = fx.methods.select("repo_id", "class_fqn", F.col("name").alias("method_name"),
+    m = fx.methods.select("repo_id", "path", "class_fqn", F.col("name").alias("method_name"),
                           F.col("ordinal").alias("method_ordinal"),
                           F.posexplode("annotations").alias("ai", "ann"))
     core = F.regexp_extract("ann", r"^@([\w.$]+)", 1)
@@ -104,7 +103,7 @@ def annotated_query_sql(fx: JavaFacts) -> DataFrame:
     quoted_named = F.regexp_like(F.col("ann"), F.lit(r'(?<![A-Za-z0-9_])(?:value|query)\s*=\s*"'))
     sql = F.when(single != "", single).when(quoted_named, named)
     m = m.withColumn("sql", sql).where(F.col("sql").isNotNull() & (F.trim("sql") != ""))
-    w = Window.partitionBy("repo_id", "class_fqn", "method_name", "method_ordinal").orderBy("ai")
+    w = Window.partitionBy("repo_id", "path", "class_fqn", "method_name", "method_ordinal").orderBy("ai")
     m = m.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r", "ai", "ann")
     return _op(m, F.col("sql"))
 
@@ -117,13 +116,13 @@ def source_ops(fx: JavaFacts) -> DataFrame:
 
 
 def _source_ops(fx: JavaFacts) -> DataFrame:
-    key = ["repo_id", "class_fqn", "method_name", "method_ordinal"]
+    key = ["repo_id", "path", "class_fqn", "method_name", "method_ordinal"]
     ann = annotated_query_sql(fx)
     jd = jdbc_sql(fx)
     body = jd.select(*key, "sql", "op_type", "tables").unionByName(
         literal_sql_fallback(fx, jd).select(*key, "sql", "op_type", "tables"))
     body = body.join(ann.select(*key), key, "left_anti")
-    return dedupe_ops(ann.select(*key, "sql", "op_type", "tables").unionByName(body))
+    return dedupe_ops(ann.select(*key, "sql", "op_type", "tables").unionByName(body).drop("path"))
 
 
 def dedupe_ops(ops: DataFrame) -> DataFrame:
