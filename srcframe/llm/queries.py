@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from srcframe.llm import ann, fingerprint, langid, mixing, neardup, packing, quality, suffixtree, toxicity, warc
+from srcframe.llm import (alignment, ann, fingerprint, langid, merkle, mixing, neardup, ngramjoin, packing, quality,
+                          suffixtree, toxicity, warc)
 from srcframe.session import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,3 +113,24 @@ def op8(spark, sf_dir):
 @query("op2_ann")
 def op2(spark, sf_dir):
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+@query("op11_merkle", merkle.SQL)
+def op11(spark, sf_dir):
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+NGRAM_SQL = (NEARDUP_SQL.replace("len(w) < 4", "len(w) < 5").replace("len(w) - 2", "len(w) - 3")
+             .replace("w[i:i + 3]", "w[i:i + 4]").replace(", z.doc_id = m.c as kept", ""))
+
+
+@query("op12_ngram_join", NGRAM_SQL)
+def op12(spark, sf_dir):
+    return ngramjoin.linked_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op13_alignment")
+def op13(spark, sf_dir):
+    import public_tokenizers
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                           public_tokenizers.path("piece_bpe_32k.model"))

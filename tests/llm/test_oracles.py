@@ -21,5 +21,5 @@ def test_twin(spark, name):
 def test_every_query_is_registered():
     names = E.queries()
     assert "pipeline" in names
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
     assert set(queries.QUERIES) <= set(names)
