@@ -1,20 +1,27 @@
 """Lexical fact extraction from Java-like source (section B).
 
 The reference walks a Java syntax tree per file.  Here the same facts come
-from column expressions over whole columns of files, in two steps:
-
-1. *Mask*: comments become spaces and the insides of string / char literals
-   become spaces (quotes kept, newlines kept).  Lengths do not change, so a
-   position in the masked text is a position in the source, and literal
-   values are read back from the source at the same place.
-2. *Extract*: regex spans (text + 1-based start, by the split/extract
-   identity) on the masked text; the brace / parenthesis depth of a position
-   is the count of openers minus closers before it.  Bodies are paired
-   brackets: per (file, depth) the opening and closing brackets alternate,
-   so a window ``lead`` pairs them — no per-file collection.
-
-Known losses (documented): no overload resolution by argument types;
-annotation arguments nest three levels of parentheses.
+from one table of tokens, a row each, and windows over a file's tokens:
+
+1. *Tokens*: one pattern cuts comments, literals, words and signs; positions
+   and lines are running sums.
+2. *Depths*: running sums give the depth in braces and parentheses.  Angle
+   brackets count where an opener meets its closer with nothing but type
+   tokens between; at every level openers and closers alternate, so ``lead``
+   pairs them, and braces and parentheses likewise.
+3. *Members*: in a body, a member ends at a semicolon or at the brace that
+   closes its block (behind an ``=``, at the semicolon only).  The tokens of a
+   member that stand outside of its own brackets form a text without nesting,
+   on which plain patterns tell types, fields, methods and constants apart.
+
+No nesting depth is limited; the work is linear in the tokens of a file (and
+in the text of the arguments that are returned).
+
+Known losses (documented): no overload resolution by argument types; records
+are no types and their members are left out (a nested one is no method); calls
+inside a method of a local class belong to that method only; in an expression
+``a < b, c > d`` the signs are taken for brackets, as Java itself does in a
+declaration.
 """
 
 from __future__ import annotations
@@ -35,19 +42,21 @@ MASK_RX = ('"""(?s:.*?)"""'
            r'|"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"'
            r"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'")
 
-ARGS = r'\((?:[^()]++|\((?:[^()]++|\([^()]*+\))*+\))*+\)'  # balanced to three levels; runs never backtrack
+ARGS = r'\((?:[^()]++|\((?:[^()]++|\([^()]*+\))*+\))*+\)'
 ANN = r'@[\w.$]+(?:[ \t]*' + ARGS + r')?'
 TYPE = r'[\w.$]+(?:<(?:[^<>]|<(?:[^<>]|<[^<>]*>)*>)*>)?(?:\[\])*'
-METHOD_MODS = r'(?:public|protected|private|static|final|abstract|synchronized|native|default|strictfp)'
-FIELD_MODS = r'(?:public|protected|private|static|final|transient|volatile)'
-
-METHOD_RX = (r'(?m)^[ \t]*((?:' + ANN + r'\s+)*)((?:' + METHOD_MODS + r'\s+)*)(?:<[^<>]*>\s+)?('
-             + TYPE + r')\s+([\w$]+)\s*\(((?:[^()]++|\((?:[^()]++|\([^()]*+\))*+\))*+)\)\s*(?:throws\s+([\w.$,\s]+?))?\s*[{;]')
-FIELD_RX = (r'(?m)^[ \t]*((?:' + ANN + r'\s+)*)((?:' + FIELD_MODS + r'\s+)*)(' + TYPE
-            + r')\s+([\w$]+)\s*+((?:\[\s*\]\s*+)*+(?:[=,][^;]*+)?+);')
-TYPE_DECL_RX = r'(?<![\w$@.])(class|interface|enum)\s+([\w$]+)|@interface\s+([\w$]+)'
 LOCAL_RX = r'(?<![\w$.])(' + TYPE + r')\s+([\w$]+)\s*(?:=|;|:(?!:))'
-CALL_RX = r'(?<![\w$])([\w$]+)\s*\('
+
+TOKEN_RX = MASK_RX + r"|[\w$]+|::|->|[<>=!]=|&&|\|\||[^\s\w$]"
+# patterns over the outer tokens of a member, one space between tokens, brackets empty
+NAME_S = r'[\w$]+(?: \. [\w$]+)*'
+ANN_S = r'@ (?!interface )' + NAME_S + r'(?: \( \))? '
+MODS_S = (r'((?:' + ANN_S + r'|(?:public|protected|private|static|final|abstract|synchronized|native|default|strictfp'
+          r'|transient|volatile|sealed|non - sealed) )*+)')
+TYPE_S = r'[\w$]+(?: < >)?(?: \. [\w$]+(?: < >)?)*(?: \[ \])*'
+DECL_S = MODS_S + r'(@ interface|class|interface|enum) ([\w$]+)(?= )'
+METHOD_S = MODS_S + r'(< > )?(' + TYPE_S + r') ([\w$]+) \( \)(?: \[ \])*(?: throws ([\w$., ]+?))?(?: default .*)? [{;]'
+FIELD_S = MODS_S + r'(' + TYPE_S + r') ([\w$]+)(?: \[ \])*(?: [=,].*)? ;$'
 
 # Java keywords that look like types or call names.
 NOT_TYPES = ["return", "throw", "new", "else", "case", "yield", "assert", "package", "import",
@@ -128,12 +137,6 @@ def count_char(text: Column, ch: str) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(ch), F.lit("")))
 
 
-def depth_at(masked: Column, pos: Column, open_: str = "{", close: str = "}") -> Column:
-    """Bracket depth just before 1-based position ``pos``."""
-    prefix = F.substr(masked, F.lit(1), pos - 1)
-    return count_char(prefix, open_) - count_char(prefix, close)
-
-
 def pair_brackets(df: DataFrame, key: list[str], text_col: str, open_: str, close: str) -> DataFrame:
     """(key…, open_pos, close_pos, level) for every bracket pair in
     ``text_col``.  The text splits into pieces at brackets; one row per
@@ -166,95 +169,210 @@ def masked_files(files: DataFrame) -> DataFrame:
                        imports=imports)
 
 
-def _orig(content: Column, start: Column, length: Column) -> Column:
-    return F.substr(content, start, length)
-
-
-def _ann_list(content: Column, masked_text: Column, offset: Column) -> Column:
-    """Annotations (original text, whitespace-normalised) inside a masked
-    header that begins at ``offset`` in the file."""
-    return F.transform(spans(masked_text, ANN),
-                       lambda a: F.regexp_replace(strip(_orig(content, offset + a["start"] - 1, a["len"])),
-                                                  r"\s+", " "))
-
-
-def closing_brace(text: Column, open_: Column) -> Column:
-    """Position of the brace that closes the one at ``open_`` (0 if none), in
-    one pass over the braces behind it."""
-    rest = F.substr(text, open_, F.lit(1 << 30))
-    marks = F.zip_with(F.split(rest, "[{}]", -1), F.regexp_extract_all(rest, F.lit("[{}]"), 0),
-                       lambda g, m: F.struct(F.length(g).alias("n"), m.alias("m")))
-    zero = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("pos"), F.lit(0).alias("close"))
-
-    def step(a, x):
-        pos = (a["pos"] + x["n"] + 1).cast("int")
-        depth = (a["depth"] + F.when(x["m"] == "{", 1).when(x["m"] == "}", -1).otherwise(0)).cast("int")
-        close = F.when((a["close"] == 0) & (x["m"] == "}") & (depth == 0), pos).otherwise(a["close"])
-        return F.struct(depth.alias("depth"), pos.alias("pos"), close.cast("int").alias("close"))
-    found = F.aggregate(marks, zero, step, lambda a: a["close"])
-    return F.when(found > 0, open_ + found - 1).otherwise(F.lit(0)).cast("int")
-
-
-def without_nested(x: Column, levels: int = 6) -> Column:
-    """Text without what stands in brackets, from the inside out."""
-    for _ in range(levels):
-        x = F.regexp_replace(x, r"\([^(){}\[\]]*+\)|\{[^(){}\[\]]*+\}|\[[^(){}\[\]]*+\]", "")
-    return x
-
-
-def extract_types(mf: DataFrame) -> DataFrame:
-    """B1 + B2 + B3 + B4 + B12: one row per type, top-level or nested, for
-    every file: ``classes(repo_id, path, package, name, class_fqn, kind,
-    annotations, parent, interfaces, is_interface, is_abstract, body_open,
-    body_close, decl)``.  A nested type's name follows its outer types' in
-    ``class_fqn``.  ``masked`` keeps only the type's own body (blanks before,
-    positions unchanged), so members of a type are those at depth 1."""
-    def located(d):
-        name = F.regexp_extract(d["text"], r"([\w$]+)$", 1)
-        opened = F.call_function("locate", F.lit("{"), F.col("masked"), d["start"])
-        return F.struct(d["start"].alias("start"), d["len"].alias("len"), d["text"].alias("text"),
-                        name.alias("name"), opened.alias("open"), closing_brace(F.col("masked"), opened).alias("close"))
-    t = materialize(mf, found=spans(F.col("masked"), TYPE_DECL_RX))
-    t = materialize(t, decls=F.transform("found", located)).drop("found")
-    t = t.select("*", F.explode(F.filter("decls", lambda d: d["open"] > 0)).alias("decl"))
-    t = materialize(
-        t.withColumnRenamed("masked", "_text"),
-        _outer=F.transform(F.filter("decls", lambda o: (o["open"] < F.col("decl.start")) & (
-            o["close"] > F.col("decl.start"))), lambda o: o["name"]),
-        masked=F.concat(F.repeat(F.lit(" "), F.col("decl.open") - 1), F.substr(
-            F.col("_text"), F.col("decl.open"), F.greatest(F.col("decl.close") - F.col("decl.open") + 1, F.lit(1))))
-    ).drop("decls")
-    word = F.regexp_extract(F.col("decl.text"), r"^(@?\w+)", 1)
-    t = t.withColumn("decl_kind", word) \
-        .withColumn("name", F.regexp_extract(F.col("decl.text"), r"([\w$]+)$", 1))
-    # header: masked text between the previous ';' / '}' and the keyword
-    prefix = F.substr(F.col("_text"), F.lit(1), F.col("decl.start") - 1)
-    header = F.regexp_extract(prefix, r"[^;{}]*$", 0)
-    hstart = F.col("decl.start") - F.length(header)
-    t = t.withColumn("annotations", _ann_list(F.col("content"), header, hstart)) \
-        .withColumn("is_abstract", header.rlike(WB_L + "abstract" + WB_R))
-    # supertypes: masked text between the name and the first '{'
-    tail = F.substr(F.col("_text"), F.col("decl.start") + F.col("decl.len"),
-                    F.col("decl.open") - F.col("decl.start") - F.col("decl.len"))
-    ext_txt = F.regexp_extract(tail, r"(?s)" + WB_L + r"extends\s+(.*?)(?:" + WB_L + r"implements" + WB_R + "|$)", 1)
-    imp_txt = F.regexp_extract(tail, r"(?s)" + WB_L + r"implements\s+(.*)$", 1)
-    norm = lambda arr: F.transform(arr, lambda x: F.regexp_replace(strip(x), r"\s+", " "))
-    exts = norm(F.regexp_extract_all(ext_txt, F.lit(TYPE), 0))
-    imps = norm(F.regexp_extract_all(imp_txt, F.lit(TYPE), 0))
-    is_iface = F.col("decl_kind") == "interface"
-    t = t.withColumn("is_interface", is_iface) \
-        .withColumn("parent", F.try_element_at(exts, F.lit(1))) \
-        .withColumn("interfaces", F.when(is_iface, exts).otherwise(imps)) \
-        .withColumn("body_open", F.col("decl.open")).withColumn("body_close", F.col("decl.close"))
-    t = t.withColumn("class_fqn", F.array_join(F.concat(
-        F.array(F.nullif("package", F.lit(""))), F.col("_outer"), F.array("name")), "."))
-    cols = ["decl_kind", "name", "annotations", "is_abstract", "is_interface", "parent", "interfaces",
-            "body_open", "body_close", "class_fqn"]
-    t = materialize(t.select("repo_id", "path", "content", "masked", "package", "imports", "decl",
-                             *[F.col(c).alias("_" + c) for c in cols]),
-                    **{c: F.col("_" + c) for c in cols}).drop(*["_" + c for c in cols])
-    return materialize(t, kind=classify_kind(F.col("decl_kind"), F.col("name"), F.col("annotations"),
-                                             F.col("parent"), F.col("interfaces"), F.col("package")))
+# ---------------------------------------------------------------- tokens
+
+FILE = ["fa", "fb"]  # 128 bits for (repo_id, path): windows sort numbers, not paths
+
+
+def _file_key() -> list[Column]:
+    return [F.xxhash64("repo_id", "path").alias("fa"), F.xxhash64("path", F.lit("/"), "repo_id").alias("fb")]
+
+
+def _is_word(t: Column) -> Column:
+    return t.rlike(r"^[A-Za-z_$\x{80}-\x{10ffff}]")
+
+
+def java_tokens(files: DataFrame) -> DataFrame:
+    """Tokens of the ``.java`` files, comments left out: ``tokens(fa, fb, i, pos,
+    len, line, t, gap, prev, next, bd, p, g, mate, own, inner_p, s1, after_eq, m,
+    typed, in_type, block)``.  ``bd``, ``p``: depth in braces and parentheses, of a
+    bracket itself the outer one; ``g``: in angle brackets; ``mate``: position of
+    the brace's or parenthesis' partner; ``own``: position of the brace that
+    opens the body around (0: the file); ``inner_p``: parentheses open since
+    then; ``m``: number of the member in that body, ``s1`` the semicolons before;
+    ``typed``: the member declares a type; ``in_type``: the body is a type's;
+    ``block``: position of the innermost brace around that opens a member's block
+    (a method body)."""
+    content = F.col("content")
+    cut = F.zip_with(F.split(content, TOKEN_RX, -1), F.regexp_extract_all(content, F.lit(TOKEN_RX), 0),
+                     lambda g, t: F.struct(F.length(g).alias("n"), count_char(g, "\n").alias("nl"), t.alias("t")))
+    x = files.where(F.col("path").endswith(".java")).select(*_file_key(), F.posexplode(cut).alias("i", "z")) \
+        .select(*FILE, "i", "z.n", "z.nl", "z.t").where(F.col("t").isNotNull())
+    order = Window.partitionBy(*FILE).orderBy("i")
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    t = F.col("t")
+    within = count_char(t, "\n")
+    x = x.select(*FILE, "i", t, F.length(t).alias("len"),
+                 (F.sum(F.col("n") + F.length(t)).over(so_far) - F.length(t) + 1).cast("int").alias("pos"),
+                 (F.sum(F.col("nl") + within).over(so_far) - within + 1).cast("int").alias("line"))
+    x = x.where(~F.startswith(t, F.lit("//")) & ~F.startswith(t, F.lit("/*")))
+    sign = lambda a, b: F.when(t.isin(*a), 1).when(t.isin(*b), -1).otherwise(0)
+    before = F.lag(F.col("pos") + F.col("len")).over(order)
+    x = x.select("*", F.lag("t").over(order).alias("prev"), F.lead("t").over(order).alias("next"),
+                 F.coalesce(F.col("pos") > before, F.lit(False)).alias("gap"),
+                 (F.sum(sign("{", "}")).over(so_far) - (t == "{").cast("int")).alias("d"))
+    # braces around a list of values nest like parentheses
+    pair = Window.partitionBy(*FILE, "d", t.isin("{", "}")).orderBy("i")
+    lists = (t == "{") & F.col("prev").isin("(", ",", "=", "]", "default")
+    x = x.withColumn("lists", F.coalesce(F.when(t == "}", F.lag(lists).over(pair)).otherwise(lists), F.lit(False)))
+    opens, closes = (t == "{") & ~F.col("lists"), (t == "}") & ~F.col("lists")
+    deeper = t.isin("(", "[") | ((t == "{") & F.col("lists"))
+    paren = t.isin("(", ")", "[", "]") | (t.isin("{", "}") & F.col("lists"))
+    x = x.withColumn("opens", opens).withColumn("closes", closes).withColumn("deeper", deeper).withColumn("is_paren", paren)
+    opens, closes, deeper = F.col("opens"), F.col("closes"), F.col("deeper")
+    x = x.withColumn("bd", F.sum(opens.cast("int") - closes.cast("int")).over(so_far)) \
+        .withColumn("p_after", F.sum(F.when(deeper, 1).when(F.col("is_paren"), -1).otherwise(0)).over(so_far))
+    x = x.withColumn("p", F.col("p_after") - deeper.cast("int")).withColumn("d", F.col("bd") - opens.cast("int"))
+    # angle brackets: runs of type tokens, levels in a run, partners at a level
+    typish = _is_word(t) | t.isin(".", ",", "&", "<", ">", "[", "]", "@") | (
+        (t == "?") & F.col("next").isin(">", ",", "extends", "super"))
+    x = x.withColumn("run", F.sum((~typish).cast("int")).over(so_far))
+    in_run = Window.partitionBy(*FILE, "run").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    x = x.withColumn("level", F.when(t.isin("<", ">"), F.sum(sign("<", ">")).over(in_run) + (t == ">").cast("int")))
+    level = Window.partitionBy(*FILE, "run", "level").orderBy("i")
+    angle = F.when((t == "<") & (F.lead("t").over(level) == ">"), 1) \
+        .when((t == ">") & (F.lag("t").over(level) == "<"), -1).otherwise(0)
+    x = x.withColumn("angle", angle).drop("run", "level")
+    x = x.withColumn("g", F.sum("angle").over(so_far) - (F.col("angle") == 1).cast("int")) \
+        .withColumn("angled", F.col("angle") != 0).drop("angle")
+    # the body around a token, and partners of braces and parentheses
+    inside = Window.partitionBy(*FILE, "bd").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    opened = lambda c: F.last(F.when(opens, c), ignorenulls=True).over(inside)
+    x = x.withColumn("own", F.coalesce(opened(F.col("pos")), F.lit(0))) \
+        .withColumn("inner_p", F.col("p") - F.coalesce(opened(F.col("p_after")), F.lit(0))) \
+        .withColumn("is_brace", opens | closes)
+    pair = Window.partitionBy(*FILE, "d", "is_brace").orderBy("i")
+    pair_p = Window.partitionBy(*FILE, "p", "is_paren").orderBy("i")
+    x = x.withColumn("mate", F.when(opens, F.lead("pos").over(pair))) \
+        .withColumn("own", F.when(opens, F.coalesce(F.lead("own").over(pair), F.lit(0))).otherwise(F.col("own"))) \
+        .withColumn("inner_p", F.when(opens, F.coalesce(F.lead("inner_p").over(pair), F.lit(0)))
+                    .otherwise(F.col("inner_p")))
+    x = x.withColumn("behind", F.when(deeper, F.lead("next").over(pair_p)))
+    # members of a body
+    body = Window.partitionBy(*FILE, "own").orderBy("i")
+    earlier = body.rowsBetween(Window.unboundedPreceding, -1)
+    outer = F.col("inner_p") == 0
+    x = x.withColumn("s1", F.coalesce(F.sum(((t == ";") & outer).cast("int")).over(earlier), F.lit(0)))
+    stretch = Window.partitionBy(*FILE, "own", "s1").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    gives = (t == "=") | ((t == "default") & (F.col("prev") == ")"))  # what follows ends at a semicolon
+    x = x.withColumn("after_eq", F.max(F.coalesce(gives, F.lit(False)) & outer & (F.col("g") == 0)).over(stretch))
+    ends = outer & ((t == ";") | (closes & ~F.col("after_eq")))
+    x = x.withColumn("m", F.coalesce(F.sum(ends.cast("int")).over(earlier), F.lit(0)))
+    declares = t.isin("class", "interface", "enum") & (F.coalesce(F.col("prev"), F.lit("")) != ".") & _is_word(
+        F.coalesce(F.col("next"), F.lit(""))) & outer & (F.col("g") == 0) & ~F.col("after_eq")
+    x = x.withColumn("typed", F.max(declares).over(Window.partitionBy(*FILE, "own", "m")))
+    block_brace = opens & outer & ~F.col("after_eq")
+    x = x.withColumn("in_type", F.coalesce(opened(block_brace & F.col("typed")), F.lit(False)))
+    x = x.withColumn("in_type", F.when(opens, F.coalesce(F.lead("in_type").over(pair), F.lit(False)))
+                     .otherwise(F.col("in_type")))
+    x = x.withColumn("starts", block_brace & F.col("in_type") & ~F.col("typed"))
+    stops = closes & F.coalesce(F.lag("starts").over(pair), F.lit(False))
+    x = x.withColumn("fd", F.sum(F.when(F.col("starts"), 1).when(stops, -1).otherwise(0)).over(so_far))
+    nearest = Window.partitionBy(*FILE, "fd").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    x = x.withColumn("block", F.last(F.when(F.col("starts"), F.col("pos")), ignorenulls=True).over(nearest))
+    return x.drop("p_after", "is_brace", "opens", "closes", "deeper", "lists", "starts", "fd")
+
+
+TOKEN = ["i", "pos", "len", "t", "gap", "inner_p", "g", "mate"]
+
+
+def java_members(tokens: DataFrame, mf: DataFrame) -> DataFrame:
+    """Members of type bodies and declarations of types, with their tokens:
+    ``members(repo_id, path, package, imports, own, m, s1, typed, in_type, toks,
+    outer, flat)``; ``outer`` are the tokens outside of the member's brackets
+    and ``flat`` their text."""
+    files = mf.select(*_file_key(), "repo_id", "path", "package", "imports")
+    x = tokens.where("typed or in_type").groupBy(*FILE, "own", "m", "typed", "in_type").agg(
+        F.min("s1").alias("s1"), F.array_sort(F.collect_list(F.struct(*TOKEN))).alias("toks"))
+    x = materialize(x, outer=F.filter("toks", lambda k: (k["inner_p"] == 0) & (k["g"] == 0)))
+    flat = F.array_join(F.transform("outer", lambda k: F.when(k["t"].rlike("^[\"']"), '""').otherwise(k["t"])), " ")
+    return materialize(x, flat=flat).join(files, FILE).drop(*FILE)
+
+
+def token_text(toks: Column) -> Column:
+    """Tokens as written, with one space for white space and comments between."""
+    return F.array_join(F.transform(toks, lambda x, k: F.when(x["gap"] & (k > 0), F.concat(F.lit(" "), x["t"]))
+                                    .otherwise(x["t"])), "")
+
+
+def _end(x: Column) -> Column:
+    return x["pos"] + x["len"]
+
+
+def outer_text(part: Column, toks: Column = None) -> Column:
+    """Text of consecutive outer tokens with all that stands in their brackets."""
+    toks = F.col("toks") if toks is None else toks
+    low, high = F.element_at(part, 1)["pos"], F.element_at(part, -1)["pos"]
+    return token_text(F.filter(toks, lambda x: (x["pos"] >= low) & (x["pos"] <= high)))
+
+
+def _words(flat: Column) -> Column:
+    """Tokens of a flat text that ends with a space (or is empty)."""
+    return count_char(flat, " ")
+
+
+def parts_at_commas(toks: Column, comma) -> Column:
+    """Tokens cut at those for which ``comma`` holds; empty parts left out."""
+    at = F.filter(F.sequence(F.lit(1), F.size(toks)), lambda k: comma(F.element_at(toks, k)))
+    at = F.when(F.size(toks) > 0, at).otherwise(F.array().cast("array<int>"))
+    starts, ends = F.concat(F.array(F.lit(0)), at), F.concat(at, F.array(F.size(toks) + 1))
+    parts = F.zip_with(starts, ends, lambda a, z: F.slice(toks, a + 1, z - a - 1))
+    return F.filter(parts, lambda x: F.size(x) > 0)
+
+
+def annotations_of(outer: Column, count: Column, toks: Column = None) -> Column:
+    """Annotations (as written) among the first ``count`` outer tokens."""
+    at = F.filter(F.sequence(F.lit(1), F.greatest(count, F.lit(1))),
+                  lambda k: (k <= count) & (F.element_at(outer, k)["t"] == "@"))
+
+    def one(k):
+        rest = F.slice(outer, k, count - k + 1)
+        flat = F.concat(F.array_join(F.transform(rest, lambda x: x["t"]), " "), F.lit(" "))
+        return F.regexp_replace(outer_text(F.slice(outer, k, _words(F.regexp_extract(flat, "^" + ANN_S, 0))), toks), r"\s+", " ")
+    return F.when(count > 0, F.transform(at, one)).otherwise(F.array().cast("array<string>"))
+
+
+def extract_types(members: DataFrame) -> DataFrame:
+    """B1 + B4 + B12: one row per type, top-level, nested or local, for every
+    file: ``classes(repo_id, path, package, imports, name, class_fqn, decl_kind,
+    kind, annotations, parent, interfaces, is_interface, is_abstract, body_open,
+    body_close)``.  A nested type's name follows its outer types' in
+    ``class_fqn``.  Two local classes of one name differ in ``body_open``."""
+    rx = "^" + DECL_S
+    t = members.where(F.col("typed") & F.col("flat").rlike(rx + r"[^{;]*\{"))
+    head = F.regexp_extract("flat", rx, 0)
+    mods, word, name = (F.regexp_extract("flat", rx, k) for k in (1, 2, 3))
+    count = _words(head) + 1
+    rest = F.slice("outer", count + 1, F.size("outer"))
+    upto = F.array_position(F.transform(rest, lambda x: x["t"]), "{").cast("int")
+    t = materialize(t, decl_kind=F.replace(word, F.lit(" "), F.lit("")), name=name, mods=mods,
+                    tail=F.slice(rest, 1, F.greatest(upto - 1, F.lit(0))), brace=F.element_at(rest, upto))
+
+    def listed(key):
+        at = F.array_position(F.transform("tail", lambda x: x["t"]), key).cast("int")
+        after = F.slice("tail", at + 1, F.size("tail"))
+        stop = F.filter(F.sequence(F.lit(1), F.size(after) + 1), lambda k: (k > F.size(after)) | F.element_at(
+            after, F.least(k, F.greatest(F.size(after), F.lit(1))))["t"].isin("extends", "implements", "permits"))
+        names = parts_at_commas(F.slice(after, 1, F.element_at(stop, 1) - 1), lambda x: x["t"] == ",")
+        return F.when((at > 0) & (F.size(after) > 0), F.transform(names, lambda n: outer_text(n))) \
+            .otherwise(F.array().cast("array<string>"))
+    t = materialize(t, extended=listed("extends"), implemented=listed("implements"),
+                    annotations=annotations_of(F.col("outer"), _words(F.col("mods"))))
+    t = t.select("repo_id", "path", "package", "imports", "decl_kind", "name", "annotations",
+                 F.col("mods").rlike(WB_L + "abstract" + WB_R).alias("is_abstract"),
+                 (F.col("decl_kind") == "interface").alias("is_interface"),
+                 F.try_element_at("extended", F.lit(1)).alias("parent"),
+                 F.when(F.col("decl_kind") == "interface", F.col("extended")).otherwise(F.col("implemented")).alias("interfaces"),
+                 F.col("brace.pos").cast("int").alias("body_open"), F.col("brace.mate").cast("int").alias("body_close"))
+    # names of the types around, outermost first
+    spans_ = t.groupBy("repo_id", "path").agg(
+        F.array_sort(F.collect_list(F.struct("body_open", "body_close", "name"))).alias("all"))
+    t = t.join(spans_, ["repo_id", "path"])
+    around = F.transform(F.filter("all", lambda o: (o["body_open"] < F.col("body_open")) & (F.coalesce(
+        o["body_close"], F.lit(1 << 30)) > F.col("body_open"))), lambda o: o["name"])
+    t = materialize(t, class_fqn=F.array_join(F.concat(F.array(F.nullif("package", F.lit(""))), around, F.array("name")), "."))
+    return materialize(t.drop("all"), kind=classify_kind(F.col("decl_kind"), F.col("name"), F.col("annotations"),
+                                                         F.col("parent"), F.col("interfaces"), F.col("package")))
 
 
 def _ann_core_names(anns: Column) -> Column:
@@ -295,12 +413,6 @@ def classify_kind(decl_kind: Column, name: Column, annotations: Column, parent:
             .otherwise("class"))
 
 
-def type_bodies(types: DataFrame) -> DataFrame:
-    """Types with their body span ``[body_open, body_close]`` (null if the file
-    ends before the body does)."""
-    return types.withColumn("body_close", F.nullif("body_close", F.lit(0)))
-
-
 def visibility(mods: Column) -> Column:
     """B6 ``visibility`` from modifier text."""
     return (F.when(mods.rlike(WB_L + "public" + WB_R), "public")
@@ -309,125 +421,114 @@ def visibility(mods: Column) -> Column:
             .otherwise("default"))
 
 
-def extract_fields(types: DataFrame) -> DataFrame:
-    """B5 + B6 (+ B2 enum constants, B3 annotation members): fields at
-    class-body depth, in declaration order.  ``fields(repo_id, path,
-    class_fqn, ordinal, name, type, annotations, visibility, is_static,
-    is_final, initializer)``."""
-    base = types.select("repo_id", "path", "class_fqn", "name", "decl_kind", "package", "imports",
-                        "content", "masked", "body_open")
-    def declarators(x):
-        rest = without_nested(F.regexp_extract(x["text"], FIELD_RX, 5))
-        names = F.concat(F.array(F.regexp_extract(x["text"], FIELD_RX, 4)),
-                         F.regexp_extract_all(rest, F.lit(r",\s*([\w$]+)\s*(?=[=,]|$)"), 1))
-        return F.transform(names, lambda n: F.struct(x.alias("s"), n.alias("n")))
-    found = F.filter(spans(F.col("masked"), FIELD_RX), lambda s: depth_at(F.col("masked"), s["start"]) == 1)
-    f = base.select("*", F.posexplode(F.flatten(F.transform(found, declarators))).alias("ord", "e")) \
-        .withColumn("s", F.col("e.s"))
-    mt = F.col("s.text")
-    g = lambda i: F.regexp_extract(mt, FIELD_RX, i)
-    ann_txt = g(1)
-    fields = f.select(
-        "repo_id", "path", "class_fqn", F.col("ord").cast("int").alias("ordinal"),
-        F.col("e.n").alias("name"), F.regexp_replace(g(3), r"\s+", " ").alias("declared_type"),
-        _ann_list(F.col("content"), ann_txt, F.col("s.start") + F.locate("@", mt) - F.locate("@", ann_txt))
-        .alias("annotations"),
-        visibility(g(2)).alias("visibility"),
-        g(2).rlike(WB_L + "static" + WB_R).alias("is_static"),
-        g(2).rlike(WB_L + "final" + WB_R).alias("is_final"),
-        F.lit(None).cast("string").alias("initializer"), "decl_kind")
-    fields = fields.where(~F.col("declared_type").isin(*NOT_TYPES) & (F.col("decl_kind") != "enum")) \
-        .drop("decl_kind")
-    # enum constants: public static final fields typed by the enum
-    body = F.substr(F.col("masked"), F.col("body_open") + 1, F.lit(1 << 30))
-    # arguments, annotation arguments and bodies of constants are in brackets
-    consts_txt = F.regexp_extract(without_nested(body), r"^([^;}]*)", 1)
-    consts = F.filter(F.transform(F.split(F.regexp_replace(consts_txt, r"@[\w$.]+", ""), ",", -1), lambda x: strip(x)),
-                      lambda x: x.rlike(r"^[\w$]+$"))
-    enums = base.where(F.col("decl_kind") == "enum").select(
-        "repo_id", "path", "class_fqn", F.posexplode(consts).alias("ordinal", "name"), F.col("name").alias("_t")) \
-        .select("repo_id", "path", "class_fqn", F.col("ordinal").cast("int").alias("ordinal"), "name",
-                F.col("_t").alias("declared_type"), F.array().cast("array<string>").alias("annotations"),
-                F.lit("public").alias("visibility"), F.lit(True).alias("is_static"), F.lit(True).alias("is_final"),
-                F.lit(None).cast("string").alias("initializer"))
+def _of_types(members: DataFrame, types: DataFrame) -> DataFrame:
+    """Members (no types) with the type that they belong to."""
+    own = types.select("repo_id", "path", "class_fqn", F.col("name").alias("class_name"), "decl_kind",
+                       F.col("body_open").alias("own"))
+    return members.where("in_type and not typed").join(own, ["repo_id", "path", "own"])
+
+
+def extract_fields(members: DataFrame, types: DataFrame, mf: DataFrame) -> DataFrame:
+    """B5 + B6 (+ B2 enum constants, B3 annotation members): fields of every
+    type, in declaration order.  ``fields(repo_id, path, class_fqn, ordinal,
+    name, declared_type, annotations, visibility, is_static, is_final,
+    initializer)``; an initializer is the default of an annotation member."""
+    rx = "^" + FIELD_S
+    base = _of_types(members, types)
+    constants = (F.col("decl_kind") == "enum") & (F.col("s1") == 0)
+    f = base.where((F.col("decl_kind") != "enum") & F.col("flat").rlike(rx))
+    mods, typ = F.regexp_extract("flat", rx, 1), F.regexp_extract("flat", rx, 2)
+    f = materialize(f, mods=mods, n=_words(mods), k=_words(F.concat(typ, F.lit(" "))))
+    declarators = parts_at_commas(F.slice("outer", F.col("n") + F.col("k") + 1, F.size("outer")), lambda x: x["t"] == ",")
+    f = materialize(f, declared_type=outer_text(F.slice("outer", F.col("n") + 1, F.col("k"))),
+                    annotations=annotations_of(F.col("outer"), F.col("n")),
+                    names=F.transform(declarators, lambda d: F.element_at(d, 1)["t"]))
+    order = Window.partitionBy("repo_id", "path", "class_fqn").orderBy("own", "m", "o")
+    numbered = (F.row_number().over(order) - 1).cast("int")
+    fields = f.where(~F.col("declared_type").isin(*NOT_TYPES)).select("*", F.posexplode("names").alias("o", "field")).select(
+        "repo_id", "path", "class_fqn", numbered.alias("ordinal"), F.col("field").alias("name"), "declared_type",
+        "annotations", visibility(F.col("mods")).alias("visibility"),
+        F.col("mods").rlike(WB_L + "static" + WB_R).alias("is_static"),
+        F.col("mods").rlike(WB_L + "final" + WB_R).alias("is_final"), F.lit(None).cast("string").alias("initializer"))
+    # enum constants: public static final fields typed by the enum; a constant's
+    # body ends a member, so the members before the first semicolon are one list
+    none = F.array().cast("array<string>")
+    listed = base.where(constants).groupBy("repo_id", "path", "class_fqn", "class_name", "own").agg(
+        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("m", "outer"))), lambda x: x["outer"])).alias("outer"))
+    each = parts_at_commas(F.col("outer"), lambda x: x["t"] == ",")
+    flat = F.transform(each, lambda p: F.concat(F.array_join(F.transform(p, lambda x: x["t"]), " "), F.lit(" ")))
+    names = F.filter(F.transform(flat, lambda x: F.regexp_extract(x, "^(?:" + ANN_S + r")*+([\w$]+) ", 1)), lambda x: x != "")
+    enums = listed.select("*", F.posexplode(names).alias("o", "constant")).select(
+        "repo_id", "path", "class_fqn", F.col("o").cast("int").alias("ordinal"), F.col("constant").alias("name"),
+        F.col("class_name").alias("declared_type"), none.alias("annotations"), F.lit("public").alias("visibility"),
+        F.lit(True).alias("is_static"), F.lit(True).alias("is_final"), F.lit(None).cast("string").alias("initializer"))
     # annotation members: ``Type name() default value;``
-    amem_rx = r"(" + TYPE + r")\s+([\w$]+)\s*\(\s*\)\s*(?:default\s+([^;]+))?;"
-    ann = base.where(F.col("decl_kind") == "@interface").select(
-        "repo_id", "path", "class_fqn", "content",
-        F.posexplode(spans(F.col("masked"), amem_rx)).alias("ordinal", "s"))
-    amt = F.col("s.text")
-    dflt = F.regexp_extract(amt, amem_rx, 3)
-    dpos = F.col("s.start") + F.locate("default", amt) + 6
-    ann = ann.select("repo_id", "path", "class_fqn", F.col("ordinal").cast("int").alias("ordinal"),
-                     F.regexp_extract(amt, amem_rx, 2).alias("name"),
-                     F.regexp_extract(amt, amem_rx, 1).alias("declared_type"),
-                     F.array().cast("array<string>").alias("annotations"), F.lit("public").alias("visibility"),
-                     F.lit(False).alias("is_static"), F.lit(False).alias("is_final"),
-                     F.when(dflt != "", strip(F.substr(F.col("content"), dpos + F.lit(0),
-                                                        F.length(amt) - (dpos - F.col("s.start")) - 1)))
-                     .alias("initializer"))
-    return fields.unionByName(enums).unionByName(ann)
-
-
-def split_params(params_txt: Column) -> Column:
-    """Parameter list text → array of ``struct<type, name, annotations>``;
-    commas inside ``<>`` do not split."""
-    parts = F.filter(F.transform(F.split(params_txt, r",(?![^<>]*>)", -1), lambda x: strip(x)),
-                     lambda x: x != "")
-
-    def one(p):
-        anns = F.regexp_extract_all(p, F.lit(ANN), 0)
-        rest = strip(F.regexp_replace(F.regexp_replace(p, ANN, ""), WB_L + r"final" + WB_R, ""))
-        name = F.regexp_extract(rest, r"([\w$]+)$", 1)
-        typ = F.regexp_replace(strip(F.regexp_replace(rest, r"[\w$]+$", "")), r"\s+", " ")
-        return F.struct(typ.alias("type"), name.alias("name"), anns.alias("annotations"))
-    return F.transform(parts, one)
-
-
-def extract_methods(types: DataFrame) -> DataFrame:
-    """B6 + B7 + B8: methods at class-body depth with their bodies.
+    rx = "^" + METHOD_S
+    a = base.where((F.col("decl_kind") == "@interface") & F.col("flat").rlike(rx))
+    mods, typ = F.regexp_extract("flat", rx, 1), F.regexp_extract("flat", rx, 3)
+    at = F.array_position(F.transform("outer", lambda x: x["t"]), "default").cast("int")
+    low, high = _end(F.element_at("outer", F.greatest(at, F.lit(1)))), F.element_at("outer", -1)["pos"]
+    a = a.join(mf.select("repo_id", "path", "content"), ["repo_id", "path"])
+    a = materialize(a, n=_words(mods), k=_words(F.concat(typ, F.lit(" "))), member=F.regexp_extract("flat", rx, 4),
+                    initializer=F.when(at > 0, strip(F.substr("content", low, high - low))))
+    order = Window.partitionBy("repo_id", "path", "class_fqn").orderBy("own", "m")
+    a = a.select("repo_id", "path", "class_fqn", (F.row_number().over(order) - 1).cast("int").alias("ordinal"),
+                 F.col("member").alias("name"), outer_text(F.slice("outer", F.col("n") + 1, F.col("k"))).alias("declared_type"),
+                 none.alias("annotations"), F.lit("public").alias("visibility"), F.lit(False).alias("is_static"),
+                 F.lit(False).alias("is_final"), "initializer")
+    return fields.unionByName(enums).unionByName(a)
+
+
+PARAM_S = r"^((?:" + ANN_S + r"|final )*+)(" + TYPE_S + r"(?: \. \. \.)?) ([\w$]+)((?: \[ \])*) $"
+
+
+def parameters(toks: Column) -> Column:
+    """Tokens between a method's parentheses → array of ``struct<type, name,
+    annotations>``."""
+    parts = parts_at_commas(toks, lambda x: (x["t"] == ",") & (x["inner_p"] == 1) & (x["g"] == 0))
+
+    def one(part):
+        outer = F.filter(part, lambda x: (x["inner_p"] == 1) & (x["g"] == 0))
+        flat = F.concat(F.array_join(F.transform(outer, lambda x: F.when(x["t"].rlike("^[\"']"), '""').otherwise(x["t"])), " "),
+                        F.lit(" "))
+        n = _words(F.regexp_extract(flat, PARAM_S, 1))
+        k = _words(F.concat(F.regexp_extract(flat, PARAM_S, 2), F.lit(" ")))
+        return F.when(flat.rlike(PARAM_S), F.struct(
+            F.concat(outer_text(F.slice(outer, n + 1, k), part),
+                     F.replace(F.regexp_extract(flat, PARAM_S, 4), F.lit(" "), F.lit(""))).alias("type"),
+            F.regexp_extract(flat, PARAM_S, 3).alias("name"), annotations_of(outer, n, part).alias("annotations")))
+    return F.filter(F.transform(parts, one), lambda x: x.isNotNull())
+
+
+def extract_methods(members: DataFrame, types: DataFrame) -> DataFrame:
+    """B6 + B7 + B8: the methods of every type with their bodies.
     ``methods(repo_id, path, class_fqn, ordinal, name, return_type, params
     (type, name, annotations), param_texts, annotations, throws, visibility,
     is_static, is_abstract, body_start, body_end)``.  Constructors are not
     methods (as in the reference)."""
-    base = types.where(F.col("decl_kind") != "@interface").select(
-        "repo_id", "path", "class_fqn", F.col("name").alias("class_name"), "package", "imports", "content", "masked")
-    m = base.select("*", F.posexplode(F.filter(spans(F.col("masked"), METHOD_RX),
-                                               lambda s: depth_at(F.col("masked"), s["start"]) == 1))
-                    .alias("ord", "s"))
-    mt = F.col("s.text")
-    g = lambda i: F.regexp_extract(mt, METHOD_RX, i)
-    # original text of the header (annotations and parameters keep literals)
-    orig = _orig(F.col("content"), F.col("s.start"), F.col("s.len"))
-    og = lambda i: F.regexp_extract(orig, METHOD_RX, i)
-    m = m.select(
-        "repo_id", "path", "class_fqn", "class_name", "package", "imports", "masked",
-        F.col("ord").cast("int").alias("decl_no"),
-        g(4).alias("name"), F.regexp_replace(g(3), r"\s+", " ").alias("return_type"),
-        og(5).alias("params_txt"),
-        _ann_list(F.col("content"), g(1), F.col("s.start") + F.locate("@", mt) - F.locate("@", g(1)))
-        .alias("annotations"),
-        F.filter(F.transform(F.split(g(6), ",", -1), lambda x: strip(x)), lambda x: x != "").alias("throws"),
-        g(2).alias("mods"),
-        mt.endswith("{").alias("has_body"),
-        (F.col("s.start") + F.col("s.len") - 1).alias("open_pos"))
-    m = m.where(~F.col("return_type").isin(*NOT_TYPES) & (F.col("name") != F.col("class_name"))
-                & ~F.col("name").isin(*NOT_TYPES))
-    w = Window.partitionBy("repo_id", "path", "class_fqn").orderBy("decl_no")
-    m = m.withColumn("ordinal", (F.row_number().over(w) - 1).cast("int"))
-    own = ["repo_id", "path", "class_fqn"]
-    pairs = pair_brackets(types, own, "masked", "{", "}").where("level = 2")
-    m = m.join(pairs.select(*own, "open_pos", "close_pos"), [*own, "open_pos"], "left")
-    params = split_params(F.col("params_txt"))
+    rx = "^" + METHOD_S
+    m = _of_types(members, types).where((F.col("decl_kind") != "@interface") & F.col("flat").rlike(rx)
+                                        & ~((F.col("decl_kind") == "enum") & (F.col("s1") == 0)))
+    g = lambda k: F.regexp_extract("flat", rx, k)
+    m = materialize(m, mods=g(1), n=_words(F.concat(g(1), g(2))), k=_words(F.concat(g(3), F.lit(" "))), method=g(4), thrown=g(5))
+    at = F.col("n") + F.col("k") + 2
+    m = materialize(m, opened=F.element_at("outer", at), closed=F.element_at("outer", at + 1),
+                    brace=F.try_element_at(F.filter("outer", lambda x: x["t"] == "{"), F.lit(1)),
+                    return_type=outer_text(F.slice("outer", F.col("n") + 1, F.col("k"))))
+    inside = F.filter("toks", lambda x: (x["pos"] > F.col("opened.pos")) & (x["pos"] < F.col("closed.pos")))
+    m = m.where(~F.col("return_type").isin("record", *NOT_TYPES) & ~F.col("method").isin(*NOT_TYPES))
+    m = materialize(m, params=parameters(inside), annotations=annotations_of(F.col("outer"), _words(F.col("mods"))))
+    order = Window.partitionBy("repo_id", "path", "class_fqn").orderBy("own", "m")
     return m.select(
-        "repo_id", "path", "class_fqn", "class_name", "package", "imports", "ordinal", "name", "return_type",
-        params.alias("params"),
-        F.transform(params, lambda p: F.concat_ws(" ", p["type"], p["name"])).alias("param_texts"),
-        "annotations", "throws", visibility(F.col("mods")).alias("visibility"),
+        "repo_id", "path", "class_fqn", "class_name", "package", "imports",
+        (F.row_number().over(order) - 1).cast("int").alias("ordinal"), F.col("method").alias("name"), "return_type", "params",
+        F.transform("params", lambda p: F.concat_ws(" ", p["type"], p["name"])).alias("param_texts"), "annotations",
+        F.filter(F.transform(F.split("thrown", ","), lambda x: F.replace(x, F.lit(" "), F.lit(""))),
+                 lambda x: x != "").alias("throws"),
+        visibility(F.col("mods")).alias("visibility"),
         F.col("mods").rlike(WB_L + "static" + WB_R).alias("is_static"),
         F.col("mods").rlike(WB_L + "abstract" + WB_R).alias("is_abstract"),
-        F.when(F.col("has_body"), F.col("open_pos") + 1).alias("body_start"),
-        F.when(F.col("has_body"), F.col("close_pos") - 1).alias("body_end"))
+        (F.col("brace.pos") + 1).cast("int").alias("body_start"), (F.col("brace.mate") - 1).cast("int").alias("body_end"))
 
 
 def method_bodies(methods: DataFrame, mf: DataFrame) -> DataFrame:
@@ -456,67 +557,65 @@ def extract_locals(bodies: DataFrame) -> DataFrame:
         .where(~F.col("type").isin(*NOT_TYPES) & ~F.col("name").isin(*NOT_TYPES))
 
 
-SCOPE_RX = r"((?:[\w$]++(?:" + ARGS + r")?\s*+\.\s*+)+)$"
+# Keywords that may stand before a call; another word there is the type of a declaration.
+BEFORE_CALLS = ["return", "throw", "else", "do", "case", "yield", "assert", "instanceof"]
 
 
-def extract_calls(bodies: DataFrame) -> DataFrame:
+def extract_calls(tokens: DataFrame, methods: DataFrame) -> DataFrame:
     """B10 ``extract_calls``: method-call expressions of each body in
     post-order (arguments and scope before the call): ordinal = rank of the
     closing parenthesis.  ``calls_raw(repo_id, path, class_fqn,
     method_name, method_ordinal, ordinal, name, scope, args, arg_texts,
-    call_pos)``; ``args`` is the original argument text."""
+    call_pos)``; ``args`` is the argument text, one space for white space.
+
+    A scope is the chain of names, calls and indexes that ends at the dot: at
+    one level of parentheses, all tokens since the last that can't go on a
+    chain.  Declarations inside a body (methods and constructors of local and
+    anonymous classes) and annotations are not calls."""
+    word = lambda c: _is_word(F.coalesce(c, F.lit("")))
+    t, prev = F.col("t"), F.coalesce(F.col("prev"), F.lit(""))
+    order = Window.partitionBy(*FILE, "block").orderBy("i")
+    x = tokens.where("block is not null").withColumn("k", F.row_number().over(order).cast("int"))
+    goes_on = (t.isin(".", ")", "]", "}") | ((t == "{") & prev.isin(")", "]")) | (prev == ".") | F.col("angled") | (F.col("g") > 0) | ((prev == "new") & word(t))
+               | ((t == "(") & (word(prev) | (prev == ">")) & ~prev.isin(*NOT_CALLS)) | ((t == "[") & (word(prev) | prev.isin(")", "]"))))
+    level = Window.partitionBy(*FILE, "block", "p", "d").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    start = F.last(F.when(~goes_on, F.struct("k", "pos", "line")), ignorenulls=True).over(level)
+    pair = Window.partitionBy(*FILE, "block", "p", "is_paren").orderBy("i")
+    x = x.withColumn("start", start)
+    x = x.withColumn("closed", F.when(t == "(", F.lead(F.struct("k", "pos")).over(pair)))
+    x = x.withColumn("args_closed", F.lead("closed").over(order)).withColumn("args_behind", F.lead("behind").over(order))
+    is_call = (word(t) & (F.col("next") == "(") & ~t.isin(*NOT_CALLS) & (prev != "new") & (prev != "@") & F.col("args_closed").isNotNull()
+               & ~(word(prev) & ~prev.isin(*BEFORE_CALLS)) & ~prev.isin("]")
+               & ~F.coalesce(F.col("args_behind").isin("{", "throws"), F.lit(False)))
+    scoped = prev == "."
+    call = F.struct("k", t.alias("name"), "pos", "line", "p", "bd", "g", "args_closed", scoped.alias("scoped"), "start")
+    # a block's tokens and its calls side by side; slices of the tokens are the texts
+    b = x.groupBy(*FILE, "block").agg(
+        F.array_sort(F.collect_list(F.struct("k", "t", "gap", "p", "bd", "g"))).alias("toks"),
+        F.array_sort(F.collect_list(F.when(is_call, call))).alias("calls"))
+
+    def one(c):
+        inside = F.slice("toks", c["k"] + 2, c["args_closed"]["k"] - c["k"] - 2)
+        parts = parts_at_commas(inside, lambda a: (a["t"] == ",") & (a["p"] == c["p"] + 1) & (a["bd"] == c["bd"])
+                                & (a["g"] == c["g"]))
+        before = F.slice("toks", c["start"]["k"], F.greatest(c["k"] - c["start"]["k"] - 1, F.lit(0)))
+        scope = F.array_join(F.transform(before, lambda a, k: F.when(
+            a["gap"] & (k > 0) & (a["t"] != ".") & (F.element_at(before, F.greatest(k, F.lit(1)))["t"] != "."),
+            F.concat(F.lit(" "), a["t"])).otherwise(a["t"])), "")
+        expr = F.when(c["scoped"], c["start"]).otherwise(F.struct(c["k"].alias("k"), c["pos"].alias("pos"), c["line"].alias("line")))
+        return F.struct(
+            c["name"].alias("name"), F.when(c["scoped"], F.nullif(scope, F.lit(""))).alias("scope"), token_text(inside).alias("args"),
+            F.transform(parts, token_text).alias("arg_texts"), c["pos"].alias("call_pos"),
+            c["args_closed"]["pos"].alias("close_pos"), expr["pos"].alias("file_pos"), expr["line"].alias("line"),
+            F.coalesce(F.startswith(scope, F.lit("new ")) & ~scope.rlike(r"[()\[\]{}]") & c["scoped"], F.lit(False)).alias("made"))
+    c = b.select(*FILE, "block", F.explode(F.transform("calls", one)).alias("c")).select(*FILE, "block", "c.*") \
+        .where(~F.col("made")).drop("made")
     key = ["repo_id", "path", "class_fqn", "method_name", "method_ordinal"]
-    b = bodies.select("repo_id", "path", "class_fqn", F.col("name").alias("method_name"),
-                      F.col("ordinal").alias("method_ordinal"), "body", "body_masked", "body_offset", "body_line")
-    c = b.select("*", F.explode(spans(F.col("body_masked"), CALL_RX)).alias("s"))
-    name = F.regexp_extract(F.col("s.text"), r"^([\w$]+)", 1)
-    prefix = F.substr(F.col("body_masked"), F.lit(1), F.col("s.start") - 1)
-    is_new = prefix.rlike(WB_L + r"new\s*$") | prefix.rlike(r"new\s+[\w$.]*\.\s*$")
-    scope_dot = F.regexp_extract(prefix, SCOPE_RX, 1)
-    scope = F.regexp_replace(F.regexp_replace(scope_dot, r"\s*\.\s*$", ""), r"\s+", "")
-    c = c.select(*key, "body", "body_masked", "body_offset", "body_line", name.alias("name"),
-                 F.when(scope == "", F.lit(None)).otherwise(scope).alias("scope_masked"),
-                 F.length(scope_dot).alias("scope_len"),
-                 (F.col("s.start") + F.col("s.len") - 1).alias("paren_pos"),
-                 F.col("s.start").alias("call_pos"), is_new.alias("is_new"))
-    c = c.where(~F.col("name").isin(*NOT_CALLS) & ~F.col("is_new"))
-    parens = pair_brackets(b, key, "body_masked", "(", ")")
-    c = c.join(parens.select(*key, F.col("open_pos").alias("paren_pos"), "close_pos"), key + ["paren_pos"], "left")
-    args_len = F.col("close_pos") - F.col("paren_pos") - 1
-    args = F.substr(F.col("body"), F.col("paren_pos") + 1, args_len)
-    args_m = F.substr(F.col("body_masked"), F.col("paren_pos") + 1, args_len)
-    scope_orig = F.when(F.col("scope_masked").isNotNull(), F.regexp_replace(F.regexp_replace(
-        F.substr(F.col("body"), F.col("call_pos") - F.col("scope_len"), F.col("scope_len")),
-        r"\s*\.\s*$", ""), r"\s+", ""))
-    expr_pos = F.col("call_pos") - F.col("scope_len")
-    line = F.col("body_line") + count_char(F.substr(F.col("body"), F.lit(1), expr_pos - 1), "\n")
-    c = c.select(*key, "name", scope_orig.alias("scope"), args.alias("args"), args_m.alias("args_masked"),
-                 "call_pos", "close_pos", (F.col("body_offset") + expr_pos - 1).alias("file_pos"),
-                 line.cast("int").alias("line"))
+    own = methods.select("repo_id", "path", "class_fqn", F.col("name").alias("method_name"), F.col("ordinal").alias("method_ordinal"),
+                         (F.col("body_start") - 1).alias("block")).select(*_file_key(), "*")
+    c = c.join(own, [*FILE, "block"]).drop(*FILE, "block")
     w = Window.partitionBy(*key).orderBy("close_pos", "call_pos")
-    return c.withColumn("ordinal", (F.row_number().over(w) - 1).cast("int")) \
-        .withColumn("arg_texts", split_args(F.col("args"), F.col("args_masked")))
-
-
-def split_args(args: Column, args_masked: Column) -> Column:
-    """Top-level arguments (original text).  The masked text is cut at brackets
-    and commas; a running depth and position over the pieces marks the commas
-    outside all brackets, so nesting and length are not limited."""
-    cut = r"[(){}\[\],]"
-    marks = F.zip_with(F.split(args_masked, cut, -1), F.regexp_extract_all(args_masked, F.lit(cut), 0),
-                       lambda g, m: F.struct(F.length(g).alias("n"), m.alias("m")))
-    zero = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("pos"), F.array().cast("array<int>").alias("commas"))
-
-    def step(a, x):
-        pos = (a["pos"] + x["n"] + 1).cast("int")
-        depth = a["depth"] + F.when(x["m"].isin("(", "[", "{"), 1).when(x["m"].isin(")", "]", "}"), -1).otherwise(0)
-        commas = F.when((x["m"] == ",") & (a["depth"] == 0), F.array_append(a["commas"], pos)).otherwise(a["commas"])
-        return F.struct(depth.cast("int").alias("depth"), pos.alias("pos"), commas.alias("commas"))
-    commas = F.aggregate(marks, zero, step, lambda a: a["commas"])
-    starts = F.concat(F.array(F.lit(0)), commas)
-    ends = F.concat(commas, F.array((F.length(args_masked) + 1).cast("int")))
-    parts = F.zip_with(starts, ends, lambda a, z: strip(F.substr(args, a + 1, z - a - 1)))
-    return F.filter(parts, lambda x: x != "")
+    return c.withColumn("ordinal", (F.row_number().over(w) - 1).cast("int"))
 
 
 # --------------------------------------------------------- name resolution
@@ -695,12 +794,14 @@ class JavaFacts:
     ``facts.bodies``, ``facts.locals``, ``facts.calls``).
 
     Every operator downstream reads several of these tables, so each is
-    persisted (memory and disk) the first time it is built: the file scan,
-    masking and regex extraction run once, not once per consumer.  A lost
-    cached block is recomputed from lineage.  ``save`` writes them as
+    kept the first time it is built: bodies and locals persist in memory and on
+    disk, the others are written by a reliable ``checkpoint()`` into
+    ``spark.checkpoint.dir``, which also keeps plans short and the tokens'
+    placement by file, so that no consumer shuffles them again.  ``save`` writes them as
     parquet tables partitioned by ``repo_id`` for reuse across jobs."""
 
-    PERSISTED = {"types", "fields", "methods", "bodies", "locals", "raw_calls", "calls"}
+    WRITTEN = {"tokens", "members", "types", "fields", "methods", "raw_calls", "calls"}
+    PERSISTED = {"bodies", "locals"}
 
     def __init__(self, files: DataFrame, persist: bool = True):
         self._files = files
@@ -712,9 +813,17 @@ class JavaFacts:
             df = build()
             if self._persist and name in self.PERSISTED:
                 df = df.persist(StorageLevel.MEMORY_AND_DISK)
+            elif self._persist and name in self.WRITTEN:
+                df = self._written(df)
             self._t[name] = df
         return self._t[name]
 
+    @staticmethod
+    def _written(df: DataFrame) -> DataFrame:
+        from srcframe.session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(df.sparkSession)
+        return df.checkpoint(eager=True)
+
     def memo(self, name: str, build) -> DataFrame:
         """A derived table, built once per fact set and written with a
         reliable ``checkpoint()`` into ``spark.checkpoint.dir``: consumers
@@ -722,11 +831,7 @@ class JavaFacts:
         and windows behind it) and a lost executor cannot lose them."""
         if name not in self._t:
             df = build()
-            if self._persist:
-                from srcframe.session import ensure_checkpoint_dir
-                ensure_checkpoint_dir(df.sparkSession)
-                df = df.checkpoint(eager=True)
-            self._t[name] = df
+            self._t[name] = self._written(df) if self._persist else df
         return self._t[name]
 
     def unpersist(self) -> None:
@@ -743,21 +848,29 @@ class JavaFacts:
     def files(self) -> DataFrame:
         return self._get("files", lambda: masked_files(self._files))
 
+    @property
+    def tokens(self) -> DataFrame:
+        return self._get("tokens", lambda: java_tokens(self._files))
+
+    @property
+    def members(self) -> DataFrame:
+        return self._get("members", lambda: java_members(self.tokens, self.files))
+
     @property
     def types(self) -> DataFrame:
-        return self._get("types", lambda: extract_types(self.files))
+        return self._get("types", lambda: extract_types(self.members))
 
     @property
     def classes(self) -> DataFrame:
-        return self._get("classes", lambda: self.types.drop("content", "masked", "decl"))
+        return self.types
 
     @property
     def fields(self) -> DataFrame:
-        return self._get("fields", lambda: extract_fields(self.types))
+        return self._get("fields", lambda: extract_fields(self.members, self.types, self.files))
 
     @property
     def methods(self) -> DataFrame:
-        return self._get("methods", lambda: extract_methods(self.types))
+        return self._get("methods", lambda: extract_methods(self.members, self.types))
 
     @property
     def bodies(self) -> DataFrame:
@@ -769,7 +882,7 @@ class JavaFacts:
 
     @property
     def raw_calls(self) -> DataFrame:
-        return self._get("raw_calls", lambda: extract_calls(self.bodies))
+        return self._get("raw_calls", lambda: extract_calls(self.tokens, self.methods))
 
     @property
     def calls(self) -> DataFrame:

@@ -202,13 +202,8 @@ def enclosing_class(calls: DataFrame, types: DataFrame) -> DataFrame:
     call.  A range join on (repo_id, path) with the position between the
     body's braces, then the type with the greatest start; calls outside any
     type are dropped (the reference skips them)."""
-    spans_ = types.select("repo_id", "path", F.col("class_fqn").alias("enclosing_fqn"),
-                          F.col("body_open").alias("_b0"))
-    # the body end of each type: its matching closing brace
-    from srcframe.operators.facts import pair_brackets
-    pairs = pair_brackets(types, ["repo_id", "path"], "masked", "{", "}") \
-        .select("repo_id", "path", F.col("open_pos").alias("_b0"), F.col("close_pos").alias("_b1"))
-    t = spans_.join(pairs, ["repo_id", "path", "_b0"])
+    t = types.select("repo_id", "path", F.col("class_fqn").alias("enclosing_fqn"), F.col("body_open").alias("_b0"),
+                     F.col("body_close").alias("_b1"))
     j = calls.join(t, ["repo_id", "path"]).where((F.col("file_pos") > F.col("_b0")) & (F.col("file_pos") < F.col("_b1")))
     w = Window.partitionBy("repo_id", "path", "file_pos").orderBy(F.col("_b0").desc())
     return j.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r", "_b0", "_b1")
