@@ -30,7 +30,6 @@ from __future__ import annotations
 import hashlib
 import itertools
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,8 +43,10 @@ from srcframe.llm.text import run_over
 from srcframe.session import Scratch
 
 BATCH_BYTES = 8 << 20
-KEEP_WORDS = 1 << 17
-KEEP_BYTES = 32 << 20
+KEEP_WORDS = 1 << 18
+KEEP_BYTES = 96 << 20
+LEARN = 1 << 14  # words aligned at once
+LINKS = 1 << 16  # links of a group that are written out
 MEASURES = ["n_a", "n_b", "n_groups", "n_links"]
 
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
@@ -84,58 +85,92 @@ class Aligner:
             if "▁" in p.lstrip("▁"):
                 raise ValueError(f"piece {p!r} reaches over a space, so words are not independent")
             self.b_bytes.append(bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode())
+        self.a_len = np.zeros(max(self.a_bytes) + 1, np.int64)
+        for i, x in self.a_bytes.items():
+            self.a_len[i] = len(x)
+        self.b_len = np.array([len(x) for x in self.b_bytes], np.int64)
         self.forget()
 
     def forget(self) -> None:
         self.number: dict[str, int] = {}
-        self.measures: list[tuple[int, int, int, int]] = []  # n_a -1: bytes differ
+        self.measures = np.zeros((0, 4), np.int64)  # n_a -1: bytes differ
         self.groups: list[str] = []
-        self.pairs: list[np.ndarray] = []
-        self.times: list[np.ndarray] = []
+        self.pairs = self.times = np.zeros(0, np.int64)  # of all words, one after the other
+        self.offset = np.zeros(1, np.int64)
         self.size = 0
 
     def learn(self, words: list[str]) -> None:
-        for at in range(0, len(words), 4096):
-            part = words[at:at + 4096]
-            first = self.a.encode_batch_fast([" " + w for w in part], add_special_tokens=False)
-            second = self.b.encode(part, num_threads=1)
-            for w, x, y in zip(part, first, second, strict=True):
-                self._add(w, x.ids, y)
-
-    def _add(self, word: str, a: list[int], b: list[int]) -> None:
-        self.number[word] = len(self.measures)
-        spelled = b" " + word.encode()
-        a_text, b_text = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        if b"".join(a_text) != spelled or b"".join(b_text) != spelled:
-            self.measures.append((-1, 0, 0, 0))
-            self.groups.append("")
-            self.pairs.append(np.zeros(0, np.int64))
-            self.times.append(np.zeros(0, np.int64))
+        for at in range(0, len(words), LEARN):
+            part = words[at:at + LEARN]
+            a = [e.ids for e in self.a.encode_batch_fast([" " + w for w in part], add_special_tokens=False)]
+            b = self.b.encode(part, num_threads=1)
+            spelled = [b" " + w.encode() for w in part]
+            right = [b"".join([self.a_bytes[i] for i in x]) == s and b"".join([self.b_bytes[i] for i in y]) == s
+                     for x, y, s in zip(a, b, spelled, strict=True)]
+            good = [k for k, r in enumerate(right) if r]
+            wrong = [k for k, r in enumerate(right) if not r]
+            self._add([part[k] for k in good], [a[k] for k in good], [b[k] for k in good])
+            first = len(self.measures)
+            self.number.update((part[k], first + n) for n, k in enumerate(wrong))
+            self.measures = np.concatenate([self.measures, np.tile([-1, 0, 0, 0], (len(wrong), 1))])
+            self.groups += [""] * len(wrong)
+            self.offset = np.concatenate([self.offset, np.full(len(wrong), self.offset[-1])])
+            self.size += sum(map(len, spelled)) + 200 * len(part)
+
+    def _add(self, words: list[str], a: list[list[int]], b: list[list[int]]) -> None:
+        """Align all the words at once: laid end to end, every word's end is a cut."""
+        first = len(self.measures)
+        self.number.update((w, first + k) for k, w in enumerate(words))
+        if not words:
             return
-        groups, links, text = 0, Counter(), []
-        i = j = a_end = b_end = a_from = b_from = n_links = 0
-        while i < len(a) or j < len(b):
-            if a_end <= b_end and i < len(a):
-                a_end += len(a_text[i])
-                i += 1
-            else:
-                b_end += len(b_text[j])
-                j += 1
-            if a_end == b_end:
-                left, right = a[a_from:i], b[b_from:j]
-                groups += 1
-                n_links += len(left) * len(right)
-                text.append(",".join(map(str, left)) + "|" + ",".join(map(str, right)))
-                right_counts = Counter(right).items()
-                for x, m in Counter(left).items():
-                    for y, n in right_counts:
-                        links[x * self.width + y] += m * n
-                a_from, b_from = i, j
-        self.measures.append((len(a), len(b), groups, n_links))
-        self.groups.append(";".join(text))
-        self.pairs.append(np.fromiter(links.keys(), np.int64, len(links)))
-        self.times.append(np.fromiter(links.values(), np.int64, len(links)))
-        self.size += len(spelled) + len(self.groups[-1]) + 16 * len(links) + 300
+        n_a, n_b = np.array([len(x) for x in a]), np.array([len(x) for x in b])
+        x = np.fromiter(itertools.chain.from_iterable(a), np.int64, int(n_a.sum()))
+        y = np.fromiter(itertools.chain.from_iterable(b), np.int64, int(n_b.sum()))
+        x_end, y_end = np.cumsum(self.a_len[x]), np.cumsum(self.b_len[y])
+        cut = np.intersect1d(x_end, y_end, assume_unique=True)
+        x_group, y_group = np.searchsorted(cut, x_end), np.searchsorted(cut, y_end)
+        left, right = np.bincount(x_group), np.bincount(y_group)
+        x_from, y_from = np.cumsum(left) - left, np.cumsum(right) - right
+        word = np.repeat(np.arange(len(words)), n_a)[x_from]  # of a group
+        linked = left * right
+        bounds = np.searchsorted(word, np.arange(len(words) + 1))
+        total = np.concatenate([[0], np.cumsum(linked)])
+        self.measures = np.concatenate([self.measures, np.stack(
+            [n_a, n_b, np.diff(bounds), total[bounds[1:]] - total[bounds[:-1]]], 1)])
+
+        # pairs: of usual groups all links at once, of enormous ones by distinct ids
+        usual = np.flatnonzero(linked <= LINKS)
+        group = np.repeat(usual, linked[usual])
+        r = np.arange(len(group)) - np.repeat(np.cumsum(linked[usual]) - linked[usual], linked[usual])
+        pair = x[x_from[group] + r // right[group]] * self.width + y[y_from[group] + r % right[group]]
+        keys, times = [word[group] << 40 | pair], [np.ones(len(pair), np.int64)]
+        for g in np.flatnonzero(linked > LINKS).tolist():
+            p, m = np.unique(x[x_from[g]:x_from[g] + left[g]], return_counts=True)
+            q, n = np.unique(y[y_from[g]:y_from[g] + right[g]], return_counts=True)
+            keys.append(word[g] << 40 | (p[:, None] * self.width + q).ravel())
+            times.append((m[:, None] * n).ravel())
+        key, at = np.unique(np.concatenate(keys), return_inverse=True)
+        count = np.zeros(len(key), np.int64)
+        np.add.at(count, at, np.concatenate(times))
+        ends = np.searchsorted(key >> 40, np.arange(1, len(words) + 1))
+        self.offset = np.concatenate([self.offset, self.offset[-1] + ends])
+        self.pairs = np.concatenate([self.pairs, key & ((1 << 40) - 1)])
+        self.times = np.concatenate([self.times, count])
+
+        # text of the groups: ids and the signs behind them in the order of the text
+        ids, sign = np.empty(len(x) + len(y), np.int64), np.empty(len(x) + len(y), np.int64)
+        x_at = np.arange(len(x)) + y_from[x_group]
+        y_at = np.arange(len(y)) + (x_from + left)[y_group]
+        ids[x_at], ids[y_at] = x, y
+        sign[x_at] = np.append(x_group[1:] != x_group[:-1], True)
+        sign[y_at] = np.append(y_group[1:] != y_group[:-1], True) * 2
+        mixed = [""] * (2 * len(ids))
+        mixed[::2] = map(str, ids.tolist())
+        mixed[1::2] = map(",|;".__getitem__, sign.tolist())
+        stop = (2 * np.cumsum(n_a + n_b)).tolist()
+        text = ["".join(mixed[i:j - 1]) for i, j in zip([0, *stop], stop, strict=False)]
+        self.groups += text
+        self.size += sum(map(len, text)) + 16 * len(key)
 
     def batch(self, texts: list[str], copies: np.ndarray) -> dict:
         """Columns of a batch (lists) for its non-empty texts."""
@@ -149,7 +184,7 @@ class Aligner:
         ids = np.fromiter(map(self.number.__getitem__, itertools.chain.from_iterable(words)), np.int64, int(counts.sum()))
         bounds = np.concatenate([[0], np.cumsum(counts)])
         used, word = np.unique(ids, return_inverse=True)
-        measures = np.array([self.measures[u] for u in used.tolist()], np.int64).reshape(-1, 4)
+        measures = self.measures[used]
         wrong = np.add.reduceat(measures[word, 0] < 0, bounds[:-1]) > 0
         totals = {m: np.where(wrong, 0, np.add.reduceat(measures[word, k], bounds[:-1])) for k, m in enumerate(MEASURES)}
         groups = ["" if bad else hashlib.sha256(";".join([self.groups[i] for i in ids[x:y].tolist()]).encode()).hexdigest()
@@ -160,17 +195,14 @@ class Aligner:
         right = ~wrong[doc]
         seen, often = np.unique(doc[right] * len(used) + word[right], return_counts=True)
         doc, word = np.divmod(seen, max(len(used), 1))
-        length = np.array([len(self.pairs[u]) for u in used.tolist()], np.int64)
-        offset = np.concatenate([[0], np.cumsum(length)])
         none = np.zeros(0, np.int64)
-        flat = np.concatenate([self.pairs[u] for u in used.tolist()] or [none])
-        times = np.concatenate([self.times[u] for u in used.tolist()] or [none])
-        pairs, number = np.unique(flat, return_inverse=True)
-        n = length[word]
-        at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(offset[word], n)
-        key = np.repeat(doc, n) * max(len(pairs), 1) + number[at]
+        start = self.offset[used[word]]
+        n = self.offset[used[word] + 1] - start
+        at = np.arange(int(n.sum())) + np.repeat(start - np.cumsum(n) + n, n)
+        pairs, number = np.unique(self.pairs[at], return_inverse=True)
+        key = np.repeat(doc, n) * max(len(pairs), 1) + number
         order = np.argsort(key, kind="stable")
-        key, linked = key[order], (times[at] * np.repeat(often, n))[order]
+        key, linked = key[order], (self.times[at] * np.repeat(often, n))[order]
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else none
         linked = np.add.reduceat(linked, first) if len(key) else none
         doc, number = np.divmod(key[first], max(len(pairs), 1))
