@@ -16,7 +16,7 @@ match the empty string, which ``validate_patterns`` enforces.
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,6 +64,7 @@ class Pattern:
     body: str
     bounded: bool = False
     case_insensitive: bool = False
+    nullable: bool = False  # may match the empty string: set by ``validate_patterns``
 
     @property
     def java(self) -> str:
@@ -106,28 +107,33 @@ def flagship_catalog() -> list[Pattern]:
     ] + default_catalog()
 
 
+#: signs of a pattern that may match without taking a character
+ZERO_WIDTH = re.compile(r"\(\?<?[=!]|\\[bBAZzG]|[\^$]")
+
+
+def checked_patterns(spark: SparkSession, patterns: list[Pattern]) -> tuple[list[Pattern], list[tuple[str, str]]]:
+    """D1: patterns that compile on the JVM, and (name, reason) of those that do
+    not.  A pattern that may match the empty string stays: its empty matches are
+    left out, its others count."""
+    compiler = spark._jvm.java.util.regex.Pattern
+    good, bad = [], []
+    for p in patterns:
+        try:
+            empty = compiler.compile(p.java).matcher("").find()
+            good.append(replace(p, nullable=empty or (not p.bounded and ZERO_WIDTH.search(p.body) is not None)))
+        except Exception as e:  # the reason goes into the warning row
+            bad.append((p.name, str(getattr(e, "java_exception", e)).splitlines()[0]))
+    return good, bad
+
+
+def pattern_warnings(spark: SparkSession, patterns: list[Pattern]) -> DataFrame:
+    """``(pattern, reason)``: a row per pattern that does not compile."""
+    return spark.createDataFrame(checked_patterns(spark, patterns)[1], "pattern string, reason string")
+
+
 def validate_patterns(spark: SparkSession, patterns: list[Pattern]) -> list[Pattern]:
-    """D1: drop, one by one, patterns that do not compile on the JVM or that
-    match the empty string (the position identity needs non-empty matches).
-    One tiny Spark job checks all; on failure each is checked alone."""
-    def probe(ps):
-        row = spark.range(1).select(*[F.regexp_like(F.lit(""), F.lit(p.java)).alias(f"p{i}")
-                                      for i, p in enumerate(ps)]).first()
-        return [not row[i] for i in range(len(ps))]
-    if not patterns:
-        return []
-    try:
-        ok = probe(patterns)
-        return [p for p, k in zip(patterns, ok) if k]
-    except Exception:
-        out = []
-        for p in patterns:
-            try:
-                if probe([p])[0]:
-                    out.append(p)
-            except Exception:
-                pass
-        return out
+    """The patterns that a scan can run (``pattern_warnings`` has the others)."""
+    return checked_patterns(spark, patterns)[0]
 
 
 FINDING = T.StructType([
@@ -142,6 +148,12 @@ def match_spans(line: Column, p: Pattern) -> Column:
     the split/extract identity in one ``aggregate`` pass."""
     from srcframe.operators.facts import spans
     rx = p.java
+    if p.nullable:  # matches between noncharacters, empty ones taken out, then positions without the signs
+        a, z = "\ufdd0", "\ufdd1"
+        marked = F.replace(F.regexp_replace(line, F.lit(rx), F.lit(f"{a}$0{z}")), F.lit(a + z), F.lit(""))
+        return F.transform(spans(marked, f"{a}[^{a}{z}]+{z}"), lambda x, k: F.struct(
+            F.lit(p.name).alias("finding_type"), (x["start"] - 2 * k).cast("int").alias("column_no"),
+            F.substr(x["text"], F.lit(2), F.length(x["text"]) - 2).alias("matched_text")))
     sp = F.transform(spans(line, rx), lambda x: F.struct(
         F.lit(p.name).alias("finding_type"), x["start"].alias("column_no"), x["text"].alias("matched_text")))
     return F.when(line.rlike(rx), sp).otherwise(F.array().cast(T.ArrayType(FINDING)))

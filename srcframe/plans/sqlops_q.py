@@ -353,18 +353,15 @@ def _sql_op_type(c: str) -> str:
             f"ELSE 'UNKNOWN' END")
 
 
-_RE2_TABLE = ("(?i)(?:\\b(?:FROM|JOIN|UPDATE|INTO)\\s+[`\\w$.]+(?:\\s+AS\\s+[`\\w$]+)?"
-              "|DELETE\\s+FROM\\s+[`\\w$.]+)")
-_RE2_TABLE_FB = "(?i)\\b(?:FROM|JOIN|UPDATE|INTO|TABLE)\\s+([a-zA-Z_]\\w*)\\b"
-
-
 def _sql_tables(c: str) -> tuple[str, str]:
-    clean = ("regexp_extract(replace(string_split_regex(trim(regexp_replace(x, "
-             "'(?i)^(?:DELETE\\s+FROM|FROM|JOIN|UPDATE|INTO)\\s+', '')), '(?i)\\s+AS\\s+')[1], '`', ''), "
-             "'([^.]*)$', 1)")
-    main = f"list_sort(list_distinct(list_transform(regexp_extract_all({c}, '{_RE2_TABLE}'), lambda x: {clean})))"
-    fb = f"list_sort(list_distinct(regexp_extract_all({c}, '{_RE2_TABLE_FB}', 1)))"
-    return main, fb
+    """Words that follow a keyword, without schema and backticks."""
+    w = f"regexp_extract_all({c}, '[\\w$.`]+|[^\\s\\w$.`]')"
+
+    def after(words: str) -> str:
+        at = f"list_filter(range(1, len({w})), lambda i: lower({w}[i]) in ({words}) and regexp_matches({w}[i + 1], '^[\\w$`]'))"
+        name = f"regexp_extract(replace({w}[i + 1], '`', ''), '([^.]*)$', 1)"
+        return f"list_sort(list_distinct(list_transform({at}, lambda i: {name})))"
+    return after("'from', 'join', 'update', 'into'"), after("'from', 'join', 'update', 'into', 'table'")
 
 
 _MAIN, _FB = _sql_tables("sql")
@@ -396,9 +393,7 @@ def q_sql_tables(spark, sf_dir):
 SELECT sql, array_to_string({_FB}, ',') AS tables FROM lits WHERE len({_MAIN}) = 0""")
 def q_sql_tables_fallback(spark, sf_dir):
     d = _sql_strings(spark, sf_dir)
-    main = F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all("sql", F.lit(X.TABLE_RX), 0),
-                                                     X._clean_table)))
-    return d.where(F.size(main) == 0).select("sql", F.array_join(X.sql_tables(F.col("sql")), ",").alias("tables"))
+    return d.where(F.size(X.named_after(F.col("sql"), X.TABLE_WORDS)) == 0).select("sql", F.array_join(X.sql_tables(F.col("sql")), ",").alias("tables"))
 
 
 @register("entity_endpoints", f"""WITH {JX},
