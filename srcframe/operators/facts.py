@@ -137,27 +137,6 @@ def count_char(text: Column, ch: str) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(ch), F.lit("")))
 
 
-def pair_brackets(df: DataFrame, key: list[str], text_col: str, open_: str, close: str) -> DataFrame:
-    """(key…, open_pos, close_pos, level) for every bracket pair in
-    ``text_col``.  The text splits into pieces at brackets; one row per
-    bracket, its position and depth are running sums over the text's rows
-    (a window per text, no array growth); at each level openers and
-    closers alternate, so ``lead`` pairs them."""
-    rx = "[" + "\\" + open_ + "\\" + close + "]"
-    z = F.zip_with(F.split(F.col(text_col), rx, -1), F.regexp_extract_all(F.col(text_col), F.lit(rx), 0),
-                   lambda a, b: F.struct(F.length(a).alias("n"), b.alias("ch")))
-    b = df.select(*key, F.posexplode(z).alias("i", "z")).select(*key, "i", "z.n", "z.ch")
-    w = Window.partitionBy(*key).orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    b = b.withColumn("pos", (F.sum(F.col("n") + 1).over(w)).cast("int")).where(F.col("ch").isNotNull())
-    b = b.withColumn("is_open", F.col("ch") == open_)
-    b = b.withColumn("d", F.sum(F.when(F.col("is_open"), 1).otherwise(-1)).over(w))
-    b = b.withColumn("level", F.when(F.col("is_open"), F.col("d")).otherwise(F.col("d") + 1))
-    w2 = Window.partitionBy(*key, "level").orderBy("pos")
-    return (b.withColumn("close_pos", F.lead("pos").over(w2))
-            .where(F.col("is_open"))
-            .select(*key, F.col("pos").alias("open_pos"), "close_pos", "level"))
-
-
 # ----------------------------------------------------------------- files
 
 def masked_files(files: DataFrame) -> DataFrame:
