@@ -174,7 +174,7 @@ def spring_data_repos(fx: JavaFacts) -> DataFrame:
     with the entity name (F22)."""
     c = fx.classes.where(F.exists(F.coalesce("interfaces", F.array().cast("array<string>")),
                                   X.is_repository_base))
-    return c.select("repo_id", "class_fqn", "name", "interfaces",
+    return c.select("repo_id", "path", "class_fqn", "name", "interfaces",
                     X.repo_entity_name(F.col("interfaces"), F.col("name")).alias("entity"))
 
 
@@ -182,8 +182,8 @@ def spring_data_ops(fx: JavaFacts) -> DataFrame:
     """F23 ``spring_data_ops``: per repository method with a known
     operation: SQL template naming entity and method; tables = entity plus
     the capitalised-word runs of the method name."""
-    r = spring_data_repos(fx).where(F.col("entity").isNotNull()).select("repo_id", "class_fqn", "entity")
-    m = fx.methods.join(r, ["repo_id", "class_fqn"]).select(
+    r = spring_data_repos(fx).where(F.col("entity").isNotNull()).select("repo_id", "path", "class_fqn", "entity")
+    m = fx.methods.join(r, ["repo_id", "path", "class_fqn"]).select(
         "repo_id", "class_fqn", F.col("name").alias("method_name"), F.col("ordinal").alias("method_ordinal"), "entity")
     op = X.op_type_from_method(F.col("method_name"))
     words = F.filter(F.regexp_extract_all(F.col("method_name"), F.lit(r"((?:[A-Z][a-z]+)+)"), 1),
@@ -304,25 +304,25 @@ def entity_schema(classes: DataFrame, fields: DataFrame) -> DataFrame:
     """F25 ``entity_schema``: entity fields with a PK mark (an ``@Id``
     annotation) and simple type; a synthetic ``id : long`` PK row for an
     entity without one."""
-    e = classes.where(is_entity(classes)).select("repo_id", "class_fqn", F.col("name").alias("entity"))
-    f = fields.join(e, ["repo_id", "class_fqn"]).select(
-        "repo_id", "entity", "ordinal", F.col("name").alias("field"),
+    e = classes.where(is_entity(classes)).select("repo_id", "path", "class_fqn", F.col("name").alias("entity"))
+    f = fields.join(e, ["repo_id", "path", "class_fqn"]).select(
+        "repo_id", "path", "entity", "ordinal", F.col("name").alias("field"),
         F.substring_index(F.coalesce("declared_type", F.lit("Object")), ".", -1).alias("type"),
         F.exists("annotations", lambda a: a.contains("@Id")).alias("is_pk"))
-    has_pk = f.groupBy("repo_id", "entity").agg(F.bool_or("is_pk").alias("_pk"))
-    synth = e.join(has_pk.where("_pk"), ["repo_id", "entity"], "left_anti").select(
-        "repo_id", "entity", F.lit(-1).alias("ordinal"), F.lit("id").alias("field"), F.lit("long").alias("type"),
+    has_pk = f.groupBy("repo_id", "path", "entity").agg(F.bool_or("is_pk").alias("_pk"))
+    synth = e.join(has_pk.where("_pk"), ["repo_id", "path", "entity"], "left_anti").select(
+        "repo_id", "path", "entity", F.lit(-1).alias("ordinal"), F.lit("id").alias("field"), F.lit("long").alias("type"),
         F.lit(True).alias("is_pk"))
-    return f.unionByName(synth)
+    return f.unionByName(synth).drop("path")
 
 
 def jpa_relation_edges(classes: DataFrame, fields: DataFrame) -> DataFrame:
     """F26 ``jpa_relation_edges``: entity field whose (element) type is an
     entity → edge with the arrow of its JPA annotation, or a collection
     edge."""
-    e = classes.where(is_entity(classes)).select("repo_id", "class_fqn", F.col("name").alias("src"))
+    e = classes.where(is_entity(classes)).select("repo_id", "path", "class_fqn", F.col("name").alias("src"))
     names = classes.where(is_entity(classes)).select("repo_id", F.col("name").alias("dst")).distinct()
-    f = fields.join(e, ["repo_id", "class_fqn"]).where(F.size("annotations") > 0)
+    f = fields.join(e, ["repo_id", "path", "class_fqn"]).where(F.size("annotations") > 0)
     simple = F.substring_index("declared_type", ".", -1)
     target = F.replace(F.regexp_replace(simple, r".*<", ""), F.lit(">"), F.lit(""))
     f = f.select("repo_id", "src", F.col("name").alias("field"), simple.alias("_simple"), target.alias("dst"),
