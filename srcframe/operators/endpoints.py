@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from srcframe.functions.text import annotation_attr
 from srcframe.operators.facts import JavaFacts
+from srcframe.operators.soap import soap_endpoints
 
 # Mapping annotations and their verbs.
 MAPPINGS = [("@GetMapping", "GET"), ("@PostMapping", "POST"), ("@PutMapping", "PUT"),
@@ -97,8 +98,8 @@ def request_param_details(params: Column) -> Column:
 def rest_endpoints(fx: JavaFacts) -> DataFrame:
     """G1 ``rest_endpoints``: one endpoint per mapping annotation of every
     method of a controller class (JSON media types by default)."""
-    ctl = fx.classes.where(F.lower("kind") == "controller").select("repo_id", "class_fqn")
-    m = fx.methods.join(ctl, ["repo_id", "class_fqn"], "left_semi")
+    ctl = fx.classes.where(F.lower("kind") == "controller").select("repo_id", "path", "class_fqn")
+    m = fx.methods.join(ctl, ["repo_id", "path", "class_fqn"], "left_semi")
     m = m.select("repo_id", "class_fqn", F.col("name").alias("method_name"), F.col("ordinal").alias("method_ordinal"),
                  "return_type", "params", "annotations", F.posexplode("annotations").alias("ann_no", "ann"))
     verb = None
@@ -122,56 +123,9 @@ def rest_endpoints(fx: JavaFacts) -> DataFrame:
         "method_ordinal", "ann_no")
 
 
-def soap_endpoints(fx: JavaFacts) -> DataFrame:
-    """G7 + G12 ``soap_endpoints``: methods of SOAP classes (kind soap or a
-    ``@WebService`` annotation) that carry a SOAP annotation, or every
-    method not excluded (``@WebMethod(exclude = true)``) of a
-    ``@WebService`` class.  Operation = ``operationName`` of
-    ``@WebMethod`` / ``localPart`` of ``@PayloadRoot``, else the method
-    name; namespace and service from the class annotation, overridden by
-    ``@PayloadRoot``.  K10: one row per (class, method, operation)."""
-    ws = F.filter("annotations", lambda a: F.startswith(a, F.lit("@WebService")))
-    cls = fx.classes.where((F.lower("kind") == "soap") | (F.size(ws) > 0)).select(
-        "repo_id", "class_fqn", (F.size(ws) > 0).alias("is_ws"),
-        F.try_element_at(ws, F.lit(1)).alias("ws_ann"))
-    m = fx.methods.join(cls, ["repo_id", "class_fqn"])
-
-    def first_attr(prefix, attr):
-        anns = F.filter("annotations", lambda a: F.startswith(a, F.lit(prefix)))
-        return F.try_element_at(F.filter(F.transform(anns, lambda a: annotation_attr(a, attr)),
-                                         lambda x: x.isNotNull() & (x != "")), F.lit(1))
-    soap_anns = ["@WebMethod", "@PayloadRoot", "@SoapAction", "@SOAPBinding", "@RequestWrapper",
-                 "@ResponseWrapper", "@WebResult"]
-    def any_soap(a):
-        c = None
-        for x in soap_anns:
-            t = F.startswith(a, F.lit(x))
-            c = t if c is None else (c | t)
-        return c
-    has_soap = F.exists("annotations", any_soap)
-    excluded = F.exists("annotations", lambda a: F.startswith(a, F.lit("@WebMethod"))
-                        & (F.lower(F.coalesce(annotation_attr(a, "exclude"), F.lit(""))) == "true"))
-    keep = (has_soap & ~excluded) | (F.col("is_ws") & ~excluded)
-    op = F.coalesce(first_attr("@PayloadRoot", "localPart"), first_attr("@WebMethod", "operationName"), F.col("name"))
-    ns = F.coalesce(first_attr("@PayloadRoot", "namespace"), annotation_attr(F.col("ws_ann"), "targetNamespace"))
-    out = m.where(keep).select(
-        "repo_id", F.lit("SOAP").alias("type"), "class_fqn", F.col("name").alias("method_name"),
-        F.concat_ws(".", "class_fqn", "name").alias("handler"), F.lit(None).cast("string").alias("http_method"),
-        F.lit(None).cast("string").alias("path"), F.array().cast("array<string>").alias("path_variables"),
-        F.array().cast("array<string>").alias("request_params"), F.lit(None).cast("string").alias("request_body_type"),
-        F.col("return_type").alias("response_body_type"), F.lit(None).cast("string").alias("http_status"),
-        F.lit(None).cast("map<string,map<string,string>>").alias("request_param_details"),
-        F.lit("application/soap+xml").alias("produces"), F.lit("application/soap+xml").alias("consumes"),
-        op.alias("operation_name"), ns.alias("target_namespace"),
-        annotation_attr(F.col("ws_ann"), "serviceName").alias("service_name"),
-        F.coalesce(first_attr("@WebMethod", "action"), first_attr("@SoapAction", "value")).alias("soap_action"),
-        F.col("ordinal").alias("method_ordinal"), F.lit(0).alias("ann_no"))
-    return out.dropDuplicates(["repo_id", "class_fqn", "method_name", "operation_name"])
-
-
 def endpoints(fx: JavaFacts) -> DataFrame:
     """All annotation endpoints (REST then SOAP)."""
-    return fx.memo("endpoints", lambda: rest_endpoints(fx).unionByName(soap_endpoints(fx)))
+    return fx.memo("endpoints", lambda: rest_endpoints(fx).unionByName(soap_endpoints(fx), allowMissingColumns=True))
 
 
 def endpoints_by_type(eps: DataFrame) -> DataFrame:

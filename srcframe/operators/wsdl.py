@@ -205,3 +205,87 @@ def wsdl_operation_details(files: DataFrame, xsd: DataFrame | None = None) -> Da
         out = out.withColumn("_e", local(F.col("request_element"))).join(known, ["repo_id", "_e"], "left") \
             .withColumn("request_element_defined", F.coalesce("request_element_defined", F.lit(False))).drop("_e")
     return out
+
+
+# ------------------------------------------------------- G20: schema imports
+
+IMPORT = "ARRAY<STRUCT<_namespace: STRING, _schemaLocation: STRING>>"
+IMPORT_SCHEMA = f"import {IMPORT}, include {IMPORT}, types STRUCT<schema: ARRAY<STRUCT<import: {IMPORT}, include: {IMPORT}>>>"
+
+
+def plain_path(path):
+    """Path without ``.`` and empty steps, ``..`` taken back; null if it leaves the root."""
+    def step(acc, x):
+        return (F.when(acc.isNull() | x.isin("", "."), acc)
+                .when((x == "..") & (F.size(acc) > 0), F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
+                .when(x == "..", F.lit(None)).otherwise(F.array_append(acc, x)))
+    return F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")
+
+
+def schema_imports(files: DataFrame) -> DataFrame:
+    """``import`` and ``include`` elements with a location, of the schemas in
+    WSDL and XSD files: ``(repo_id, path, ordinal, namespace, schema_location)``."""
+    both = files_of_kind(files, "wsdl").unionByName(files_of_kind(files, "xsd"))
+    d = dedupe_by_path(both).select("repo_id", "path", F.from_xml("content", IMPORT_SCHEMA, XML_OPTS).alias("d"))
+    none = F.array().cast("array<struct<_namespace: string, _schemaLocation: string>>")
+    of = lambda s: F.concat(F.coalesce(s["import"], none), F.coalesce(s["include"], none))
+    inner = F.coalesce(F.flatten(F.transform(F.col("d.types.schema"), of)), none)
+    found = F.filter(F.concat(of(F.col("d")), inner), lambda x: F.length(x["_schemaLocation"]) > 0)
+    return d.select("repo_id", "path", F.posexplode(found).alias("ordinal", "x")).select(
+        "repo_id", "path", "ordinal", F.nullif(F.col("x._namespace"), F.lit("")).alias("namespace"),
+        F.col("x._schemaLocation").alias("schema_location"))
+
+
+def xsd_import_resolve(files: DataFrame) -> DataFrame:
+    """G20 ``xsd_import_resolve``: every import with the schema file it names:
+    ``(repo_id, path, ordinal, namespace, schema_location, resolved_path,
+    matched, store_key)``.
+
+    Tried in order: the location as a path of the repository (``exact``);
+    relative to the importing file (``relative``); a file whose path ends with
+    the whole location, step by step (``suffix``; of several the first path).
+    ``store_key`` is the namespace, else the file's path; null if nothing is
+    found.  Files are keyed by each of their path suffixes, one row a key
+    after a partial aggregate, so this is one equi-join and a location that
+    many files share meets a single row."""
+    segs = F.split("path", "/")
+    keys = files_of_kind(files, "xsd").select("repo_id", "path", F.explode(F.transform(
+        F.sequence(F.lit(1), F.size(segs)), lambda i: F.struct(
+            F.array_join(F.slice(segs, i, F.size(segs)), "/").alias("key"), (i == 1).alias("whole")))).alias("k"))
+    keys = keys.groupBy("repo_id", F.col("k.key").alias("key")).agg(
+        F.min("path").alias("any_path"), F.max("k.whole").alias("whole"))
+    imports = schema_imports(files)
+    loc = F.col("schema_location")
+    folder = F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]*$", "/")).otherwise("")
+    tries = F.array(F.struct(F.lit("exact").alias("matched"), loc.alias("key")),
+                    F.struct(F.lit("relative").alias("matched"), plain_path(F.concat(folder, loc)).alias("key")),
+                    F.struct(F.lit("suffix").alias("matched"), F.regexp_replace(loc, r"^(\./)+", "").alias("key")))
+    own = ["repo_id", "path", "ordinal"]
+    t = imports.select(*own, F.posexplode(tries).alias("rank", "t")).select(*own, "rank", "t.*")
+    hit = t.join(keys, ["repo_id", "key"]).where(F.col("whole") | (F.col("matched") == "suffix"))
+    best = hit.groupBy(*own).agg(F.min_by(F.struct(
+        F.when(F.col("matched") == "suffix", F.col("any_path")).otherwise(F.col("key")).alias("resolved_path"), "matched"),
+        "rank").alias("b"))
+    return imports.join(best, own, "left").select(
+        *own, "namespace", "schema_location", F.col("b.resolved_path").alias("resolved_path"), F.col("b.matched").alias("matched"),
+        F.when(F.col("b").isNotNull(), F.coalesce("namespace", F.col("b.resolved_path"))).alias("store_key"))
+
+
+def xsd_import_closure(resolved: DataFrame) -> DataFrame:
+    """Schema files that a WSDL reaches over any number of imports:
+    ``(repo_id, root, path, depth)``, ``depth`` = fewest imports.  A level is
+    one join of the new rows with the resolved imports; rows seen before drop
+    out, so cycles end."""
+    edges = resolved.where(F.col("resolved_path").isNotNull()).select("repo_id", "path", F.col("resolved_path").alias("next")).distinct()
+    scratch = Scratch(resolved.sparkSession, "xsdimports")
+    edges = scratch.save(edges, "edges")
+    level = scratch.save(edges.where(F.lower("path").endswith(".wsdl")).select(
+        "repo_id", F.col("path").alias("root"), F.col("next").alias("path"), F.lit(1).alias("depth")), "level1")
+    seen, d = level, 1
+    while not level.isEmpty():
+        d += 1
+        new = level.join(edges, ["repo_id", "path"]).select("repo_id", "root", F.col("next").alias("path")).distinct() \
+            .join(seen.select("repo_id", "root", "path"), ["repo_id", "root", "path"], "left_anti")
+        level = scratch.save(new.withColumn("depth", F.lit(d)), f"level{d}")
+        seen = seen.unionByName(level)
+    return seen

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from srcframe.operators import endpoints as G
+from srcframe.operators.soap import jaxws_endpoints
 from srcframe.plans.facts_q import JX, facts
 from srcframe.plans.registry import register
+from srcframe.plans.soap_q import JAXWS_SOAP, METHODS, SX, soap_facts
 from srcframe.plans.sqlsnip import s
 
 EPX = """ep AS (
@@ -20,7 +22,8 @@ EPX = """ep AS (
   SELECT repo_id, 'REST', class_fqn, 'createItem', class_fqn || '.createItem', 'POST', '/items/' || ks, '', '',
          'Item' || k3, 'String', NULL, NULL, NULL, NULL FROM jc WHERE t = 0
   UNION ALL
-  SELECT repo_id, 'SOAP', class_fqn, 'getItem', class_fqn || '.getItem', NULL, NULL, '', '', NULL, 'String', NULL,
+  SELECT repo_id, 'SOAP', class_fqn, 'getItem', class_fqn || '.getItem', NULL,
+         'Item' || ks || 'Service/getItem' || ks, '', '', 'String', 'String', NULL,
          'getItem' || ks, 'urn:item' || ks, 'Item' || ks || 'Service' FROM jc WHERE t = 4)"""
 
 EP_COLS = ("repo_id, type, class_fqn, method_name, handler, http_method, path, path_variables, request_params, "
@@ -57,11 +60,16 @@ def q_soap_endpoints(spark, sf_dir):
 
 
 @register("jaxws_endpoints", f"""WITH {JX},
-{EPX}
-SELECT repo_id, class_fqn, method_name, operation_name, target_namespace, service_name FROM ep WHERE type = 'SOAP'""")
+{EPX},
+{SX},
+{METHODS}
+SELECT repo_id, class_fqn, method_name, operation_name, target_namespace, service_name FROM ep WHERE type = 'SOAP'
+UNION ALL
+{JAXWS_SOAP}""")
 def q_jaxws_endpoints(spark, sf_dir):
-    return G.soap_endpoints(facts(spark, sf_dir)).select(
-        "repo_id", "class_fqn", "method_name", "operation_name", "target_namespace", "service_name")
+    rows = [jaxws_endpoints(fx).select("repo_id", "class_fqn", "method_name", "operation_name", "target_namespace", "service_name")
+            for fx in (facts(spark, sf_dir), soap_facts(spark, sf_dir))]
+    return rows[0].unionByName(rows[1])
 
 
 @register("endpoints_by_type", f"""WITH {JX},

@@ -447,3 +447,76 @@ def xsd_files(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.concat(F.lit("src/main/resources/xsd/supplier"), s_, F.lit(".xsd")).alias("path"),
                      F.lit("xsd").alias("ext"), content.alias("content"))
     return out.withColumn("size", F.length("content").cast("long")).select("repo_id", "path", "ext", "size", "content")
+
+
+def soap_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host W: SOAP sources, one or two Java files per part in repository
+    ``soap<k % 5>``.  By ``k % 6``: 0 and 1 an implementation in module
+    ``impl`` with its interface in module ``api`` (named in full, or by a
+    simple name and an import); 2 a BARE service with headers; 3 a WRAPPED
+    one; 4 a Spring-WS endpoint; 5 a configuration with a WSDL definition
+    bean (no namespace where the size is a multiple of 3)."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("s"))
+    k = F.col("k").cast("string")
+    service = _j('targetNamespace = "urn:impl', k, '", serviceName = "Svc', k, 'Service"')
+    head = _j("package com.acme.impl;\n\nimport com.acme.api.Port", k, ";\nimport javax.jws.*;\n\n")
+    api = _j("package com.acme.api;\n\nimport javax.jws.*;\n\n")
+    impl0 = _j(head, '@Service\n@WebService(endpointInterface = "com.acme.api.Port', k, '", portName = "P', k, '", ', service,
+               ")\npublic class Svc", k, " {\n    public String find(String id, int n) { return id; }\n}\n")
+    sei0 = _j(api, '@WebService(targetNamespace = "urn:api', k, '", name = "Port', k, 'Type")\npublic interface Port', k,
+              ' {\n    @WebMethod(operationName = "find', k, '")\n    @RequestWrapper(localName = "find", className = "com.acme.api.Find',
+              k, '")\n    String find(String id, int n);\n}\n')
+    impl1 = _j(head, '@WebService(endpointInterface = "Port', k, '", ', service, ")\npublic class Svc", k,
+               " {\n    public String find(String id) { return id; } public String find(String id, int n) { return id; }\n}\n")
+    sei1 = _j(api, '@WebService(serviceName = "Api', k, '")\npublic interface Port', k, ' {\n    @WebMethod(operationName = "one', k,
+              '") String find(String id);\n    @WebMethod(operationName = "two', k, '") String find(String id, int n);\n}\n')
+    bare = _j(head, "@WebService(", service, ")\n@SOAPBinding(style = SOAPBinding.Style.DOCUMENT, parameterStyle = "
+              "SOAPBinding.ParameterStyle.BARE)\npublic class Svc", k, ' {\n    @WebMethod\n    public Reply', k,
+              ' put(@WebParam(name = "auth", header = true) Token auth, Map<String, Order', k, '> orders) { return null; }\n'
+              '    @WebMethod\n    @WebResult(name = "trace", header = true)\n    public Trace del(@WebParam(header = true, '
+              'name = "x", partName = "p") A a, @WebParam(header = true, name = "p") B b, C c) { return null; }\n}\n')
+    wrapped = _j(head, "@WebService(", service, ")\npublic class Svc", k, " {\n    @WebMethod public void save(Order", k,
+                 " o) { }\n    @WebMethod @WebResult(header = true) public String ask(String q, int n) { return q; }\n"
+                 "    @WebMethod public int one(@WebParam(header = true) Token t) { return 1; }\n}\n")
+    spring = _j(head, "@Endpoint\npublic class Svc", k, ' {\n    @PayloadRoot(namespace = "urn:pay', k, '", localPart = "Pay', k,
+                '")\n    public Ack pay(@RequestPayload Pay', k, ' p, @SoapHeader("{urn:h}sig', k, '") Sig s) { return null; }\n}\n')
+    bean = _j(head, "@Configuration\npublic class Svc", k, " {\n    @Bean(name = \"w\")\n    public DefaultWsdl11Definition orders", k,
+              "() {\n        DefaultWsdl11Definition made = new DefaultWsdl11Definition();\n"
+              "        DefaultWsdl11Definition other = new DefaultWsdl11Definition();\n"
+              '        other.setLocationUri("/trap");\n        made.setPortTypeName("Early");\n        made.setPortTypeName("Orders', k,
+              '");\n        made.setLocationUri(BASE);\n        DefaultWsdl11Definition last = made;\n',
+              F.when(F.col("s") % 3 == 0, F.lit('        last.setLocationUri("/ws");\n')).otherwise(
+                  _j('        last.setTargetNamespace("urn:w', k, '");\n')),
+              "        return last;\n    }\n}\n")
+    content = F.when(F.col("k") % 6 == 0, impl0)
+    for i, x in enumerate((impl1, bare, wrapped, spring, bean), 1):
+        content = content.when(F.col("k") % 6 == i, x)
+    repo = F.concat(F.lit("soap"), (F.col("k") % 5).cast("string")).alias("repo_id")
+    impl = p.select(repo, F.concat(F.lit("impl/src/com/acme/impl/Svc"), k, F.lit(".java")).alias("path"), content.alias("content"))
+    sei = p.where(F.col("k") % 6 < 2).select(
+        repo, F.concat(F.lit("api/src/com/acme/api/Port"), k, F.lit(".java")).alias("path"),
+        F.when(F.col("k") % 6 == 0, sei0).otherwise(sei1).alias("content"))
+    return impl.unionByName(sei).select("repo_id", "path", F.lit("java").alias("ext"),
+                                        F.length("content").cast("long").alias("size"), "content")
+
+
+def schema_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host Y: a WSDL and a schema per supplier ``s`` in repository ``xs<s % 5>``.
+    The WSDL names the schema by a path suffix, a schema that doesn't exist
+    and (in a comment) one that must not count.  Schemas ``t<s>`` import the
+    next of their repository, four to a ring (the fourth names the first, by
+    a relative path), so imports have cycles; some rings are cut off."""
+    p = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("s"))
+    s_ = F.col("s").cast("string")
+    place = F.floor(F.col("s") / 5) % 4
+    nxt = F.when(place < 3, F.col("s") + 5).otherwise(F.col("s") - 15).cast("string")
+    repo = F.concat(F.lit("xs"), (F.col("s") % 5).cast("string")).alias("repo_id")
+    wsdl = _j('<definitions xmlns="http://schemas.xmlsoap.org/wsdl/" xmlns:xs="http://www.w3.org/2001/XMLSchema">\n<types><xs:schema>\n'
+              '<!-- <xs:import schemaLocation="t1.xsd"/> -->\n<xs:import namespace="urn:t', s_, '" schemaLocation="types/t', s_,
+              '.xsd"/>\n<xs:import schemaLocation="missing', s_, '.xsd"/>\n</xs:schema></types>\n</definitions>\n')
+    xsd = _j('<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema" targetNamespace="urn:t', s_, '">\n',
+             F.when(place == 2, _j('<xs:include schemaLocation="../types/t', nxt, '.xsd"/>\n')).otherwise(
+                 _j('<xs:import namespace="urn:t', nxt, '" schemaLocation="t', nxt, '.xsd"/>\n')), '</xs:schema>\n')
+    a = p.select(repo, F.concat(F.lit("svc/s"), s_, F.lit("/main.wsdl")).alias("path"), F.lit("wsdl").alias("ext"), wsdl.alias("content"))
+    b = p.select(repo, F.concat(F.lit("src/main/resources/xsd/types/t"), s_, F.lit(".xsd")).alias("path"), F.lit("xsd").alias("ext"), xsd.alias("content"))
+    return a.unionByName(b).withColumn("size", F.length("content").cast("long")).select("repo_id", "path", "ext", "size", "content")
