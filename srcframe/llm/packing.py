@@ -11,7 +11,8 @@ shuffled, never tokens.
 
 Token ids are those of the tokenizer on the whole text.  Its rules split at white
 space and drop it, so a text is the sequence of its words: the ids of a word are
-looked up in a bounded cache, and new words are encoded in batches.
+looked up in a bounded cache, and new words are encoded in batches.  Between
+tasks a Python worker holds 65,536 words (some 16 MB).
 
 Rules: null text is empty: only the end id.  Repeated rows are packed each; rows
 without id have a null doc_id.  Empty table: no piece.
@@ -19,9 +20,11 @@ without id have a null doc_id.  Empty table: no piece.
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +39,7 @@ SIZE = 4096
 OPEN = 64
 END_ID = 2
 CACHE_WORDS = 1 << 19
+KEPT_WORDS = 1 << 16  # that a Python worker holds between tasks
 GROUP = 64  # partitions whose leftovers are packed together
 
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
@@ -46,44 +50,77 @@ class WordTokens:
     """Ids of a text as bytes of unsigned 32-bit numbers, word by word.
 
     The cache has two generations of ``limit`` words: when the young one is full
-    it becomes the old one, and words met again move over."""
-
-    TAIL = b".,;:!?|$%&*#"  # ends of words that are tokens of their own behind a letter or digit
+    it becomes the old one, and words met again move over.  A new word of ASCII
+    and Latin-1 letters is cut where the tokenizer's own rule cuts it (letters,
+    single digits, other signs, short endings); its pieces are encoded many at a
+    time, without the rules, which such a piece passes unchanged but for its
+    case.  A piece ends at the token that ends a word.  Other words take the
+    whole tokenizer, and so do texts that spell one of its added tokens."""
+
+    # The letters of Latin-1 in UTF-8, and the tokenizer's rule on them.
+    LATIN = rb"\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]"
+    PLAIN = re.compile(rb"(?:[\x00-\x7f]|" + LATIN + rb")*")
+    PIECE = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|(?:[a-z]|" + LATIN + rb")+|[0-9]|[^a-z0-9\xc3\x80-\xbf]+")
 
     def __init__(self, path: str, limit: int = CACHE_WORDS):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        self.bare = Tokenizer.from_file(path)
+        self.bare.normalizer = None
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([
+            pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.added = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
     def _encode(self, words: list[bytes]) -> None:
+        """Words by the whole tokenizer."""
         for a in range(0, len(words), 4096):
             part = words[a:a + 4096]
             for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False),
                             strict=True):
                 self.known[w] = np.array(e.ids, "<u4").tobytes()
 
+    def _encode_pieces(self, pieces: list[bytes]) -> None:
+        for a in range(0, len(pieces), 256):
+            part = pieces[a:a + 256]
+            ids = np.array(self.bare.encode(b" ".join(part).decode().lower(), add_special_tokens=False).ids, "<u4")
+            to = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+            if len(to) != len(part):
+                raise ValueError("a piece of a word is not one piece to the tokenizer")
+            raw, at = ids.tobytes(), 0
+            for p, z in zip(part, to.tolist(), strict=True):
+                self.known[p] = raw[at:z]
+                at = z
+
     def _learn(self, words: set[bytes]) -> None:
         """Make all of ``words`` known."""
-        known, old = self.known, self.old
-        split, new = {}, set()
+        known, old, plain, find = self.known, self.old, self.PLAIN.fullmatch, self.PIECE.findall
+        cut, whole, pieces = {}, [], set()
         for w in words:
             if w in old:
                 known[w] = old[w]
-                continue
-            core = w.rstrip(self.TAIL)
-            if core != w and core and core[-1:].isalnum():
-                split[w] = core, w[len(core):]
-                new.update(x for x in split[w] if x not in known and x not in old)
+            elif w.isalpha():
+                pieces.add(w)
+            elif plain(w):
+                cut[w] = find(w)
+                pieces.update(cut[w])
             else:
-                new.add(w)
-        self._encode(sorted(new))
-        for w, parts in split.items():
-            known[w] = b"".join(known.get(x) or old[x] for x in parts)
+                whole.append(w)
+        self._encode(sorted(whole))
+        self._encode_pieces(sorted(p for p in pieces if p not in known and p not in old))
+        for w, parts in cut.items():
+            known[w] = b"".join([known.get(x) or old[x] for x in parts])
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
-        split = [t.lower().split() if t else [] for t in texts]
-        words = {w for x in split for w in x}
+        end = np.array([END_ID], "<u4").tobytes()
+        split = [t.lower() if t else b"" for t in texts]
+        spelled = {i for i, t in enumerate(split) if any(x in t for x in self.added)}
+        split = [t.split() if i not in spelled else [] for i, t in enumerate(split)]
+        words = set().union(*split)
         new = words.difference(self.known)
         if len(self.known) + len(new) > self.limit:
             self.known, self.old = {}, self.known
@@ -91,8 +128,15 @@ class WordTokens:
         if new:
             self._learn(new)
         get = self.known.__getitem__
-        end = np.array([END_ID], "<u4").tobytes()
-        return [b"".join(map(get, x)) + end for x in split]
+        out = [b"".join(map(get, x)) + end for x in split]
+        for i in spelled:
+            ids = self.tokenizer.encode(texts[i].decode(), add_special_tokens=False).ids
+            out[i] = np.array(ids, "<u4").tobytes() + end
+        return out
+
+    def rest(self) -> None:
+        """Between tasks only the first ``KEPT_WORDS`` learnt stay, most of them frequent."""
+        self.known, self.old = dict(islice(self.known.items(), KEPT_WORDS)), {}
 
 
 _TOKENS: dict[str, WordTokens] = {}  # of this Python worker, for all its tasks
@@ -184,6 +228,7 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = SIZE, open_windows: i
                 if len(packer.out) > 256:
                     yield rows(packer.out, False)
                     packer.out = []
+        tokens.rest()
         left = packer.close()
         yield rows(packer.out, False)
         if left:
