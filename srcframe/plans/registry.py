@@ -28,5 +28,5 @@ def register(name: str, oracle: str | None = None):
 
 def load_all() -> None:
     """Import every plan module so that its queries register."""
-    from srcframe.plans import (callgraph_q, endpoints_q, facts_q, javalogs_q, logs_q,  # noqa: F401
+    from srcframe.plans import (callgraph_q, diagrams_q, endpoints_q, facts_q, javalogs_q, logs_q,  # noqa: F401
                                 project_q, scalars_q, sensitive_q, soap_q, sqlops_q, structure_q, wsdl_q)
