@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import pickle
 from collections.abc import Callable, Iterator
 
@@ -57,19 +58,44 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, held:
     return pd.DataFrame({"doc_id": [], "text": [], "y": []}) if found is None else _sorted(found.toPandas()), sizes
 
 
-def fitted(docs: DataFrame, labels: DataFrame, label: str, per_class: int, fit: Callable):
+SAMPLE_BYTES = 16 << 20  # of text in a sample, per class
+
+
+class _Within:
+    """Rows of least ``order`` whose texts take at most ``limit`` bytes together
+    (or the first row), of rows that come one by one in any order."""
+
+    def __init__(self, limit: int):
+        self.limit, self.heap, self.size, self.n = limit, [], 0, 0
+
+    def add(self, order: int, row: tuple) -> None:
+        size = len(row[1].encode()) if row[1] else 0
+        self.n += 1
+        heapq.heappush(self.heap, (-order, -(row[0] or 0), -self.n, size, row))
+        self.size += size
+        while self.size > self.limit and len(self.heap) > 1:
+            self.size -= heapq.heappop(self.heap)[3]
+
+
+def fitted(docs: DataFrame, labels: DataFrame, label: str, per_class: int, fit: Callable,
+           max_bytes: int = SAMPLE_BYTES):
     """``fit(texts, y, sizes)`` on the sample, in one task of an executor: its
-    texts and work do not burden the driver, which gets the model only."""
+    texts and work do not burden the driver, which gets the model only.  Of
+    either class the documents that come first by the hash of their id are
+    taken, ``per_class`` at most and ``max_bytes`` of text."""
     found, sizes = rows(docs, labels, label, per_class)
     if found is None:
         return fit([], np.zeros(0), sizes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [t.to_pandas() for t in batches]
-        few = _sorted(pd.concat(got)) if got else pd.DataFrame({"text": [], "y": []})
+        kept = {0: _Within(max_bytes), 1: _Within(max_bytes)}
+        for t in batches:
+            for order, *row in zip(*(t.column(c).to_pylist() for c in ("order", "doc_id", "text", "y")), strict=True):
+                kept[row[2]].add(order, tuple(row))
+        few = _sorted(pd.DataFrame([x[4] for k in kept.values() for x in k.heap], columns=["doc_id", "text", "y"]))
         model = fit(few["text"].tolist(), few["y"].to_numpy().astype(float), sizes)
         yield pa.record_batch({"model": pa.array([pickle.dumps(model)], pa.binary())})
 
-    one = found.repartition(1)  # 2 * per_class rows at most
+    one = found.withColumn("order", F.xxhash64("doc_id")).repartition(1)  # 2 * per_class rows at most
     made = one.mapInArrow(run, "model binary").collect()  # no row if none of the documents is there
     return pickle.loads(made[0]["model"]) if made else fit([], np.zeros(0), sizes)

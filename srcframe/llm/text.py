@@ -32,14 +32,19 @@ _SHINGLE = _RNG.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """r^i and r^-i modulo 2^64 for i < n at least."""
-    if len(_POWERS[0]) < n:
-        size = 1 << (n - 1).bit_length()
-        for k, r in enumerate((_R, _R_INV)):
-            a = np.full(size, r, np.uint64)
-            a[0] = 1
-            _POWERS[k] = np.multiply.accumulate(a)
-    return _POWERS[0], _POWERS[1]
+    """r^i and r^-i modulo 2^64 for i < n at least.  Kept for later calls up to
+    two chunks; those of a longer text go with it."""
+    if len(_POWERS[0]) >= n:
+        return _POWERS[0], _POWERS[1]
+    size = 1 << (n - 1).bit_length()
+    made = []
+    for r in (_R, _R_INV):
+        a = np.full(size, r, np.uint64)
+        a[0] = 1
+        made.append(np.multiply.accumulate(a, out=a))
+    if size <= 2 * CHUNK_BYTES:
+        _POWERS[:] = made
+    return made[0], made[1]
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -161,6 +161,15 @@ def _adam(value, grad, state, k, rate):
     return value + rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
 
 
+KINDS = len(PREFIXES) + 2  # of features
+
+
+def _added(one: tuple, two: tuple) -> tuple:
+    """Counts by feature of two parts together."""
+    u, inv = np.unique(np.concatenate([one[0], two[0]]), return_inverse=True)
+    return (u, *(np.bincount(inv, np.concatenate([a, b]), len(u)) for a, b in zip(one[1:], two[1:], strict=True)))
+
+
 def fit(texts: list, y: np.ndarray, sizes: dict, rounds: int = ROUNDS) -> Field:
     """Field fitted on labelled documents; ``sizes``: labels by class overall."""
     rate = sizes.get(1, 0) / max(1, sum(sizes.values()))
@@ -168,30 +177,31 @@ def fit(texts: list, y: np.ndarray, sizes: dict, rounds: int = ROUNDS) -> Field:
         out = Field(np.zeros(0, np.uint64))
         out.rate = rate
         return out
-    kinds: list[list[np.ndarray]] = []
-    bounds = [np.zeros(1, np.int64)]
-    for _, _, w in text_words(pa.array(texts, pa.string()), between=NOT_LETTER):
-        kinds.append(features(w))
-        bounds.append(w.bounds[1:] + bounds[-1][-1])
-    at = np.concatenate(bounds)
-    feats = [np.concatenate(x) for x in zip(*kinds, strict=True)]
-    doc = np.repeat(np.arange(len(y)), np.diff(at))
-    first = at[:-1][np.diff(at) > 0]
-
-    # documents of either class that hold a feature
+    column = pa.array(texts, pa.string())
+
+    # documents of either class that hold a feature; a document lies in one chunk, so chunks add up
+    counts: list = [None] * KINDS
+    for i, _, w in text_words(column, between=NOT_LETTER):
+        doc = i + np.repeat(np.arange(len(w.bounds) - 1), np.diff(w.bounds))
+        for k, f in enumerate(features(w)):
+            by = np.lexsort((doc, f))
+            fs, ds = f[by], doc[by]
+            new = np.ones(len(fs), bool)
+            new[1:] = (fs[1:] != fs[:-1]) | (ds[1:] != ds[:-1])
+            u, inv = np.unique(fs[new], return_inverse=True)
+            here = u, np.bincount(inv, y[ds[new]], len(u)), np.bincount(inv, minlength=len(u))
+            counts[k] = here if counts[k] is None else _added(counts[k], here)
     seen, pos, neg = [], [], []
-    for f in feats:
-        pair = np.stack([f, doc.astype(np.uint64)], 1)
-        pair = pair[np.lexsort((pair[:, 1], pair[:, 0]))]
-        pair = pair[np.concatenate([[True], (pair[1:] != pair[:-1]).any(1)])] if len(pair) else pair
-        u, inv = np.unique(pair[:, 0], return_inverse=True)
-        toxic = np.bincount(inv, y[pair[:, 1].astype(np.int64)], len(u)) if len(u) else np.zeros(0)
-        n = np.bincount(inv, minlength=len(u)) if len(u) else np.zeros(0)
-        on = (n >= MIN_DOCS) & (u != 0)
-        seen.append(u[on])
-        pos.append(toxic[on])
-        neg.append((n - toxic)[on])
-    key, a, b = np.concatenate(seen), np.concatenate(pos), np.concatenate(neg)
+    for got in counts:
+        if got is not None:
+            u, toxic, n = got
+            on = (n >= MIN_DOCS) & (u != 0)
+            seen.append(u[on])
+            pos.append(toxic[on])
+            neg.append((n - toxic)[on])
+    del counts
+    none = [np.zeros(0)]
+    key, a, b = np.concatenate(seen or [np.zeros(0, np.uint64)]), np.concatenate(pos or none), np.concatenate(neg or none)
     base, share = y.mean(), a / (a + b)
     with np.errstate(divide="ignore", invalid="ignore"):
         gain = 2 * (np.where(a > 0, a * np.log(share / base), 0) +
@@ -199,12 +209,23 @@ def fit(texts: list, y: np.ndarray, sizes: dict, rounds: int = ROUNDS) -> Field:
     toxic = distinct(key[(share >= PRECISION) & (gain >= EVIDENCE)])
     out = Field(distinct(key))
     out.rate = rate
-    tagged = np.zeros(len(doc), bool)
-    for f in feats[:-1]:
-        tagged |= np.isin(f, toxic)
-    tagged &= y[doc] == 1
-    found = [out.find(f) for f in feats]
-    del feats, kinds
+
+    # second pass: tags and feature numbers, 32 bits each
+    bounds, tags_, numbers = [np.zeros(1, np.int64)], [np.zeros(0, bool)], []
+    for _, _, w in text_words(column, between=NOT_LETTER):
+        feats = features(w)
+        hit = np.zeros(len(w.start), bool)
+        for f in feats[:-1]:
+            hit |= np.isin(f, toxic)
+        tags_.append(hit)
+        numbers.append([out.find(f).astype(np.int32) for f in feats])
+        bounds.append(w.bounds[1:] + bounds[-1][-1])
+    at = np.concatenate(bounds)
+    doc = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(at))
+    first = at[:-1][np.diff(at) > 0]
+    tagged = np.concatenate(tags_) & (y[doc] == 1)
+    found = [np.concatenate(x) for x in zip(*numbers, strict=True)] if numbers else [np.zeros(0, np.int32)] * KINDS
+    del numbers, tags_
 
     inner = np.ones(len(doc), bool)
     inner[first] = False
