@@ -13,7 +13,8 @@ characters (``Aligner`` makes sure of that), so a text is the sequence of its wo
 and a word is aligned when it is first met.  Words are kept in a bounded table that
 lives as long as the task.
 
-A task hands on its texts in batches of about ``BATCH_BYTES``: one row with the
+A task hands on its texts in batches of about ``BATCH_BYTES``, taken in slices of
+about ``SLICE_BYTES``, of which only the distinct pairs of each text stay: one row with the
 distinct id pairs of the batch, their weights, and for every text the numbers and
 occurrences of its pairs.  The counts of the corpus are a plain aggregate over the
 exploded pairs; a batch gets those of its own pairs back by a join, so the table of
@@ -29,6 +30,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import os
 import re
 from collections.abc import Iterator
 
@@ -43,8 +45,9 @@ from srcframe.llm.text import run_over
 from srcframe.session import Scratch
 
 BATCH_BYTES = 8 << 20
-KEEP_WORDS = 1 << 18
-KEEP_BYTES = 96 << 20
+SLICE_BYTES = 1 << 20  # text of a batch whose words are held at once
+KEEP_WORDS = 1 << 17
+KEEP_BYTES = 48 << 20
 LEARN = 1 << 14  # words aligned at once
 LINKS = 1 << 16  # links of a group that are written out
 MEASURES = ["n_a", "n_b", "n_groups", "n_links"]
@@ -70,6 +73,7 @@ class Aligner:
     """Words (each led by a space that is not written) and what their tokens make."""
 
     def __init__(self, byte_path: str, piece_path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task is one thread
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
         self.a = Tokenizer.from_file(byte_path)
@@ -174,6 +178,27 @@ class Aligner:
 
     def batch(self, texts: list[str], copies: np.ndarray) -> dict:
         """Columns of a batch (lists) for its non-empty texts."""
+        ends = np.cumsum([len(t) for t in texts])
+        turn = (ends - 1) // SLICE_BYTES  # of the slice that a text ends in
+        cuts = [0, *(np.flatnonzero(turn[1:] != turn[:-1]) + 1).tolist(), len(texts)]
+        totals, groups, found = [], [], []
+        for x, y in itertools.pairwise(cuts):
+            total, text, doc, pair, linked = self._slice(texts[x:y])
+            totals.append(total)
+            groups += text
+            found.append((doc + x, pair, linked))
+        doc, pair, linked = (np.concatenate(c) for c in zip(*found, strict=True))
+        pairs, number = np.unique(pair, return_inverse=True)
+        weights = np.bincount(number, weights=copies[doc], minlength=len(pairs)).astype(np.int64)
+        pack = zstandard.ZstdCompressor(level=1).compress
+        listed = lambda v: pa.array([v], pa.list_(pa.int64()))
+        return {**{m: listed(np.concatenate([t[m] for t in totals])) for m in MEASURES}, "groups": [groups],
+                "starts": listed(np.searchsorted(doc, np.arange(len(texts) + 1))),
+                "pairs": listed(pairs), "weights": listed(weights),
+                "number": [pack(number.astype(np.int32).tobytes())], "times": [pack(linked.tobytes())]}
+
+    def _slice(self, texts: list[str]) -> tuple[dict, list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Measures and groups' digest of the texts; (text, pair, links), ascending."""
         words = [_BETWEEN.split(" " + t) for t in texts]
         for w in words:
             w[0] = w[0][1:]
@@ -182,6 +207,7 @@ class Aligner:
         self.learn(sorted({x for w in words for x in w}.difference(self.number)))
         counts = np.array([len(w) for w in words], np.int64)
         ids = np.fromiter(map(self.number.__getitem__, itertools.chain.from_iterable(words)), np.int64, int(counts.sum()))
+        del words
         bounds = np.concatenate([[0], np.cumsum(counts)])
         used, word = np.unique(ids, return_inverse=True)
         measures = self.measures[used]
@@ -206,16 +232,13 @@ class Aligner:
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else none
         linked = np.add.reduceat(linked, first) if len(key) else none
         doc, number = np.divmod(key[first], max(len(pairs), 1))
-        weights = np.bincount(number, weights=copies[doc], minlength=len(pairs)).astype(np.int64)
-        pack = zstandard.ZstdCompressor(level=1).compress
-        return {**{m: [v.tolist()] for m, v in totals.items()}, "groups": [groups],
-                "starts": [np.searchsorted(doc, np.arange(len(texts) + 1)).tolist()],
-                "pairs": [pairs.tolist()], "weights": [weights.tolist()],
-                "number": [pack(number.astype(np.int32).tobytes())], "times": [pack(linked.tobytes())]}
+        return totals, groups, doc, pairs[number], linked
 
 
 def _row(schema: pa.Schema, values: dict) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(values[f.name], f.type) for f in schema], schema=schema)
+    columns = [values[f.name] for f in schema]
+    return pa.record_batch([v if isinstance(v, pa.Array) else pa.array(v, f.type)
+                            for v, f in zip(columns, schema, strict=True)], schema=schema)
 
 
 _TYPES = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "array<binary>": pa.list_(pa.binary()),

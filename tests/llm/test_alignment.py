@@ -101,3 +101,24 @@ def test_bounded_memory_of_words():
             out = aligner.batch([words(30, k)], np.ones(1, np.int64))
             again = alignment.Aligner(A, B).batch([words(30, k)], np.ones(1, np.int64))
             assert out == again
+
+
+def test_slices_hold_few_words():
+    """A batch is the same whether its texts are taken at once or slice by slice, and
+    what a task holds besides the words' table is a slice's, not the batch's."""
+    import tracemalloc
+
+    import numpy as np
+    texts = [" ".join([words(40, k)] * 100) for k in range(40)]
+    peak, made = [], []
+    for size in (1 << 40, 1 << 14):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(alignment, "SLICE_BYTES", size)
+            aligner = alignment.Aligner(A, B)
+            aligner.batch(texts, np.ones(len(texts), np.int64))  # the words are known now
+            tracemalloc.start()
+            made.append(aligner.batch(texts, np.arange(1, len(texts) + 1)))
+            peak.append(tracemalloc.get_traced_memory()[1])
+            tracemalloc.stop()
+    assert made[0] == made[1]
+    assert peak[1] * 2 < peak[0]
