@@ -166,13 +166,12 @@ def java_log_statements(fx) -> DataFrame:
     literal first argument is the message, else ``{DYNAMIC_MESSAGE}`` /
     ``{DYNAMIC_CONTENT}`` and the argument becomes a variable.  E10: the
     class is the innermost type around the call (``enclosing_class``)."""
-    from srcframe.operators.facts import var_maps
     calls = fx.calls
     is_log = F.lower("name").isin(*LOG_LEVELS) & F.col("scope").isNotNull()
     is_out = F.col("name").isin("println", "print") & F.col("scope").isin("System.out", "System.err")
     c = calls.where(is_log | is_out).withColumn("_stdout", is_out & ~is_log)
     c = enclosing_class(c, fx.types)
-    mmap, fmap = var_maps(fx.methods, fx.locals, fx.fields, fx.types)
+    mmap, fmap = fx.var_maps
     key = ["repo_id", "path", "class_fqn", "method_name", "method_ordinal"]
     c = c.join(mmap, key, "left").join(fmap, ["repo_id", "path", "class_fqn"], "left")
     args = F.coalesce(F.col("arg_texts"), F.array().cast("array<string>"))
