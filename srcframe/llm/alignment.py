@@ -49,6 +49,7 @@ SLICE_BYTES = 1 << 20  # text of a batch whose words are held at once
 KEEP_WORDS = 1 << 17
 KEEP_BYTES = 48 << 20
 LEARN = 1 << 14  # words aligned at once
+TOGETHER = 16  # words encoded in one call of a tokenizer
 LINKS = 1 << 16  # links of a group that are written out
 MEASURES = ["n_a", "n_b", "n_groups", "n_links"]
 
@@ -69,6 +70,15 @@ def _byte_of() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(0x100 + k): b for k, b in enumerate(other)}
 
 
+def _flat(ids: list[list[int]]) -> np.ndarray:
+    return np.fromiter(itertools.chain.from_iterable(ids), np.int64, sum(map(len, ids)))
+
+
+def _ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as its count, one after the other."""
+    return np.arange(int(count.sum())) + np.repeat(start - np.cumsum(count) + count, count)
+
+
 class Aligner:
     """Words (each led by a space that is not written) and what their tokens make."""
 
@@ -93,6 +103,7 @@ class Aligner:
         for i, x in self.a_bytes.items():
             self.a_len[i] = len(x)
         self.b_len = np.array([len(x) for x in self.b_bytes], np.int64)
+        self.signed = [f"{i}{sign}" for i in range(max(len(self.a_len), self.width)) for sign in ",|;"]
         self.forget()
 
     def forget(self) -> None:
@@ -101,35 +112,81 @@ class Aligner:
         self.groups: list[str] = []
         self.pairs = self.times = np.zeros(0, np.int64)  # of all words, one after the other
         self.offset = np.zeros(1, np.int64)
+        self.seen = np.zeros(0, np.int64)  # slices that a word was met in
         self.size = 0
 
+    def shrink(self) -> None:
+        """Words of one slice only go; all, if the others are many."""
+        keep = np.flatnonzero(self.seen > 1)
+        count = np.diff(self.offset)[keep]
+        groups = [self.groups[i] for i in keep.tolist()]
+        place = np.full(len(self.seen), -1)
+        place[keep] = np.arange(len(keep))
+        place = place.tolist()
+        number = {w: place[i] for w, i in self.number.items() if place[i] >= 0}
+        size = sum(map(len, number)) + 200 * len(number) + sum(map(len, groups)) + 16 * int(count.sum())
+        measures, at = self.measures[keep], _ranges(self.offset[keep], count)
+        pairs, times = self.pairs[at], self.times[at]
+        self.forget()
+        if len(keep) <= KEEP_WORDS // 2 and size <= KEEP_BYTES // 2:
+            self.number, self.measures, self.groups, self.pairs, self.times = number, measures, groups, pairs, times
+            self.offset, self.size = np.concatenate([[0], np.cumsum(count)]), size
+            self.seen = np.ones(len(keep), np.int64)
+
+    def _encoded(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]], list[bool]]:
+        """Ids of both sides, and whether those of both spell a space and the text."""
+        a = [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        b = self.b.encode(texts, num_threads=1)
+        return a, b, [b"".join([self.a_bytes[i] for i in x]) == s and b"".join([self.b_bytes[i] for i in y]) == s
+                      for x, y, s in zip(a, b, (b" " + t.encode() for t in texts), strict=True)]
+
     def learn(self, words: list[str]) -> None:
         for at in range(0, len(words), LEARN):
             part = words[at:at + LEARN]
-            a = [e.ids for e in self.a.encode_batch_fast([" " + w for w in part], add_special_tokens=False)]
-            b = self.b.encode(part, num_threads=1)
-            spelled = [b" " + w.encode() for w in part]
-            right = [b"".join([self.a_bytes[i] for i in x]) == s and b"".join([self.b_bytes[i] for i in y]) == s
-                     for x, y, s in zip(a, b, spelled, strict=True)]
+            # words without white space at their ends are encoded several at a time
+            plain, alone = [], []
+            for w in part:
+                (plain if w and w == w.strip() else alone).append(w)
+            alone += self._learn_runs([plain[k:k + TOGETHER] for k in range(0, len(plain), TOGETHER)])
+            a, b, right = self._encoded(alone)
             good = [k for k, r in enumerate(right) if r]
             wrong = [k for k, r in enumerate(right) if not r]
-            self._add([part[k] for k in good], [a[k] for k in good], [b[k] for k in good])
+            self._add([alone[k] for k in good], _flat([a[k] for k in good]), _flat([b[k] for k in good]),
+                      np.array([len(a[k]) for k in good], np.int64), np.array([len(b[k]) for k in good], np.int64))
             first = len(self.measures)
-            self.number.update((part[k], first + n) for n, k in enumerate(wrong))
+            self.number.update((alone[k], first + n) for n, k in enumerate(wrong))
             self.measures = np.concatenate([self.measures, np.tile([-1, 0, 0, 0], (len(wrong), 1))])
             self.groups += [""] * len(wrong)
             self.offset = np.concatenate([self.offset, np.full(len(wrong), self.offset[-1])])
-            self.size += sum(map(len, spelled)) + 200 * len(part)
-
-    def _add(self, words: list[str], a: list[list[int]], b: list[list[int]]) -> None:
-        """Align all the words at once: laid end to end, every word's end is a cut."""
+            self.size += sum(map(len, part)) + 200 * len(part)
+
+    def _learn_runs(self, runs: list[list[str]]) -> list[str]:
+        """Words of the runs are learned where both sides spell the whole run and end a
+        token at each word's end; the words of other runs come back."""
+        a, b, right = self._encoded([" ".join(r) for r in runs])
+        while True:
+            kept = [k for k, r in enumerate(right) if r]
+            x, y = _flat([a[k] for k in kept]), _flat([b[k] for k in kept])
+            words = [w for k in kept for w in runs[k]]
+            end = np.cumsum([1 + len(w.encode()) for w in words], dtype=np.int64)
+            x_end, y_end = np.cumsum(self.a_len[x]), np.cumsum(self.b_len[y])
+            x_at, y_at = np.searchsorted(x_end, end), np.searchsorted(y_end, end)
+            over = (x_end[x_at] != end) | (y_end[y_at] != end)
+            if not over.any():
+                break
+            run = np.repeat(kept, [len(runs[k]) for k in kept])
+            for k in run[over].tolist():
+                right[k] = False
+        self._add(words, x, y, np.diff(x_at, prepend=-1), np.diff(y_at, prepend=-1))
+        return [w for k, r in enumerate(right) if not r for w in runs[k]]
+
+    def _add(self, words: list[str], x: np.ndarray, y: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> None:
+        """Align all the words at once: laid end to end, every word's end is a cut.
+        ``x``, ``y``: ids of either side, of which a word has ``n_a`` and ``n_b``."""
         first = len(self.measures)
         self.number.update((w, first + k) for k, w in enumerate(words))
         if not words:
             return
-        n_a, n_b = np.array([len(x) for x in a]), np.array([len(x) for x in b])
-        x = np.fromiter(itertools.chain.from_iterable(a), np.int64, int(n_a.sum()))
-        y = np.fromiter(itertools.chain.from_iterable(b), np.int64, int(n_b.sum()))
         x_end, y_end = np.cumsum(self.a_len[x]), np.cumsum(self.b_len[y])
         cut = np.intersect1d(x_end, y_end, assume_unique=True)
         x_group, y_group = np.searchsorted(cut, x_end), np.searchsorted(cut, y_end)
@@ -168,11 +225,9 @@ class Aligner:
         ids[x_at], ids[y_at] = x, y
         sign[x_at] = np.append(x_group[1:] != x_group[:-1], True)
         sign[y_at] = np.append(y_group[1:] != y_group[:-1], True) * 2
-        mixed = [""] * (2 * len(ids))
-        mixed[::2] = map(str, ids.tolist())
-        mixed[1::2] = map(",|;".__getitem__, sign.tolist())
-        stop = (2 * np.cumsum(n_a + n_b)).tolist()
-        text = ["".join(mixed[i:j - 1]) for i, j in zip([0, *stop], stop, strict=False)]
+        signed = list(map(self.signed.__getitem__, (ids * 3 + sign).tolist()))
+        stop = np.cumsum(n_a + n_b).tolist()
+        text = ["".join(signed[i:j])[:-1] for i, j in zip([0, *stop], stop, strict=False)]
         self.groups += text
         self.size += sum(map(len, text)) + 16 * len(key)
 
@@ -203,13 +258,15 @@ class Aligner:
         for w in words:
             w[0] = w[0][1:]
         if len(self.measures) > KEEP_WORDS or self.size > KEEP_BYTES:
-            self.forget()
+            self.shrink()
         self.learn(sorted({x for w in words for x in w}.difference(self.number)))
         counts = np.array([len(w) for w in words], np.int64)
         ids = np.fromiter(map(self.number.__getitem__, itertools.chain.from_iterable(words)), np.int64, int(counts.sum()))
         del words
         bounds = np.concatenate([[0], np.cumsum(counts)])
         used, word = np.unique(ids, return_inverse=True)
+        self.seen = np.concatenate([self.seen, np.zeros(len(self.measures) - len(self.seen), np.int64)])
+        self.seen[used] += 1
         measures = self.measures[used]
         wrong = np.add.reduceat(measures[word, 0] < 0, bounds[:-1]) > 0
         totals = {m: np.where(wrong, 0, np.add.reduceat(measures[word, k], bounds[:-1])) for k, m in enumerate(MEASURES)}
@@ -224,7 +281,7 @@ class Aligner:
         none = np.zeros(0, np.int64)
         start = self.offset[used[word]]
         n = self.offset[used[word] + 1] - start
-        at = np.arange(int(n.sum())) + np.repeat(start - np.cumsum(n) + n, n)
+        at = _ranges(start, n)
         pairs, number = np.unique(self.pairs[at], return_inverse=True)
         key = np.repeat(doc, n) * max(len(pairs), 1) + number
         order = np.argsort(key, kind="stable")

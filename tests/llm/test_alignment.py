@@ -122,3 +122,54 @@ def test_slices_hold_few_words():
             tracemalloc.stop()
     assert made[0] == made[1]
     assert peak[1] * 2 < peak[0]
+
+
+class Counting:
+    """A tokenizer that notes the texts it is given."""
+
+    def __init__(self, inner, name):
+        self.inner, self.name, self.given = inner, name, []
+
+    def __getattr__(self, name):
+        def call(texts, **options):
+            self.given += texts
+            return getattr(self.inner, name)(texts, **options)
+        return call if name == self.name else getattr(self.inner, name)
+
+
+def counted():
+    aligner = alignment.Aligner(A, B)
+    aligner.a, aligner.b = Counting(aligner.a, "encode_batch_fast"), Counting(aligner.b, "encode")
+    return aligner
+
+
+def test_words_are_encoded_together():
+    """Words go to the tokenizers several at a time, and come out as if each went alone."""
+    import numpy as np
+    text = " ".join(f"{w}{k}" for k in range(50) for w in ("the", "naïve", "(x.y)", "don't", "中文", "​z"))
+    made = []
+    for together in (1, 16):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(alignment, "TOGETHER", together)
+            aligner = counted()
+            aligner.batch([text], np.ones(1, np.int64))
+            made.append({w: (aligner.measures[i].tolist(), aligner.groups[i]) for w, i in aligner.number.items()})
+    assert made[0] == made[1] and len(made[0]) == 300
+    plain = " ".join(f"word{k}" for k in range(320))
+    aligner = counted()
+    aligner.batch([plain], np.ones(1, np.int64))
+    assert len(aligner.a.given) <= 20 and len(aligner.b.given) <= 20
+
+
+def test_recurring_words_are_kept():
+    """When the table is full, words that several slices have are not learned anew."""
+    import numpy as np
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(alignment, "SLICE_BYTES", 1)
+        m.setattr(alignment, "KEEP_WORDS", 40)
+        aligner = counted()
+        texts = [" ".join(["again", "and", "anew"] + [f"w{k}x{j}" for j in range(15)]) for k in range(12)]
+        out = aligner.batch(texts, np.ones(len(texts), np.int64))
+        assert sum(" again" in t for t in aligner.a.given) == 1
+        assert len(aligner.number) <= 40 + 18
+    assert out == alignment.Aligner(A, B).batch(texts, np.ones(len(texts), np.int64))
